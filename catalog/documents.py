@@ -284,7 +284,7 @@ j AS (SELECT job_id, min(ts) AS started_at, max(ts) AS updated_at, count(*) * 2
         CASE WHEN bool_or(outcome = 'failed_fetch' AND priority) THEN 'failed' ELSE 'running' END AS status FROM crawl GROUP BY job_id),
 v AS (SELECT j.*, k.processed_results, k.saved_docs, k.accepted_valid_pages, now,
         (epoch_us(now) - epoch_us(started_at)) // 1000 / 1000.0 AS e, (epoch_us(now) - epoch_us(updated_at)) // 1000 AS f FROM j JOIN k USING (job_id), n)
-SELECT job_id, status, round(e, 2) AS elapsed_seconds, f::BIGINT AS freshness_ms, status = 'running' AND f > 12000 AS is_stale,
+SELECT job_id, status, round(e * 1000 / 10.0) / 100 AS elapsed_seconds, f::BIGINT AS freshness_ms, status = 'running' AND f > 12000 AS is_stale,
   status = 'running' AND processed_results = 0 AS in_discovery, round(processed_results / e, 3) AS processed_per_sec,
   round(saved_docs / e, 3) AS saved_per_sec, round(accepted_valid_pages / e, 3) AS valid_per_sec,
   CASE WHEN e >= 3 AND processed_results >= 3 THEN least(floor((total_results - processed_results) / (processed_results / e))::BIGINT, 3600) END AS eta_seconds FROM v""")

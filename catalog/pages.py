@@ -164,7 +164,7 @@ def _sql_class(r=SAMPLE_RULES) -> str:
 WITH {PAGES} SELECT page_id, page_type, authority_score, should_block, reason FROM ({_sql_class()})""")
 def page_classify(spark, d):
     c = classify.classify(F.col("url"), F.col("title"), SAMPLE_RULES)
-    return R.pages(spark, d).select("page_id", c.alias("c")).select("page_id", "c.*")
+    return R.pages(spark, d, with_text=False).select("page_id", c.alias("c")).select("page_id", "c.*")
 
 
 def _sql_upgraded(r=SAMPLE_RULES) -> str:

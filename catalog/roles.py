@@ -27,8 +27,8 @@ def ts(base: str, minutes) -> F.Column:
 # --- DataFrames -----------------------------------------------------------------
 
 
-def pages(spark: SparkSession, d: str) -> DataFrame:
-    return scan_pages(read_table(spark, d, "pages"))
+def pages(spark: SparkSession, d: str, with_text: bool = True) -> DataFrame:
+    return scan_pages(read_table(spark, d, "pages"), with_text)
 
 
 def raw_pages(spark: SparkSession, d: str) -> DataFrame:

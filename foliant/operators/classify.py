@@ -10,6 +10,7 @@ from foliant.functions import urls
 from foliant.functions.text import (
     col, contains_any, count_contained, first_contained, strip, text_or_empty, word_count,
 )
+from foliant.plans.once import with_columns_once
 from foliant.rules import PageRules
 
 
@@ -163,14 +164,13 @@ def page_outcomes(
         .otherwise(F.lit("accepted"))
     )
     score = F.col("_class")["authority_score"]
-    return df.select(
-        *pages.columns,
-        outcome.alias("outcome"),
-        urls.matches_priority(F.col("url"), F.col("title"), rules.priority_tokens).alias("priority"),
-        F.col("_class")["page_type"].alias("page_type"),
+    return with_columns_once(df, {
+        "outcome": outcome,
+        "priority": urls.matches_priority(F.col("url"), F.col("title"), rules.priority_tokens),
+        "page_type": F.col("_class")["page_type"],
         # A stored score of zero falls back to one half.
-        F.when(score == 0.0, F.lit(0.5)).otherwise(score).alias("authority_score"),
-    )
+        "authority_score": F.when(score == 0.0, F.lit(0.5)).otherwise(score),
+    }).select(*pages.columns, "outcome", "priority", "page_type", "authority_score")
 
 
 def split_by_host(pages: DataFrame, allowed_host: Column | str) -> tuple[DataFrame, DataFrame]:

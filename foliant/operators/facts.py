@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant import rules as R
@@ -15,14 +15,14 @@ from foliant.functions.text import text_or_empty
 def match_facts(docs: DataFrame, rules: Sequence[tuple[str, Sequence[str], int]], text: str = "text",
                 keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per (document, rule, distinct match); ``rules`` = (fact_key, patterns, max length)."""
-    found = [
-        F.transform(
+    def found_by(name: str, patterns: Sequence[str], max_len: int) -> Column:
+        return F.transform(
             FX.pattern_matches(text_or_empty(text), patterns, max_len),
-            lambda v, i, name=name: F.struct(F.lit(name).alias("fact_key"), v.alias("fact_value"),
-                                             (i + 1).cast("bigint").alias("position")),
+            lambda v, i: F.struct(F.lit(name).alias("fact_key"), v.alias("fact_value"),
+                                  (i + 1).cast("bigint").alias("position")),
         )
-        for name, patterns, max_len in rules
-    ]
+
+    found = [found_by(*rule) for rule in rules]
     return docs.select(*keys, F.explode(F.concat(*found)).alias("f")).select(*keys, "f.*")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant import rules as R
-from foliant.functions.text import strip, text_or_empty, tokens
+from foliant.functions.text import let, strip, text_or_empty, tokens
 
 
 def stack_lists(lists: Sequence[DataFrame], key: str = "chunk_key") -> DataFrame:
@@ -159,25 +159,25 @@ def composite_rank(rows: DataFrame, url: str = "url", age_days: str = "age_days"
 
 def sentence_overlap_answer(question: Column, blocks: Column) -> Column:
     """Extractive stand-in for an answer model: the context sentence sharing most question terms."""
-    q = F.array_distinct(tokens(question))
     sentences = F.filter(F.split(F.array_join(blocks, "\n"), r"(?<=[.!?])\s+|\n"), lambda s: F.length(s) > 0)
-    ranked = F.transform(
-        sentences,
-        lambda s, i: F.struct(F.size(F.array_intersect(q, tokens(s))).alias("hits"), (-i).alias("i"), s.alias("s")),
-    )
-    return F.coalesce(F.array_max(ranked)["s"], F.lit(R.NO_INFO_RESPONSE))
+
+    def best(q: Column) -> Column:
+        return F.array_max(F.transform(
+            sentences,
+            lambda s, i: F.struct(F.size(F.array_intersect(q, tokens(s))).alias("hits"), (-i).alias("i"), s.alias("s")),
+        ))["s"]
+
+    return F.coalesce(let(F.array_distinct(tokens(question)), best), F.lit(R.NO_INFO_RESPONSE))
 
 
 def ngram_groundedness(answer: Column, context: Column, n: int = 3) -> Column:
     """Share of the answer's word n-grams that occur in the context (1.0 for very short answers)."""
-    a, c = tokens(answer), tokens(context)
 
-    def grams(xs: Column) -> Column:
-        return F.when(F.size(xs) >= n, F.transform(
+    def grams(text: Column) -> Column:
+        return let(tokens(text), lambda xs: F.when(F.size(xs) >= n, F.transform(
             F.sequence(F.lit(1), F.size(xs) - n + 1), lambda i: F.array_join(F.slice(xs, i, F.lit(n)), " ")
-        )).otherwise(F.array().cast("array<string>"))
+        )).otherwise(F.array().cast("array<string>")))
 
-    ag = F.array_distinct(grams(a))
-    return F.when(F.size(ag) == 0, F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(ag, grams(c))) / F.size(ag)
-    )
+    return let(F.array_distinct(grams(answer)), lambda ag: F.when(F.size(ag) == 0, F.lit(1.0)).otherwise(
+        F.size(F.array_intersect(ag, grams(context))) / F.size(ag)
+    ))

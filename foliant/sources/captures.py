@@ -10,6 +10,7 @@ from foliant.functions import html as H
 from foliant.functions import urls
 from foliant.functions.text import col, strip, text_or_empty
 from foliant.operators.links import first_occurrences
+from foliant.plans.once import with_columns_once
 
 
 def page_body(df: DataFrame) -> Column:
@@ -18,15 +19,22 @@ def page_body(df: DataFrame) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names], F.lit(""))
 
 
-def scan_pages(df: DataFrame) -> DataFrame:
-    """Captured pages as (page_id?, url, success, title, html, text)."""
+def scan_pages(df: DataFrame, with_text: bool = True) -> DataFrame:
+    """Captured pages as (page_id?, url, success, title, html, text).
+
+    Title and text come from the capture when it has them, else from the HTML.
+    Text extraction is evaluated once per page; leave it out with ``with_text=False``.
+    """
     body = page_body(df)
     keep = [c for c in ("page_id", "job_id", "position", "captured_at") if c in df.columns]
     title = text_or_empty("title") if "title" in df.columns else H.title(body)
-    text = text_or_empty("markdown") if "markdown" in df.columns else H.text_from_html(body)
     success = F.coalesce(F.col("success"), F.lit(False)) if "success" in df.columns else body != ""
-    return df.select(*keep, text_or_empty("url").alias("url"), success.alias("success"),
-                     title.alias("title"), body.alias("html"), text.alias("text"))
+    markdown = [text_or_empty("markdown").alias("text")] if "markdown" in df.columns and with_text else []
+    base = df.select(*keep, text_or_empty("url").alias("url"), success.alias("success"),
+                     title.alias("title"), body.alias("html"), *markdown)
+    if markdown or not with_text:
+        return base
+    return with_columns_once(base, {"text": H.text_from_html("html")})
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
