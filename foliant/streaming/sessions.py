@@ -1,4 +1,4 @@
-"""Conversation state over a message stream."""
+"""Conversation state and job staleness over streams."""
 
 from __future__ import annotations
 
@@ -6,49 +6,46 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-TURN = "session_id string, created_at timestamp, role string, text string, turn_no bigint, is_first_turn boolean"
-STATE = "turns bigint, last_activity timestamp, greeting_sent boolean"
+from foliant.streaming.ingest import WATERMARK
 
 
-def track_sessions(messages: DataFrame, timeout_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Number the turns of every session as they arrive and flag the first one.
+def session_states(messages: DataFrame) -> DataFrame:
+    """State of every session: first and last activity, turns, whether it was greeted.
 
-    ``messages``: session_id, created_at, role, text.  State per session is three
-    values; rows of a batch pass through in bounded pandas pieces.  Idle sessions
-    are forgotten after ``timeout_ms``.
+    A plain streaming aggregate (update or complete mode): messages of one very
+    busy session are combined where they are read, so only one row per task and
+    session reaches the state store, and arrival order does not matter.
     """
-
-    def step(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        turns, last, greeted = state.get if state.exists else (0, None, False)
-        for piece in pieces:
-            ordered = piece.sort_values("created_at", kind="stable").reset_index(drop=True)
-            n = len(ordered)
-            numbers = pd.Series(range(turns + 1, turns + n + 1), dtype="int64")
-            first = (numbers == 1) & (not greeted)
-            yield ordered.assign(turn_no=numbers, is_first_turn=first)[
-                ["session_id", "created_at", "role", "text", "turn_no", "is_first_turn"]
-            ]
-            turns += n
-            newest = ordered["created_at"].max()
-            last = newest if last is None else max(pd.Timestamp(last), newest)
-            greeted = greeted or bool((ordered["role"] == "assistant").any())
-        state.update((turns, last, greeted))
-        state.setTimeoutDuration(timeout_ms)
-
-    return messages.select("session_id", "created_at", "role", "text").groupBy("session_id").applyInPandasWithState(
-        step, TURN, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    return messages.groupBy("session_id").agg(
+        F.min("created_at").alias("created_at"), F.max("created_at").alias("last_activity_at"),
+        F.count(F.lit(1)).alias("turns"),
+        F.max((F.col("role") == "assistant").cast("int")).cast("boolean").alias("greeting_sent"),
     )
 
 
+def flag_first_turns(batch: DataFrame, states: DataFrame) -> DataFrame:
+    """Micro-batch messages with is_first_turn, given the session states *before* the batch."""
+    from foliant.operators.conversation import first_turns
+
+    known = states.select("session_id")
+    return first_turns(batch, greeted=known, keys=("session_id",))
+
+
+def session_activity(messages: DataFrame, idle: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
+    """Closed activity periods per session (append mode, state dropped behind the watermark)."""
+    return messages.withWatermark("created_at", watermark).groupBy(
+        F.session_window("created_at", idle).alias("w"), "session_id"
+    ).agg(F.count(F.lit(1)).alias("turns")).select("session_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "turns")
+
+
 def stale_jobs(updates: DataFrame, quiet_ms: int = 12_000) -> DataFrame:
     """Emit a job when it has sent no update for ``quiet_ms`` while still running.
 
-    ``updates``: job_id, status.
+    ``updates``: job_id, status.  The timer follows processing time, so the query
+    needs a recurring trigger (it never runs dry).
     """
 
     def step(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,11 +53,10 @@ def stale_jobs(updates: DataFrame, quiet_ms: int = 12_000) -> DataFrame:
             state.remove()
             yield pd.DataFrame({"job_id": [key[0]], "is_stale": [True]})
             return
-        running = True
+        ended = False
         for piece in pieces:
-            if len(piece):
-                running = piece["status"].iloc[-1] in ("running", "pending")
-        if running:
+            ended = ended or bool((~piece["status"].isin(["running", "pending"])).any())
+        if not ended:
             state.update((True,))
             state.setTimeoutDuration(quiet_ms)
         elif state.exists:
