@@ -27,7 +27,7 @@ j AS (SELECT doc_id, string_agg(line, '\n' ORDER BY pos) AS t FROM kept GROUP BY
 SELECT d.doc_id, length(coalesce(t, '')) AS n_chars, md5(coalesce(t, '')) AS clean_md5 FROM documents d LEFT JOIN j USING (doc_id)""")
 def clean_lines(spark, d):
     t = cleaning.clean_lines("text", 2, LABELS, PRESS)
-    return read_table(spark, d, "documents").select("doc_id", t.alias("t")).select(
+    return R.text_table(spark, d, "documents").select("doc_id", t.alias("t")).select(
         "doc_id", F.length("t").cast("bigint").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("clean_md5"))
 
 
@@ -38,7 +38,7 @@ WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '{
 SELECT doc_id, length(t) AS n_chars, md5(t) AS clean_md5 FROM
  (SELECT doc_id, trim(array_to_string(list_filter(xs, lambda x, i: x <> '' OR i = 1 OR xs[i - 1] <> ''), '\n'), {BL}) AS t FROM l)""")
 def doc_lines_clean(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", cleaning.clean_document_lines("text").alias("t")).select(
+    return R.text_table(spark, d, "documents").select("doc_id", cleaning.clean_document_lines("text").alias("t")).select(
         "doc_id", F.length("t").cast("bigint").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("clean_md5"))
 
 
@@ -120,7 +120,7 @@ def sql_chunks(size: int, overlap: int) -> str:
 @query("chunk_fixed", f"""
 SELECT doc_id, chunk_id, length(text) AS n_chars, md5(text) AS text_md5 FROM ({sql_chunks(RULES.FIXED_CHUNK_SIZE, RULES.FIXED_CHUNK_OVERLAP)})""")
 def chunk_fixed(spark, d):
-    return chunks.split_fixed(read_table(spark, d, "documents")).select(
+    return chunks.split_fixed(R.text_table(spark, d, "documents")).select(
         "doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.length("text").cast("bigint").alias("n_chars"),
         F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -136,7 +136,7 @@ c AS (SELECT doc_id, CASE WHEN length(text) <= {RULES.CHUNK_SIZE} THEN [trim(tex
 k AS (SELECT doc_id, list_filter(cs, lambda x: x <> '') AS cs FROM c)
 SELECT doc_id, i - 1 AS chunk_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, unnest(cs) AS t, generate_subscripts(cs, 1) AS i FROM k)""")
 def chunk_recursive(spark, d):
-    return chunks.split_documents(read_table(spark, d, "documents")).select(
+    return chunks.split_documents(R.text_table(spark, d, "documents")).select(
         "doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.length("text").cast("bigint").alias("n_chars"),
         F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -154,7 +154,7 @@ w(doc_id, chunk_id, off, cursor) AS (
     FROM w JOIN c ON c.doc_id = w.doc_id AND c.chunk_id = w.chunk_id + 1 JOIN documents d ON d.doc_id = w.doc_id))
 SELECT doc_id, chunk_id, off AS chunk_offset FROM w""")
 def chunk_offsets(spark, d):
-    return chunks.with_offsets(read_table(spark, d, "documents"), C.fixed_chunks("text")).select(
+    return chunks.with_offsets(R.text_table(spark, d, "documents"), C.fixed_chunks("text")).select(
         "doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("chunk_offset").cast("bigint").alias("chunk_offset"))
 
 
@@ -166,7 +166,7 @@ SELECT doc_id, chunk_id, md5(CASE WHEN total <= 8000 THEN doc ELSE substring(doc
    CASE WHEN s > 0 THEN '[…]\n' ELSE '' END || substring(doc, s + 1, e - s) || CASE WHEN e < total THEN '\n[…]' ELSE '' END END) AS window_md5 FROM w""")
 def doc_window(spark, d):
     # The text column rides along with its chunks inside the row; no join back to the documents.
-    t = chunks.split_fixed(read_table(spark, d, "documents").withColumn("doc", F.col("text")), keys=("doc_id", "doc"))
+    t = chunks.split_fixed(R.text_table(spark, d, "documents").withColumn("doc", F.col("text")), keys=("doc_id", "doc"))
     w = C.document_window("doc", F.col("chunk_id") * (SIZE - OVER), F.length("text"))
     return t.select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.md5(w.cast("binary")).alias("window_md5"))
 
@@ -215,7 +215,7 @@ t AS (SELECT doc_id, fact_key, pos, lim, trim(regexp_replace(trim(raw, ' .:-\t')
 u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, fact_key, lower(v) ORDER BY pos) AS rn FROM t WHERE v <> '' AND length(v) <= lim)
 SELECT doc_id, fact_key, v AS fact_value, row_number() OVER (PARTITION BY doc_id, fact_key ORDER BY pos) AS position FROM u WHERE rn = 1""")
 def fact_matches(spark, d):
-    return facts.match_facts(read_table(spark, d, "documents"), FACT_RULES)
+    return facts.match_facts(R.text_table(spark, d, "documents"), FACT_RULES)
 
 
 OVERVIEW_SQL = f"""
@@ -309,5 +309,5 @@ SELECT word, doc_id AS first_doc_id, pos AS first_pos, times FROM r WHERE rn = 1
 def word_first_seen(spark, d):
     from foliant.functions.text import tokens
 
-    t = read_table(spark, d, "documents").select("doc_id", F.posexplode(tokens("text")).alias("pos", "word"))
+    t = R.text_table(spark, d, "documents").select("doc_id", F.posexplode(tokens("text")).alias("pos", "word"))
     return links.first_occurrences(t.withColumn("pos", F.col("pos").cast("bigint")), "word", ["doc_id", "pos"])

@@ -33,19 +33,19 @@ def html_title(spark, d):
 @query("html_text_sql", f"WITH {PAGES} SELECT page_id, length(text) AS n_chars, md5(text) AS text_md5 FROM p")
 def html_text_sql(spark, d):
     t = H.text_from_html("html")
-    return R.raw_pages(spark, d).select("page_id", t.alias("t")).select(
+    return R.raw_pages(spark, d, heavy=True).select("page_id", t.alias("t")).select(
         "page_id", F.length("t").cast("bigint").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
 
 @query("html_text")
 def html_text(spark, d):
-    return cleaning.html_to_text(R.raw_pages(spark, d)).select(
+    return cleaning.html_to_text(R.raw_pages(spark, d, heavy=True)).select(
         "page_id", "title", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
 @query("prune_blocks")
 def prune_blocks(spark, d):
-    return R.raw_pages(spark, d).select(
+    return R.raw_pages(spark, d, heavy=True).select(
         "page_id", cleaning.pruned_text("url", "html", ("/fr/",)).alias("text"))
 
 
@@ -261,7 +261,7 @@ lk AS (SELECT page_id, url AS src_url, position, CASE
 @query("link_table", f"""
 WITH {HREFS_SQL} SELECT page_id, src_url, position, dst_url FROM lk WHERE {sql_host('dst_url')} = {sql_host('src_url')}""")
 def link_table(spark, d):
-    return links.page_links(R.raw_pages(spark, d))
+    return links.page_links(R.raw_pages(spark, d, heavy=True))
 
 
 @query("link_dedup", f"""
@@ -269,7 +269,7 @@ WITH {HREFS_SQL}, f AS (SELECT dst_url, page_id, position, row_number() OVER (PA
                              count(*) OVER (PARTITION BY dst_url) AS times FROM lk)
 SELECT dst_url, page_id AS first_page_id, position AS first_position, times FROM f WHERE rn = 1""")
 def link_dedup(spark, d):
-    return links.first_occurrences(links.page_links(R.raw_pages(spark, d), internal_only=False), "dst_url", ["page_id", "position"])
+    return links.first_occurrences(links.page_links(R.raw_pages(spark, d, heavy=True), internal_only=False), "dst_url", ["page_id", "position"])
 
 
 @query("bfs_depth", """

@@ -15,6 +15,7 @@ from foliant.functions.text import BLANKS, LINE_BREAK
 from foliant.rules import PageRules
 from foliant.schemas import read_table
 from foliant.sources.captures import scan_pages
+from foliant.sources.tables import spread
 
 BL = "'" + BLANKS + "'"
 NL = "'\n'"
@@ -27,17 +28,21 @@ def ts(base: str, minutes) -> F.Column:
 # --- DataFrames -----------------------------------------------------------------
 
 
+def text_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(read_table(spark, d, name))
+
+
 def pages(spark: SparkSession, d: str, with_text: bool = True) -> DataFrame:
-    return scan_pages(read_table(spark, d, "pages"), with_text)
+    return scan_pages(text_table(spark, d, "pages") if with_text else read_table(spark, d, "pages"), with_text)
 
 
-def raw_pages(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "pages")
+def raw_pages(spark: SparkSession, d: str, heavy: bool = False) -> DataFrame:
+    return text_table(spark, d, "pages") if heavy else read_table(spark, d, "pages")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, source_id, url, title, text, lang, fetched_at."""
-    t = read_table(spark, d, "documents")
+    t = text_table(spark, d, "documents")
     return t.select(
         "doc_id", F.col("source").alias("source_id"), doc_url().alias("url"),
         F.substring(F.split("text", "\n")[0], 1, 60).alias("title"), "text", "lang",

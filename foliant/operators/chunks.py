@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 from foliant import rules as R
 from foliant.functions import chunking as C
 from foliant.functions.text import clip_at_space, let, strip, text_or_empty
+from foliant.plans.once import explode_once
 
 
 def split_documents(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",),
                     size: int = R.CHUNK_SIZE, overlap: int = R.CHUNK_OVERLAP) -> DataFrame:
     """(keys, chunk_id, text) with boundary-aware chunks."""
-    return docs.select(*keys, F.posexplode(C.boundary_chunks(text, size, overlap)).alias("chunk_id", "text"))
+    cut = C.boundary_chunks(text, size, overlap)
+    return explode_once(docs, [k for k in keys if k != text], cut, "text", "chunk_id")
 
 
 def split_fixed(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",),
                 size: int = R.FIXED_CHUNK_SIZE, overlap: int = R.FIXED_CHUNK_OVERLAP) -> DataFrame:
-    return docs.select(*keys, F.posexplode(C.fixed_chunks(text, size, overlap)).alias("chunk_id", "text"))
+    cut = C.fixed_chunks(text, size, overlap)
+    return explode_once(docs, [k for k in keys if k != text], cut, "text", "chunk_id")
 
 
 def with_offsets(docs: DataFrame, chunks: Column, text: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -29,7 +32,7 @@ def with_offsets(docs: DataFrame, chunks: Column, text: str = "text", keys: Sequ
         chunks,
         lambda cs: F.arrays_zip(cs.alias("text"), C.chunk_offsets(text, cs).alias("chunk_offset")),
     )
-    zipped = docs.select(*keys, F.posexplode(pairs).alias("chunk_id", "c"))
+    zipped = explode_once(docs, list(keys), pairs, "c", "chunk_id")
     return zipped.select(*keys, "chunk_id", F.col("c").getField("text").alias("text"),
                          F.col("c").getField("chunk_offset").alias("chunk_offset"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliant import rules as R
 from foliant.functions import facts as FX
 from foliant.functions.text import text_or_empty
+from foliant.plans.once import explode_once, with_columns_once
 
 
 def match_facts(docs: DataFrame, rules: Sequence[tuple[str, Sequence[str], int]], text: str = "text",
@@ -23,7 +24,7 @@ def match_facts(docs: DataFrame, rules: Sequence[tuple[str, Sequence[str], int]]
         )
 
     found = [found_by(*rule) for rule in rules]
-    return docs.select(*keys, F.explode(F.concat(*found)).alias("f")).select(*keys, "f.*")
+    return explode_once(docs, list(keys), F.concat(*found), "f").select(*keys, "f.*")
 
 
 def program_fact_rows(docs: DataFrame) -> DataFrame:
@@ -33,11 +34,12 @@ def program_fact_rows(docs: DataFrame) -> DataFrame:
     patterns run on a small share of a corpus.
     """
     url, title, content = F.col("canonical_url"), F.col("title"), F.col("content")
-    gated = docs.filter(FX.is_fact_source(F.col("page_type"), url)).withColumn(
-        "_program", FX.program_name(url, title)
+    gated = with_columns_once(
+        docs.filter(FX.is_fact_source(F.col("page_type"), url)), {"_program": FX.program_name(url, title)}
     )
-    facts = gated.withColumn(
-        "f", F.explode(FX.program_facts(url, title, content, F.col("page_type"), F.col("_program")))
+    facts = explode_once(
+        gated, ["source_id", "canonical_url", "_program"],
+        FX.program_facts(url, title, content, F.col("page_type"), F.col("_program")), "f",
     )
     named = F.when(F.col("f.fact_key") == "program_name", F.col("f.fact_value")).otherwise(F.col("_program"))
     return facts.select(
@@ -50,6 +52,5 @@ def program_fact_rows(docs: DataFrame) -> DataFrame:
 
 
 def profile_fact_rows(pages: DataFrame) -> DataFrame:
-    return pages.select(
-        "url", F.explode(FX.profile_facts(F.col("url"), F.col("title"), F.col("content"))).alias("f")
-    ).select("url", "f.*")
+    found = FX.profile_facts(F.col("url"), F.col("title"), F.col("content"))
+    return explode_once(pages, ["url"], found, "f").select("url", "f.*")

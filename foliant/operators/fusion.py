@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliant import rules as R
 from foliant.functions.text import let, strip, text_or_empty, tokens
+from foliant.plans.once import explode_once
 
 
 def stack_lists(lists: Sequence[DataFrame], key: str = "chunk_key") -> DataFrame:
@@ -55,7 +56,7 @@ def overlap_scorer(pairs: DataFrame, key: str = "chunk_key") -> DataFrame:
     ``lambda df: df.mapInPandas(batch_model, schema)``.
     """
     shared = F.array_intersect(F.array_distinct(tokens("query_text")), tokens("candidate_text"))
-    hits = pairs.select("query_id", key, F.explode(shared).alias("term"))
+    hits = explode_once(pairs, ["query_id", key], shared, "term")
     pool = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("pool"))
     idf = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df")).join(pool, "query_id").select(
         "query_id", "term", F.log(1 + F.col("pool") / F.col("df")).alias("w")

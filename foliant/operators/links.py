@@ -9,13 +9,13 @@ from foliant.functions import html as H
 from foliant.functions import urls
 from foliant.functions.text import distinct_first, strip, text_or_empty
 from foliant.plans.lineage import cut_lineage
+from foliant.plans.once import explode_once
 
 
 def page_links(pages: DataFrame, internal_only: bool = True) -> DataFrame:
     """(page_id, src_url, position, dst_url): absolute link targets in page order."""
-    found = pages.select(
-        "page_id", F.col("url").alias("src_url"), F.posexplode(H.hrefs("html")).alias("position", "href")
-    ).filter(strip(F.col("href")) != "")
+    keys = ["page_id", F.col("url").alias("src_url")]
+    found = explode_once(pages, keys, H.hrefs("html"), "href", "position").filter(strip(F.col("href")) != "")
     out = found.withColumn("dst_url", urls.resolve_link("src_url", "href"))
     if internal_only:
         out = out.filter(urls.host_exact("dst_url") == urls.host_exact("src_url"))

@@ -16,3 +16,15 @@ def with_columns_once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in cols]
     return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
+
+
+def explode_once(df: DataFrame, keys: list, items: Column, value: str, position: str | None = None) -> DataFrame:
+    """Explode an expensive array expression without evaluating it a second time.
+
+    A plain explode makes the optimizer add a "not empty" filter that repeats the
+    array expression below it.  The outer form has no such filter; the rows of
+    empty arrays are removed by their missing position instead.
+    """
+    pos = position or "_pos"
+    out = df.select(*keys, F.posexplode_outer(items).alias(pos, value)).filter(F.col(pos).isNotNull())
+    return out if position else out.drop(pos)

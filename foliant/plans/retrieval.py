@@ -12,31 +12,36 @@ from foliant.functions.answers import build_prompt, context_block
 from foliant.functions.chunking import situated_text
 from foliant.functions.text import text_or_empty
 from foliant.operators import dense, fusion, lexical
+from foliant.plans.lineage import materialize
 
 
 def ranked_lists(chunks: DataFrame, queries: DataFrame, scoped_pattern: str = R.SCOPED_URL_PATTERN,
-                 postings: DataFrame | None = None, stats: DataFrame | None = None, match: str = "web",
+                 postings: DataFrame | None = None, positions: DataFrame | None = None,
+                 stats: DataFrame | None = None, match: str = "web",
                  k_dense: int = R.TOP_K_DENSE, k_lexical: int = R.TOP_K_LEXICAL,
-                 k_scoped: int = R.TOP_K_SCOPED) -> list[DataFrame]:
-    """Dense, lexical and URL-scoped dense lists: (query_id, chunk_key, rank).
+                 k_scoped: int = R.TOP_K_SCOPED) -> DataFrame:
+    """Dense (0), lexical (1) and URL-scoped dense (2) lists: (query_id, chunk_key, rank, list_no).
 
     ``chunks``: chunk_key, source_id, url, title, text, embedding;
-    ``queries``: query_id, source_id, text, embedding.
+    ``queries``: query_id, source_id, text, embedding.  The lists are small (98
+    rows per query at most) and used several times, so they are written once.
     """
     words = F.concat_ws(" ", text_or_empty("title"), F.col("text"))
     scoped = chunks.filter(F.col("url").rlike(scoped_pattern))
-    return [
+    lists = [
         dense.dense_topk(chunks, queries, k_dense),
-        lexical.lexical_topk(chunks, queries, words, k_lexical, match=match, postings=postings, stats=stats),
+        lexical.lexical_topk(chunks, queries, words, k_lexical, match=match, postings=postings,
+                             positions=positions, stats=stats),
         dense.dense_topk(scoped, queries, k_scoped),
     ]
+    return materialize(fusion.stack_lists(lists), "lists")
 
 
 def hybrid_topk(chunks: DataFrame, queries: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None,
                 final: int = R.FINAL_TOP, **options) -> DataFrame:
     """Fused and reranked chunks per query: (query_id, chunk_key, score, rerank_rank)."""
-    return rerank_fused(chunks, queries, fusion.rrf_fuse(fusion.stack_lists(
-        ranked_lists(chunks, queries, **options)), 3), scorer, final)
+    fused = fusion.rrf_fuse(ranked_lists(chunks, queries, **options), 3)
+    return rerank_fused(chunks, queries, fused, scorer, final)
 
 
 def rerank_fused(chunks: DataFrame, queries: DataFrame, fused: DataFrame,
@@ -47,7 +52,8 @@ def rerank_fused(chunks: DataFrame, queries: DataFrame, fused: DataFrame,
     cand = texts.join(fused, "chunk_key").join(
         queries.select("query_id", F.col("text").alias("query_text")), "query_id"
     )
-    return fusion.rerank(cand, scorer, final)
+    # At most 60 candidates per query; a scorer may read them several times.
+    return fusion.rerank(materialize(cand, "candidates"), scorer, final)
 
 
 def build_context(chunks: DataFrame, queries: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None,
@@ -57,8 +63,7 @@ def build_context(chunks: DataFrame, queries: DataFrame, scorer: Callable[[DataF
     ``chunks`` also needs doc_id, chunk_id and fetched_at.
     """
     lists = ranked_lists(chunks, queries, **options)
-    fused = fusion.rrf_fuse(fusion.stack_lists(lists), 3)
-    ranked = rerank_fused(chunks, queries, fused, scorer)
+    ranked = materialize(rerank_fused(chunks, queries, fusion.rrf_fuse(lists, 3), scorer), "ranked")
     seeds = (
         chunks.select("chunk_key", "doc_id", "chunk_id", "url")
         .join(ranked.filter(F.col("rerank_rank") <= R.NEIGHBOR_TOP), "chunk_key")
@@ -67,7 +72,7 @@ def build_context(chunks: DataFrame, queries: DataFrame, scorer: Callable[[DataF
     )
     near = fusion.expand_neighbors(seeds, chunks.select("chunk_key", "doc_id", "chunk_id"))
     tiers = [
-        lists[2].filter(F.col("rank") <= R.SCOPED_KEEP).select("query_id", "chunk_key", F.col("rank").alias("pos")),
+        lists.filter((F.col("list_no") == 2) & (F.col("rank") <= R.SCOPED_KEEP)).select("query_id", "chunk_key", F.col("rank").alias("pos")),
         ranked.select("query_id", "chunk_key", F.col("rerank_rank").alias("pos")),
         near.select("query_id", "chunk_key", F.col("chunk_id").alias("pos")),
     ]

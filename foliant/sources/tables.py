@@ -1,0 +1,21 @@
+"""Reading tables that may consist of very few Parquet row groups."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_INPUT = 1 << 30
+
+
+def spread(df: DataFrame, max_bytes: int = SMALL_INPUT) -> DataFrame:
+    """Distribute a small scan over all cores before CPU-heavy text work.
+
+    A small table is often one file with one row group, which only one task can
+    read.  Inputs above ``max_bytes`` (by the optimizer's size estimate) are left
+    alone: they have enough row groups, and moving their text would cost a shuffle.
+    """
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # noqa: BLE001 - no estimate available (for example on a remote session)
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < max_bytes else df
