@@ -163,7 +163,9 @@ def title_from_file_name(name: Column | str) -> Column:
     n = col(name)
     stem = F.when(n.contains("."), F.regexp_replace(n, r"\.[^.]*$", "")).otherwise(n)
     spaced = strip(F.regexp_replace(F.translate(stem, "-_", "  "), r"(?U)\s+", " "))
-    return F.initcap(spaced)
+    # A capital after every non-letter, not only after blanks.
+    runs = F.regexp_extract_all(F.lower(spaced), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def document_title(meta_title: Column | str, name: Column | str) -> Column:
