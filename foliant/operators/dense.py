@@ -17,6 +17,8 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foliant import rules as R
 
@@ -54,6 +56,7 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, ke
     if len(batch) > max_query_rows:
         return dense_topk_join(usable, rows, k, key, scope, vector)
     spark = chunks.sparkSession
+    q_type, k_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(chunks.schema[key].dataType)
     groups: dict = {}
     for r in batch:
         groups.setdefault(r[scope] if scope else None, []).append((r["query_id"], r[vector]))
@@ -90,12 +93,11 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, ke
                         pick = np.nonzero(s >= np.partition(s, at.size - k)[at.size - k])[0]
                     best = pick[np.lexsort((own[pick], -s[pick]))[:k]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(qids[j], best.size)), pa.array(own[best]), pa.array(s[best])],
+                        [pa.array(np.repeat(qids[j], best.size), q_type), pa.array(own[best], k_type), pa.array(s[best])],
                         names=["query_id", key, "similarity"],
                     )
 
-    q_type, k_type = queries.schema["query_id"].dataType, chunks.schema[key].dataType
-    schema = f"query_id {q_type.simpleString()}, {key} {k_type.simpleString()}, similarity double"
+    schema = StructType([queries.schema["query_id"], chunks.schema[key], StructField("similarity", DoubleType())])
     hits = usable.select(key, vector, *scope_q).mapInArrow(scan, schema)
     return _topk(hits, k, key)
 

@@ -15,8 +15,13 @@ def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def write_store(df: DataFrame, path: str, key: str = "canonical_url", buckets: int = 64) -> None:
-    """Create a store partitioned by a hash bucket of the key (even, whatever the sources' sizes)."""
-    _bucketed(df, key, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Create a store partitioned by a hash bucket of the key (even, whatever the sources' sizes).
+
+    The empty bucket -1 keeps the schema readable even when no row exists yet.
+    """
+    rows = _bucketed(df, key, buckets)
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/bucket=-1")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -34,13 +39,14 @@ def merge_into_store(spark: SparkSession, path: str, incoming: DataFrame, key: s
     stage = new_dir(spark, "merge")
     fresh = _bucketed(incoming, key, buckets)
     fresh.write.parquet(f"{stage}/incoming")
-    fresh = spark.read.parquet(f"{stage}/incoming")
+    fresh = spark.read.schema(fresh.schema).parquet(f"{stage}/incoming")
     touched = fresh.select("bucket").distinct()
     # The bucket join prunes the store's partitions at run time.
     old = spark.read.parquet(path).join(touched, "bucket", "left_semi")
     merged = upsert_documents(old.drop("bucket"), fresh.drop("bucket").select(*old.drop("bucket").columns), key)
-    _bucketed(merged, key, buckets).write.partitionBy("bucket").parquet(f"{stage}/merged")
-    spark.read.parquet(f"{stage}/merged").repartition("bucket").write.mode("overwrite").option(
+    merged = _bucketed(merged, key, buckets)
+    merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{stage}/merged")
+    spark.read.schema(merged.schema).parquet(f"{stage}/merged").repartition("bucket").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

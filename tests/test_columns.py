@@ -187,7 +187,7 @@ def test_html_patterns(one):
 def test_document_links(one):
     html = ("<a href='/d/a.pdf#p'>1</a><a href=\"/d/a.pdf?x=1\">2</a><a href='/d/b.html'>3</a> [m](c.PDF?v=2) [again](/d/a.pdf)")
     got = one(links.document_links(F.col("h"), F.col("b")), h=html, b="https://h.org/x/y")
-    assert got == ["https://h.org/d/a.pdf?x=1", "https://h.org/x/c.PDF?v=2"] or got[0] == "https://h.org/d/a.pdf#p"
+    assert got == ["https://h.org/d/a.pdf?x=1", "https://h.org/x/c.PDF?v=2"]
 
 
 def test_greetings(one):
