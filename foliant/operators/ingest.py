@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import urls
+from foliant.plans.lineage import materialize
 from foliant.plans.skew import attach_by_key, first_rows
 
 
@@ -27,7 +28,10 @@ def dedup_decisions(
     with a hot-key safe join, so a group holding a third of all pages is fine.
     """
     key = ["source_id", "content_hash"]
-    inc = incoming.select("doc_id", *key, "canonical_url", *([order] if order != "doc_id" else []))
+    # Read several times below: the narrow key table is written once, so hashing runs once.
+    inc = materialize(
+        incoming.select("doc_id", *key, "canonical_url", *([order] if order != "doc_id" else [])), "incoming"
+    )
     order_cols = [order] if order == "doc_id" else [order, "doc_id"]
     winners = first_rows(inc, key, order_cols, ["doc_id", "canonical_url"])
     per_hash = winners.select(
@@ -49,7 +53,7 @@ def dedup_decisions(
             by_url = by_url.join(chunk_counts.select("canonical_url", "n_chunks"), "canonical_url", "left")
         else:
             by_url = by_url.withColumn("n_chunks", F.lit(1).cast("bigint"))
-    rows = attach_by_key(inc, per_hash, key, "n_rows", "doc_id")
+    rows = attach_by_key(inc, materialize(per_hash, "per-hash"), key, "n_rows", "doc_id")
     rows = rows.join(first_of_url, "canonical_url", "left")
     if by_url is None:
         rows = rows.withColumns({"old_hash": F.lit(None).cast("string"), "n_chunks": F.lit(None).cast("bigint")})

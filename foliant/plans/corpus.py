@@ -12,6 +12,8 @@ from foliant.functions import chunking as C
 from foliant.functions import urls
 from foliant.operators import chunks as CH
 from foliant.operators import classify, cleaning, facts, ingest
+from foliant.plans.lineage import materialize
+from foliant.plans.once import with_columns_once
 from foliant.rules import PageRules
 
 
@@ -26,10 +28,10 @@ class Corpus:
     facts: DataFrame
 
 
-def prepare_documents(pages: DataFrame, rules: PageRules = PageRules(), allowed_host: Column | str = "") -> DataFrame:
+def documents_from_outcomes(outcomes: DataFrame) -> DataFrame:
     """Accepted pages as document rows: canonical URL, cleaned text, hash, class."""
-    rows = classify.page_outcomes(pages, rules, allowed_host).filter("outcome = 'accepted'")
-    rows = rows.withColumn("content", cleaning.clean_lines("text")).filter("content <> ''")
+    rows = outcomes.filter("outcome = 'accepted'")
+    rows = with_columns_once(rows, {"content": cleaning.clean_lines("text")}).filter("content <> ''")
     return rows.select(
         F.col("page_id").alias("doc_id"),
         urls.registered_domain("url").alias("source_id"),
@@ -39,6 +41,18 @@ def prepare_documents(pages: DataFrame, rules: PageRules = PageRules(), allowed_
     )
 
 
+def prepare_documents(pages: DataFrame, rules: PageRules = PageRules(), allowed_host: Column | str = "") -> DataFrame:
+    """Document rows of captured pages, written once (several later steps read them)."""
+    return materialize(documents_from_outcomes(classify.page_outcomes(pages, rules, allowed_host)), "documents")
+
+
+def surviving(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """New and changed documents; of several versions of a URL the last one."""
+    live = decisions.filter(F.col("decision").isin("saved", "updated"))
+    last = live.groupBy("canonical_url").agg(F.max("doc_id").alias("doc_id")).select("doc_id")
+    return docs.join(last, "doc_id", "left_semi")
+
+
 def chunk_rows(documents: DataFrame, size: int = R.CHUNK_SIZE, overlap: int = R.CHUNK_OVERLAP) -> DataFrame:
     """Chunks with their context and situated text (doc_id, source_id, chunk_id, text, context, situated)."""
     base = documents.select("doc_id", "source_id", "title", "content")
@@ -52,12 +66,13 @@ def chunk_rows(documents: DataFrame, size: int = R.CHUNK_SIZE, overlap: int = R.
 
 def build_corpus(pages: DataFrame, rules: PageRules = PageRules(), allowed_host: Column | str = "",
                  stored: DataFrame | None = None, stored_counts: DataFrame | None = None) -> Corpus:
-    """Whole ingest as DataFrames; only documents that are new or changed are chunked."""
-    outcomes = classify.page_outcomes(pages, rules, allowed_host)
-    docs = prepare_documents(pages, rules, allowed_host)
-    decisions = ingest.dedup_decisions(docs, stored, stored_counts)
-    live = decisions.filter(F.col("decision").isin("saved", "updated"))
-    # The last accepted version of a URL is the one that stays.
-    last = live.groupBy("canonical_url").agg(F.max("doc_id").alias("doc_id")).select("doc_id")
-    documents = docs.join(last, "doc_id", "left_semi")
+    """Whole ingest of one batch; only documents that are new or changed are chunked.
+
+    Pages with their text and outcome are written once, so HTML is read and
+    cleaned once however many of the results are used.
+    """
+    outcomes = materialize(classify.page_outcomes(pages, rules, allowed_host), "outcomes")
+    docs = materialize(documents_from_outcomes(outcomes), "documents")
+    decisions = materialize(ingest.dedup_decisions(docs, stored, stored_counts), "decisions")
+    documents = surviving(docs, decisions)
     return Corpus(outcomes, decisions, documents, chunk_rows(documents), facts.program_fact_rows(documents))

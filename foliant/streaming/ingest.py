@@ -15,6 +15,7 @@ from foliant.functions import html as H
 from foliant.functions import urls
 from foliant.functions.text import strip
 from foliant.operators import metrics
+from foliant.operators.ingest import dedup_decisions
 from foliant.plans import corpus
 from foliant.rules import PageRules
 from foliant.sources import sinks
@@ -41,10 +42,7 @@ def ingest_stream(pages: DataFrame, store: str, checkpoint: str, rules: PageRule
         stored = sinks.read_store(spark, store)
         docs = corpus.prepare_documents(scan_pages(batch), rules, allowed_host)
         keys = stored.select("source_id", "canonical_url", "content_hash")
-        built = corpus.ingest.dedup_decisions(docs, keys)
-        live = built.filter(F.col("decision").isin("saved", "updated"))
-        last = live.groupBy("canonical_url").agg(F.max("doc_id").alias("doc_id")).select("doc_id")
-        fresh = docs.join(last, "doc_id", "left_semi")
+        fresh = corpus.surviving(docs, dedup_decisions(docs, keys))
         sinks.merge_into_store(spark, store, fresh, buckets=buckets)
 
     return (
