@@ -98,11 +98,10 @@ def dense_scoped(spark, d):
     return shown(dense.dense_topk(c, centroid_queries(spark, d), RULES.TOP_K_SCOPED))
 
 
-@query("dense_join_topk", f"WITH {VEC}, {sql_dense('t', 'vc', 'cq', RULES.TOP_K_DENSE)} SELECT query_id, chunk_key, round(similarity, 6) AS similarity, rank FROM t")
-def dense_join_topk(spark, d):
-    """The path for query batches too large to send to every task."""
-    return shown(dense.dense_topk_join(vector_chunks(spark, d), centroid_queries(spark, d), RULES.TOP_K_DENSE,
-                                       "chunk_key", "source_id", "embedding"))
+@query("dense_parts_topk", f"WITH {VEC}, {sql_dense('t', 'vc', 'cq', RULES.TOP_K_DENSE)} SELECT query_id, chunk_key, round(similarity, 6) AS similarity, rank FROM t")
+def dense_parts_topk(spark, d):
+    """The path for query batches above the size bound of one part."""
+    return shown(dense.dense_topk(vector_chunks(spark, d), centroid_queries(spark, d), max_query_rows=4))
 
 
 @query("ann_topk")

@@ -3,8 +3,8 @@
 Exact search multiplies Arrow batches of corpus vectors with the query matrix
 (one matrix product per batch) and emits only the best ``k`` of each batch, so
 the corpus is read once, nothing but candidates is shuffled and no pair table is
-ever built.  The query matrix goes to the tasks only when its row count is below
-a checked limit; a larger batch takes the equi-join path, which is exact too.
+ever built.  The query matrix sent to the tasks has a checked size; a larger batch
+is searched in several parts, each below that size.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foliant import rules as R
+from foliant.plans.once import explode_once
 
-# Largest query batch sent to every task: rows x dimensions stay near 64 MB at 1536 floats.
-MAX_QUERY_ROWS = 10_000
+# Size bounds of one query matrix sent to the tasks: rows, and values (64 MB in double precision).
+MAX_QUERY_ROWS = 5_000
+MAX_QUERY_VALUES = 8_000_000
 DIGITS = 9  # similarities are compared after rounding, so the order does not depend on summation order
 
 
@@ -48,17 +50,34 @@ def _topk(hits: DataFrame, k: int, key: str) -> DataFrame:
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, key: str = "chunk_key",
                scope: str | None = "source_id", vector: str = "embedding",
                max_query_rows: int = MAX_QUERY_ROWS) -> DataFrame:
-    """(query_id, key, similarity, rank): ``k`` nearest chunks by cosine within the query's source."""
+    """(query_id, key, similarity, rank): ``k`` nearest chunks by cosine within the query's source.
+
+    A batch above the size bound is cut into hash parts below it; every part is
+    one scan of the corpus (the matrix product dominates the scan by far), and
+    the parts' results are simply stacked, because no two parts share a query.
+    """
     usable = chunks.filter(F.col(vector).isNotNull())
-    scope_q = [scope] if scope else []
-    rows = queries.select("query_id", vector, *scope_q).filter(F.col(vector).isNotNull())
-    batch = rows.limit(max_query_rows + 1).collect()
-    if len(batch) > max_query_rows:
-        return dense_topk_join(usable, rows, k, key, scope, vector)
+    rows = queries.select("query_id", vector, *([scope] if scope else [])).filter(F.col(vector).isNotNull())
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(1)).alias("dims")).first()
+    most = max(1, min(max_query_rows, MAX_QUERY_VALUES // max(1, size["dims"])))
+    if size["n"] <= most:
+        return _topk(_scan(usable, rows, k, key, scope, vector), k, key)
+    # Hash parts vary in size; aiming at half the bound keeps them below it.
+    n_parts = -(-size["n"] * 2 // most)
+    hits = None
+    for n in range(n_parts):
+        part = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_parts)) == n)
+        found = _scan(usable, part, k, key, scope, vector)
+        hits = found if hits is None else hits.unionByName(found)
+    return _topk(hits, k, key)
+
+
+def _scan(chunks: DataFrame, queries: DataFrame, k: int, key: str, scope: str | None, vector: str) -> DataFrame:
+    """Best ``k`` chunks of every task for a bounded set of queries."""
     spark = chunks.sparkSession
     q_type, k_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(chunks.schema[key].dataType)
     groups: dict = {}
-    for r in batch:
+    for r in queries.collect():
         groups.setdefault(r[scope] if scope else None, []).append((r["query_id"], r[vector]))
     packed = {}
     for name, items in groups.items():
@@ -69,6 +88,7 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, ke
     shared = spark.sparkContext.broadcast(packed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}  # (scope, query index) -> (similarities, keys), k entries at most
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -86,39 +106,35 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, ke
                 sims = np.round(mat[at] @ qmat.T, DIGITS)
                 own = keys[at]
                 for j in range(len(qids)):
-                    s = sims[:, j]
-                    pick = np.arange(at.size)
+                    s, ids = sims[:, j], own
                     if at.size > k:
                         # Everything at or above the k-th value, ties included; exact order below.
                         pick = np.nonzero(s >= np.partition(s, at.size - k)[at.size - k])[0]
-                    best = pick[np.lexsort((own[pick], -s[pick]))[:k]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(qids[j], best.size), q_type), pa.array(own[best], k_type), pa.array(s[best])],
-                        names=["query_id", key, "similarity"],
-                    )
+                        s, ids = s[pick], ids[pick]
+                    if (name, j) in best:
+                        s = np.concatenate([best[name, j][0], s])
+                        ids = np.concatenate([best[name, j][1], ids])
+                    order = np.lexsort((ids, -s))[:k]
+                    best[name, j] = (s[order], ids[order])
+        for (name, j), (s, ids) in best.items():
+            qid = shared.value[name][0][j]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(qid, s.size), q_type), pa.array(ids, k_type), pa.array(s)],
+                names=["query_id", key, "similarity"],
+            )
 
     schema = StructType([queries.schema["query_id"], chunks.schema[key], StructField("similarity", DoubleType())])
-    hits = usable.select(key, vector, *scope_q).mapInArrow(scan, schema)
-    return _topk(hits, k, key)
-
-
-def dense_topk_join(chunks: DataFrame, queries: DataFrame, k: int, key: str, scope: str | None,
-                    vector: str) -> DataFrame:
-    """Same result for query batches of any size: equi-join by scope, best ``k`` kept map-side."""
-    by = scope or "_all"
-    c = chunks.select(key, F.col(vector).alias("_cv"), F.col(scope) if scope else F.lit(0).alias(by))
-    q = queries.select("query_id", F.col(vector).alias("_qv"), F.col(scope) if scope else F.lit(0).alias(by))
-    sims = F.round(cosine(F.col("_cv"), F.col("_qv")), DIGITS)
-    hits = c.join(q, by).select("query_id", key, sims.alias("similarity"))
-    return _topk(hits.filter("similarity is not null"), k, key)
+    return chunks.select(key, vector, *([scope] if scope else [])).mapInArrow(scan, schema)
 
 
 def ann_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, key: str = "chunk_key",
-             vector: str = "embedding", tables: int = 4, bucket: float = 0.7, seed: int = 7) -> DataFrame:
-    """Approximate neighbours: random-projection buckets, then exact similarity of the candidates.
+             scope: str | None = None, vector: str = "embedding", tables: int = 4, bucket: float = 0.7,
+             seed: int = 7) -> DataFrame:
+    """Approximate neighbours: random-projection buckets choose the chunks, exact search ranks them.
 
-    Corpus and queries meet only in shared buckets; the pair is scored right
-    after the join and the best ``k`` per query are kept before the next shuffle.
+    A chunk is looked at when it shares a bucket with any query.  The bucket test
+    is a semi-join with the distinct query buckets, so no query-chunk pairs are
+    built, however full a bucket is.
     """
     unit = Normalizer(inputCol="_v", outputCol="_u", p=2.0)
     lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket,
@@ -126,15 +142,15 @@ def ann_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, key:
 
     def prepared(df: DataFrame, ident: str) -> DataFrame:
         return unit.transform(df.filter(F.col(vector).isNotNull()).select(
-            ident, vector, array_to_vector(F.col(vector).cast("array<double>")).alias("_v")))
+            ident, array_to_vector(F.col(vector).cast("array<double>")).alias("_v")))
 
-    corpus, batch = prepared(chunks, key), prepared(queries, "query_id")
+    corpus = prepared(chunks, key)
     model = lsh.fit(corpus)
 
-    def flat(df: DataFrame, ident: str, alias: str) -> DataFrame:
-        h = model.transform(df).select(ident, F.col(vector).alias(alias), F.posexplode("_h").alias("_t", "_hv"))
-        return h.select(ident, alias, "_t", F.get(vector_to_array("_hv"), F.lit(0)).alias("_b"))
+    def buckets(df: DataFrame, ident: str) -> DataFrame:
+        hashed = explode_once(model.transform(df), [ident], F.col("_h"), "_hv", "_t")
+        return hashed.select(ident, "_t", F.get(vector_to_array("_hv"), F.lit(0)).alias("_b"))
 
-    pairs = flat(corpus, key, "_cv").join(flat(batch, "query_id", "_qv"), ["_t", "_b"])
-    scored = pairs.select("query_id", key, F.round(cosine(F.col("_cv"), F.col("_qv")), DIGITS).alias("similarity"))
-    return _topk(scored.groupBy("query_id", key).agg(F.max("similarity").alias("similarity")), k, key)
+    wanted = buckets(prepared(queries, "query_id"), "query_id").select("_t", "_b").distinct()
+    near = buckets(corpus, key).join(wanted, ["_t", "_b"], "left_semi").select(key).distinct()
+    return dense_topk(chunks.join(near, key, "left_semi"), queries, k, key, scope, vector)

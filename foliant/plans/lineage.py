@@ -20,8 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_STAGED: list[str] = []  # folders made by this session
+
+
 def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _STAGED[-1]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -41,3 +45,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this session wrote with ``new_dir``; call it when the results are no longer read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -413,3 +413,28 @@ def test_profile_rows_and_gates(spark):
     row = classify.program_page_gates(df).first()
     assert (row.is_canonical, row.is_program_page, row.is_fact_source, row.is_year_source, row.has_signals) == (True, True, True, True, False)
     assert R.RRF_C == 60
+
+
+def test_reports_and_staging(spark, tmp_path):
+    import os
+
+    from foliant.plans import lineage
+
+    rows = spark.createDataFrame([("https://h/a", 1, "blocked_host"), ("https://h/a", 2, "blocked_host"), ("https://h/b", 3, "invalid:too_short"),
+                                  ("https://h/c", 4, "accepted")], "url string, position int, outcome string")
+    lists = metrics.report_lists(rows)
+    assert {(r.list, r.entry, r.times) for r in lists.collect()} == {
+        ("blocked_by_host_filter", "https://h/a", 2), ("skipped_invalid_content", "https://h/b\ttoo_short", 1)}
+    counters = metrics.crawl_counters(rows.withColumns({"job_id": F.lit(1), "priority": F.lit(True)}))
+    sinks.write_report(lists, counters, str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report/lists")).count() == 2
+    assert spark.read.json(str(tmp_path / "report/summary")).first().saved_docs == 1
+    staged = lineage.materialize(rows, "kept")
+    assert staged.count() == 4
+    folder = staged.inputFiles()[0].split("file://")[-1].rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    lineage.clear_staged(spark)
+    assert not os.path.isdir(folder)
+    got = spark.range(1).select(F.round(dense.cosine(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(2.0), F.lit(1.0))), 6).alias("c"),
+                                dense.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("z")).first()
+    assert (got.c, got.z) == (0.8, None)
