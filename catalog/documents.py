@@ -9,8 +9,9 @@ from catalog.registry import query
 from catalog.roles import BL, DOCS
 from foliant import rules as RULES
 from foliant.functions import chunking as C
-from foliant.functions.text import LINE_BREAK, clip_at_space
+from foliant.functions.text import LINE_BREAK, clip_at_space, let
 from foliant.operators import access, chunks, cleaning, facts, ingest, links, metrics
+from foliant.plans.once import explode_once
 from foliant.schemas import read_table
 
 LABELS = ("de.", "the.", "et.")
@@ -165,10 +166,14 @@ w AS (SELECT c.doc_id, chunk_id, d.text AS doc, length(d.text) AS total, greates
 SELECT doc_id, chunk_id, md5(CASE WHEN total <= 8000 THEN doc ELSE substring(doc, 1, 2000) || '\n[…]\n' ||
    CASE WHEN s > 0 THEN '[…]\n' ELSE '' END || substring(doc, s + 1, e - s) || CASE WHEN e < total THEN '\n[…]' ELSE '' END END) AS window_md5 FROM w""")
 def doc_window(spark, d):
-    # The text column rides along with its chunks inside the row; no join back to the documents.
-    t = chunks.split_fixed(R.text_table(spark, d, "documents").withColumn("doc", F.col("text")), keys=("doc_id", "doc"))
-    w = C.document_window("doc", F.col("chunk_id") * (SIZE - OVER), F.length("text"))
-    return t.select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.md5(w.cast("binary")).alias("window_md5"))
+    docs = R.text_table(spark, d, "documents")
+    cut = C.fixed_chunks("text")
+
+    def windows(cs):
+        return F.transform(cs, lambda c, i: C.document_window("text", i * (SIZE - OVER), F.length(c)))
+
+    w = explode_once(docs, ["doc_id"], let(cut, windows), "window", "chunk_id")
+    return w.select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.md5(F.col("window").cast("binary")).alias("window_md5"))
 
 
 @query("situated_text", f"""

@@ -58,26 +58,28 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, ke
     """
     usable = chunks.filter(F.col(vector).isNotNull())
     rows = queries.select("query_id", vector, *([scope] if scope else [])).filter(F.col(vector).isNotNull())
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(1)).alias("dims")).first()
-    most = max(1, min(max_query_rows, MAX_QUERY_VALUES // max(1, size["dims"])))
-    if size["n"] <= most:
-        return _topk(_scan(usable, rows, k, key, scope, vector), k, key)
+    first = rows.limit(max_query_rows + 1).collect()
+    dims = max((len(r[vector]) for r in first), default=1)
+    most = max(1, min(max_query_rows, MAX_QUERY_VALUES // max(1, dims)))
+    if len(first) <= most:
+        return _topk(_scan(usable, first, rows, k, key, scope, vector), k, key)
     # Hash parts vary in size; aiming at half the bound keeps them below it.
-    n_parts = -(-size["n"] * 2 // most)
+    n_parts = -(-rows.count() * 2 // most)
     hits = None
     for n in range(n_parts):
         part = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_parts)) == n)
-        found = _scan(usable, part, k, key, scope, vector)
+        found = _scan(usable, part.collect(), rows, k, key, scope, vector)
         hits = found if hits is None else hits.unionByName(found)
     return _topk(hits, k, key)
 
 
-def _scan(chunks: DataFrame, queries: DataFrame, k: int, key: str, scope: str | None, vector: str) -> DataFrame:
+def _scan(chunks: DataFrame, batch: list, queries: DataFrame, k: int, key: str, scope: str | None,
+          vector: str) -> DataFrame:
     """Best ``k`` chunks of every task for a bounded set of queries."""
     spark = chunks.sparkSession
     q_type, k_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(chunks.schema[key].dataType)
     groups: dict = {}
-    for r in queries.collect():
+    for r in batch:
         groups.setdefault(r[scope] if scope else None, []).append((r["query_id"], r[vector]))
     packed = {}
     for name, items in groups.items():

@@ -55,11 +55,9 @@ def surviving(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def chunk_rows(documents: DataFrame, size: int = R.CHUNK_SIZE, overlap: int = R.CHUNK_OVERLAP) -> DataFrame:
     """Chunks with their context and situated text (doc_id, source_id, chunk_id, text, context, situated)."""
-    base = documents.select("doc_id", "source_id", "title", "content")
-    pieces = CH.with_offsets(base, C.boundary_chunks("content", size, overlap), "content",
-                             ("doc_id", "source_id", "title", "content"))
-    window = F.substr("content", F.lit(1), F.col("chunk_offset"))
-    rows = pieces.withColumn("context", CH.default_context(F.col("title"), window))
+    pieces = CH.with_offsets(documents, C.boundary_chunks("content", size, overlap), "content",
+                             ("doc_id", "source_id", "title"))
+    rows = pieces.withColumn("context", CH.default_context(F.col("title"), F.col("heading")))
     return rows.select("doc_id", "source_id", "chunk_id", "chunk_offset", "text", "context",
                        C.situated_text("context", "text").alias("situated"))
 

@@ -26,6 +26,7 @@ def ranked_lists(chunks: DataFrame, queries: DataFrame, scoped_pattern: str = R.
     ``queries``: query_id, source_id, text, embedding.  The lists are small (98
     rows per query at most) and used several times, so they are written once.
     """
+    queries = materialize(queries, "queries")
     words = F.concat_ws(" ", text_or_empty("title"), F.col("text"))
     scoped = chunks.filter(F.col("url").rlike(scoped_pattern))
     lists = [

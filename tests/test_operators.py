@@ -160,6 +160,17 @@ def test_spans(spark):
     assert (doc.text, doc.page_count) == ("## Gran título\n### Sub\n**negrita**\npunto.", 2)
 
 
+def test_headings_and_windows(spark):
+    from foliant.functions import chunking as C
+    from foliant.operators import chunks
+
+    doc = "# Uno\n" + "a " * 300 + "\n## Dos\n" + "b " * 300 + "\nfin"
+    df = spark.createDataFrame([(1, doc)], "doc_id int, text string")
+    rows = chunks.with_offsets(df, C.boundary_chunks("text")).orderBy("chunk_id").collect()
+    assert [r.heading for r in rows][:2] == ["", "Uno"] and rows[-1].heading == "Dos"
+    assert chunks.document_windows(df, C.boundary_chunks("text")).first().window == doc
+
+
 # --- links -------------------------------------------------------------------------------------
 
 
