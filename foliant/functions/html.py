@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant import rules
-from foliant.functions.text import col, drop_repeats, lines, strip, text_or_empty
+from foliant.functions.text import drop_repeats, lines, strip, text_or_empty
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<!--.*?-->"
