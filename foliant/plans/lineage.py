@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Folder named by ``spark.checkpoint.dir``; where it is unset (tests, a laptop), one in the warehouse.
+
+    The warehouse is the other place every executor has to reach, so neither
+    choice depends on a machine's own temporary folder.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    made = tempfile.mkdtemp(prefix="foliant-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
 _STAGED: list[str] = []  # folders made by this session
