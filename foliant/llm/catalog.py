@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, url_trust
+from foliant.llm import chat, token_files, url_trust
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,18 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit(PROBE).alias("text"))
     return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
+
+
+# --- 2: token files --------------------------------------------------------------------
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(table(spark, sf_dir, "documents"), byte_bpe())
+    return token_files.read_tokens(spark, files)
