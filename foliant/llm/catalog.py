@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, token_files, url_trust
+from foliant.llm import chat, lang_id, perplexity, token_files, url_trust
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -120,3 +120,25 @@ def byte_bpe() -> str:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_tokens(table(spark, sf_dir, "documents"), byte_bpe())
     return token_files.read_tokens(spark, files)
+
+
+# --- 6: language ID --------------------------------------------------------------------
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query("op6_lang_id")
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+    out = lang_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+# --- 3: quality rules ------------------------------------------------------------------
+
+
+@query("op3_perplexity")
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(table(spark, sf_dir, "documents"))
