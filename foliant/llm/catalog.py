@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, lang_id, perplexity, token_files, url_trust
+from foliant.llm import chat, contamination, lang_id, perplexity, token_files, url_trust
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -142,3 +142,11 @@ def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_perplexity")
 def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality(table(spark, sf_dir, "documents"))
+
+
+# --- 7: benchmark decontamination ------------------------------------------------------
+
+
+@query("op7_spaced_seeds")
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
