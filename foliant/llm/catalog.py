@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, contamination, lang_id, perplexity, token_files, url_trust
+from foliant.llm import chat, contamination, lang_id, mixing, near_dedup, perplexity, token_files, url_trust
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -150,3 +150,49 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_spaced_seeds")
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --- 8: mixing -------------------------------------------------------------------------
+
+MIX_TARGETS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
+
+
+def _mix_sql(rounds: int = 6, max_ratio: float = 1.5) -> str:
+    goals = ",\n".join(
+        f"goal_{d} AS MATERIALIZED (SELECT {d}, power(n, {a}) / sum(power(n, {a})) OVER () * sum(n) OVER () AS goal FROM "
+        f"(SELECT {d}, sum(n)::DOUBLE AS n FROM cells GROUP BY {d}))" for d, a in MIX_TARGETS.items())
+    steps, last = [], "w0"
+    for i in range(rounds):
+        for d in MIX_TARGETS:
+            name = f"w{i + 1}_{d}"
+            steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, n, least(w * goal / sum(w) OVER (PARTITION BY {d}), "
+                         f"n * {max_ratio}) AS w FROM {last} JOIN goal_{d} USING ({d}))")
+            last = name
+    return f"""
+    WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang,
+        CASE WHEN regexp_matches(text, '(?i)licen[cs]ed|copyright') THEN 'licence' WHEN regexp_matches(text, ' \\| ') THEN 'table'
+             WHEN regexp_matches(text, '[0-9]{{3}}') THEN 'numbers' ELSE 'other' END AS topic,
+        coalesce(length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens FROM documents),
+    cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS n FROM d GROUP BY ALL),
+    {goals},
+    w0 AS (SELECT source, lang, topic, n, n::DOUBLE AS w FROM cells),
+    {", ".join(steps)}
+    SELECT doc_id, nullif(source, chr(0)) AS source, nullif(lang, chr(0)) AS lang, topic, tokens::BIGINT AS tokens,
+           round(w / n / {max_ratio}, 6) AS prob,
+           ('0x' || substr(md5('mix' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < w / n / {max_ratio} AS kept
+    FROM d JOIN {last} USING (source, lang, topic)"""
+
+
+@query("op8_mixing", _mix_sql())
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = mixing.mix(docs, MIX_TARGETS, columns=["doc_id", "source", "lang"])
+    return out.withColumn("prob", F.round("prob", 6))
+
+
+# --- 4: near duplicates ----------------------------------------------------------------
+
+
+@query("op4_near_dedup")
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
