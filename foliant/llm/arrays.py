@@ -51,10 +51,13 @@ def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts and their offsets (null: empty)."""
+    """Bytes of all texts (UTF-8) or binary values and their offsets (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    else:
+        column = pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64)[column.offset: column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
@@ -89,7 +92,13 @@ def tokens(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return run_hashes(BYTES[data], s, e)
+    """Hashes of the words, in stretches of about 4 MB: a very long text needs no tables of its length."""
+    out, i = [np.zeros(0, np.uint64)], 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + (4 << 20), "right")))
+        out.append(run_hashes(BYTES[data[s[i]: e[j - 1]]], s[i:j] - s[i], e[i:j] - s[i]))
+        i = j
+    return np.concatenate(out)
 
 
 def doc_of(bounds: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, contamination, lang_id, mixing, near_dedup, perplexity, token_files, url_trust
+from foliant.llm import chat, contamination, lang_id, mixing, near_dedup, perplexity, rlz_dedup, suffix_dedup, token_files, url_trust
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -196,3 +196,32 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_near_dedup")
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+# --- 1: substring dedup ----------------------------------------------------------------
+
+
+@query("op1_rlz_dedup", r"""
+    WITH d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+    win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 19], ' ')) AS w
+            FROM d, unnest(range(1, len(ws) - 18)) AS t(i)),
+    later AS (SELECT doc_id, i FROM (SELECT *, rank() OVER (PARTITION BY w ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+    word AS (SELECT doc_id, i, ws[i] AS word FROM d, unnest(range(1, len(ws) + 1)) AS t(i)),
+    near AS (SELECT doc_id, i, word, max(later.i) OVER (PARTITION BY doc_id ORDER BY i) AS last
+             FROM word LEFT JOIN later USING (doc_id, i))
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (i - last < 20) AS n_removed,
+                             string_agg(word, ' ' ORDER BY i) FILTER (near.last IS NULL OR i - near.last >= 20) AS kept
+                      FROM near GROUP BY doc_id) USING (doc_id)""")
+def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rlz_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+# --- 10: suffix-order dedup ------------------------------------------------------------
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

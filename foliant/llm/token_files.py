@@ -14,15 +14,17 @@ gives empty files; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,17 +33,43 @@ from pyspark.sql import functions as F
 from foliant.plans.lineage import materialize, new_dir
 
 MAX_VOCABULARY = 1 << 20  # bound of the rank table that every task loads
-CACHE = 600_000  # pieces remembered by a worker; then it starts anew
-ODD_SPACE = re.compile(r"\s \s|\s | \s|^ | $")
-_known: dict[str, tuple] = {}
+CACHE = 400_000  # words in a generation of a worker's memory
+_known: dict[str, Encoder] = {}
+
+# Fixed values of byte-level BPE: how a text falls into pieces, and the character that stands for each byte.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+SIMPLE = regex.compile(r"[\n!-~\u00A1-\u00AC\u00AE-\u024F]+")  # words that this module may split by itself
+SPECIAL = "<|"
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+
+
+class Words(dict):
+    """Ids of the words already seen.  Two generations bound it: what the older one still gives moves on."""
+
+    def __init__(self, compute, size: int = CACHE):
+        super().__init__()
+        self.compute, self.size, self.older = compute, size, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.compute(word)
+        self[word] = ids
+        return ids
 
 
 class Encoder:
-    """Whole texts through the tokenizer, remembering the ids of pieces already seen.
+    """Whole texts through the tokenizer, remembering the ids of words already seen.
 
     Byte-level BPE never joins across a single space between two other
     characters that are not white space: the space opens the next piece.  Texts
-    with any other white space around a space go to the tokenizer as they are.
+    with any other white space around a space go to the tokenizer as they are,
+    and so do words with characters beyond Latin letters or with special tokens.
     """
 
     def __init__(self, path: str):
@@ -49,26 +77,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text
-        self.later: dict[str, bytes] = {}  # pieces after a space
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = json.loads(self.tokenizer.to_str())
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.simple = kind["normalizer"] is None and kind["pre_tokenizer"] == plain and kind["model"]["type"] == "BPE"
+        self.first, self.later = Words(self._whole, 20_000), Words(self._word)  # at the start of a text; after a space
+        self.pieces = Words(self._piece, CACHE // 3)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = "".join(map(BYTE_CHARS.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a space, piece by piece through the tokenizer's model."""
+        if not self.simple or not SIMPLE.fullmatch(word) or SPECIAL in word:
+            return self._whole(" " + word)
+        if word.isascii() and word.isalpha():
+            return self._piece(" " + word)
+        if word.isascii() and word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(" " + word)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.later) > CACHE:
-            self.first, self.later = {}, {}
-        split = [None if ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        new = {w for p in split if p for w in p[1:] if w not in self.later}
-        if new:
-            new = list(new)
-            self.later.update(zip(new, self._ids([" " + w for w in new]), strict=True))
-        heads = list({p[0] for p in split if p and p[0] not in self.first})
-        self.first.update(zip(heads, self._ids(heads), strict=True))
-        whole = iter(self._ids([t for t, p in zip(texts, split, strict=True) if p is None]))
-        get = self.later.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) if p else next(whole) for p in split]
+        out, get = [], self.later.__getitem__
+        for t in texts:
+            if t[:1] == " " or any(c in t and (c + " " in t or " " + c in t) for c in SPACES):
+                out.append(self._whole(t))
+                continue
+            head, *rest = t.split(" ")
+            out.append(self.first[head] + b"".join(map(get, rest)))
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -113,8 +154,9 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker, n = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column("ids").to_pylist():
-                c = np.bincount(unpack(blob, unpacker))
+            for i in range(0, len(batch), 500):
+                blobs = batch.column("ids").slice(i, 500).to_pylist()
+                c = np.bincount(np.concatenate([unpack(b, unpacker) for b in blobs]))
                 n = np.pad(n, (0, max(0, len(c) - len(n))))
                 n[: len(c)] += c
         at = np.flatnonzero(n)
@@ -129,15 +171,19 @@ def id_counts(encoded: DataFrame) -> DataFrame:
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
-def compress(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of a run of ranks."""
+def compress(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document; ``ranks`` has them end to end, ``counts`` how many each."""
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = size - 1
+    groups = -(-counts // 4)
+    shift = np.cumsum(groups) * 4 - groups * 4 - (np.cumsum(counts) - counts)  # each document starts a new control byte
+    codes = np.zeros(int(groups.sum()) * 4, np.uint8)
+    codes[np.arange(len(ranks)) + np.repeat(shift, counts)] = size - 1
     codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    all_bytes = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), all_bytes[np.arange(4) < size[:, None]].tobytes()
+    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).tobytes()
+    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    at = np.concatenate([[0], np.cumsum(groups)]).tolist()
+    used = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    return [control[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], [data[a:b] for a, b in zip(used[:-1], used[1:], strict=True)]
 
 
 def decompress(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -203,12 +249,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
                 some = batch.slice(i, 500)
                 runs = [unpack(b, unpacker) for b in some.column("ids").to_pylist()]
                 n = np.array([len(r) for r in runs], np.int64)
-                coded = [compress(table[r]) for r in runs]
+                control, data = compress(table[np.concatenate(runs)], n)
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
                     [some.column("doc_id"), pa.array(np.full(len(n), part), pa.int32()), pa.array(starts), pa.array(n),
-                     pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                     pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     ["doc_id", "part", "start_in_part", "n_tokens", "control", "data"])
 
     ordered = encoded.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
