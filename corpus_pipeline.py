@@ -1,15 +1,77 @@
-"""The corpus job: five operators in a row over ``documents``."""
+"""The corpus job: five operators in a row over ``documents``.
+
+Every stage takes all rows its predecessor kept and, but for the last, returns
+rows of the columns it got.  A null doc_id counts as one id (the smallest).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliant.llm import catalog, contamination, lang_id, mixing, near_dedup, token_files
+from foliant.plans.lineage import materialize
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dedup.NO_ID))
+
+
+def _whole_row(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all columns as one, so that results can't clash with them."""
+    return docs.select(*names, F.struct(*docs.columns).alias("_row"))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised with enough confidence; texts without a letter go."""
+    model = lang_id.fit(docs.filter(~catalog.held_out()).select("doc_id", "text", "lang"))
+    judged = lang_id.predict(_whole_row(docs, "text"), model, keep=("_row",))
+    return judged.filter("accepted").select("_row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each class; of rows with one doc_id, the smallest text."""
+    classes = near_dedup.classes(docs)
+    stay = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("_id"))
+    rows = _whole_row(docs, "text").withColumn("_id", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(near_dedup.NO_ID)))
+    kept = rows.join(stay, "_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("text"))
+    return kept.withColumn("_k", first).filter("_k = 1").select("_row.*")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = contamination.contaminated(docs, catalog.table(spark, sf_dir, "benchmark"))
+    bad = found.select(_id().alias("_id")).distinct()
+    rows = _whole_row(docs, "doc_id").withColumn("_id", _id())
+    return rows.join(bad, "_id", "left_anti").select("_row.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that the tokens of sources, languages and topics meet their targets."""
+    drawn = mixing.mix(_whole_row(docs, "doc_id", "text", "source", "lang"), catalog.MIX_TARGETS, columns=["_row"])
+    return drawn.filter("kept").select("_row.*")
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, and per document its place in them."""
+    return token_files.read_tokens(spark, token_files.write_tokens(docs, catalog.byte_bpe()))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token files", write_token_files),
+]
 
-STAGES: list = []
+#: SQL can't express the trained model, the hashes and the tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = catalog.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -38,8 +38,8 @@ UNDEFINED = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    rows_per_lang: int = 1200
-    chars_per_row: int = 3000
+    rows_per_lang: int = 800
+    chars_per_row: int = 2000
     buckets: int = 1 << 16
     width: int = 16
     epochs: int = 6
@@ -115,11 +115,13 @@ def train(texts: list[str], labels: list[str], settings: Settings | None = None,
     empty = Model(langs, np.zeros((s.buckets, len(langs)), np.float32), np.zeros(len(langs), np.float32))
     if not langs:
         return empty
-    data, offs = arrays.flat(pa.array(texts, pa.string()))
-    bucket, owner = grams(data, offs, s.buckets)
-    order = np.argsort(owner, kind="stable")
-    ends = np.searchsorted(owner[order], np.arange(len(texts) + 1))
-    docs = [np.unique(bucket[order[a:b]], return_counts=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    docs = []
+    for i in range(0, len(texts), 200):
+        some = texts[i: i + 200]
+        bucket, owner = grams(*arrays.flat(pa.array(some, pa.string())), s.buckets)
+        order = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[order], np.arange(len(some) + 1))
+        docs += [np.unique(bucket[order[a:b]], return_counts=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     y = np.array([langs.index(x) for x in labels])
     held = rng.random(len(texts)) < s.held_back
     learn = np.flatnonzero(~held if (~held).any() else held)
@@ -161,10 +163,20 @@ def train(texts: list[str], labels: list[str], settings: Settings | None = None,
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     """Train on a bounded sample of the rows with text and lang; the same rows at every partitioning."""
     s = settings or Settings()
-    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    piece = known.select("lang", "doc_id", F.substring("text", 1, s.chars_per_row).alias("text"))
-    sample = piece.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= s.rows_per_lang)
+    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
+        "lang", "doc_id", F.xxhash64("text").alias("_t"), "text")
+    narrow = known.drop("text").withColumn(
+        "_p", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "_t"), F.lit(1 << 30)) / F.lit(1 << 30)).distinct()
+    # About twice the wanted rows of each language pass the cut by hash; only those are ordered.
+    cut = narrow.groupBy("lang").agg((F.lit(2.0 * s.rows_per_lang + 100) / F.count(F.lit(1))).alias("_cut"))
+    order = Window.partitionBy("lang").orderBy("_p", "doc_id", "_t")
+    chosen = narrow.join(cut, "lang").filter("_p < _cut").withColumn("_k", F.row_number().over(order))
+    chosen = chosen.filter(F.col("_k") <= s.rows_per_lang).select(
+        F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("_t").alias("_h"), "_k")
+    chosen = F.broadcast(chosen)  # at most rows_per_lang narrow rows a language
+    same = (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))
+    sample = known.join(chosen, same).select("lang", "_k", F.substring("text", 1, s.chars_per_row).alias("text"))
+    sample = sample.dropDuplicates(["lang", "_k"])
     rows = sample.select("lang", "_k", "text").toPandas().sort_values(["lang", "_k"])
     return train(rows["text"].tolist(), rows["lang"].tolist(), s)
 
