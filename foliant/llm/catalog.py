@@ -43,14 +43,14 @@ def _url_sql(rounds: int = 10, damping: float = 0.85) -> str:
           SELECT kind, nxt, score * share * {damping!r} FROM s{i - 1} JOIN steps USING (kind, host)) GROUP BY ALL),"""
         for i in range(1, rounds + 1))
     return f"""
-    WITH cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+    WITH cut AS (SELECT row_number() OVER () AS k, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
                  FROM pages),
-    parts AS (SELECT page_id, html, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut),
-    p AS MATERIALIZED (SELECT page_id, html, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    parts AS (SELECT k, page_id, html, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut),
+    p AS MATERIALIZED (SELECT k, page_id, html, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts),
     rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
                  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-    judged AS MATERIALIZED (SELECT p.page_id, p.host, p.path, p.html, arg_max(rh || rp, length(rh || rp)) AS rule,
+    judged AS MATERIALIZED (SELECT k, p.page_id, p.host, p.path, p.html, arg_max(rh || rp, length(rh || rp)) AS rule,
                  arg_max(rv, length(rh || rp)) AS rv
                  FROM p LEFT JOIN rules ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp)
                  GROUP BY ALL),

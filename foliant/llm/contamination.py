@@ -59,8 +59,8 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def seeds(h: np.ndarray, bounds: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the mask fits into its text, and the hash of the tokens it looks at."""
     at = arrays.window_starts(bounds, len(mask))
-    n = len(h) - len(mask) + 1
-    total = np.full(max(0, n), len(mask), np.uint64)
+    n = max(0, len(h) - len(mask) + 1)
+    total = np.full(n, len(mask), np.uint64)
     for k, c in enumerate(mask):
         if c == "1":
             total = total * np.uint64(arrays.BASE) + h[k: n + k]

@@ -60,14 +60,14 @@ def _in_block(table: pa.Table, width: int) -> pa.RecordBatch:
         ["id", "tag", "pos", "n", "ref_id", "ref_pos"])
 
 
-def matches(texts: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def matches(texts: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = repeats.HOT) -> DataFrame:
     """Runs of ``n`` windows from ``pos`` that begin earlier too, at (ref_id, ref_pos) and after: ``MATCH``."""
     candidates = repeats.repeated_anchors(repeats.all_stretches(texts, "words", min_words, gram))
     kinds = repeats.kinds_of(candidates)
     later = (F.col("id") != F.col("f.id")) | (F.col("pos") != F.col("f.pos"))
     copies = candidates.join(kinds.filter("copies > 1"), ["h", "g"]).filter(later).select(
         "id", "tag", "pos", "n", F.col("f.id").alias("ref_id"), F.col("f.pos").alias("ref_pos"))
-    cut = repeats.pieces(repeats.contested(kinds), texts, "words", min_words)
+    cut = repeats.pieces(repeats.contested(kinds), texts, "words", min_words, hot)
     blocks = repeats.by_anchor(cut, lambda t: _in_block(t, min_words), MATCH)
     single = cut.filter("piece IS NULL").drop("piece")
     first = single.groupBy("h", "g").agg(F.min(F.struct("id", "pos")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -96,10 +96,11 @@ RESULT = ("doc_id long, n_words long, n_removed long, kept_sha256 string, n_fact
           "factors array<struct<start:int,words:int,ref_id:long,ref_pos:int>>, kept string")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, with_text: bool = True,
+          hot: int = repeats.HOT) -> DataFrame:
     """Per document: counts, the factors, and (unless ``with_text`` is off) the kept words joined by spaces."""
     texts = repeats.keyed(docs)
-    found = matches(texts, min_words, gram).groupBy("id", "tag").agg(
+    found = matches(texts, min_words, gram, hot).groupBy("id", "tag").agg(
         F.collect_set(F.struct("pos", "n", "ref_id", "ref_pos")).alias("runs"))
     rows = texts.join(found, ["id", "tag"], "left").select("id", "text", "runs")
 

@@ -115,13 +115,13 @@ def _in_block(table: pa.Table, width: int, gram: int) -> pa.RecordBatch:
          pa.array(np.diff(np.append(begin, len(doc))), pa.int32())], ["id", "tag", "pos", "n"])
 
 
-def spans(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
+def spans(texts: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, hot: int = repeats.HOT) -> DataFrame:
     """Runs of ``n`` windows from byte ``pos`` that start elsewhere too: ``SPAN``."""
     found = repeats.write_packed(repeats.all_stretches(texts, "bytes", min_bytes, gram), "stretches")
     candidates = repeats.repeated_anchors(found)
     kinds = repeats.kinds_of(candidates)
     copies = candidates.join(kinds.filter("copies > 1").select("h", "g"), ["h", "g"]).select("id", "tag", "pos", "n")
-    cut = repeats.pieces(repeats.contested(kinds), texts, "bytes", min_bytes)
+    cut = repeats.pieces(repeats.contested(kinds), texts, "bytes", min_bytes, hot)
     blocks = repeats.by_anchor(cut, lambda t: _in_block(t, min_bytes, gram), SPAN)
     single = cut.filter("piece IS NULL").drop("piece")
     again = single.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "g")
@@ -133,10 +133,11 @@ RESULT = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
           "removed array<struct<start:int,bytes:int>>, kept binary")
 
 
-def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, with_text: bool = True,
+          hot: int = repeats.HOT) -> DataFrame:
     """Per document: counts, the removed runs, and (unless ``with_text`` is off) the kept bytes."""
     texts = repeats.keyed(docs)
-    found = spans(texts, min_bytes, gram).groupBy("id", "tag").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
+    found = spans(texts, min_bytes, gram, hot).groupBy("id", "tag").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
     rows = texts.join(found, ["id", "tag"], "left").select("id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,17 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.llm import arrays
 from foliant.plans.lineage import materialize, new_dir
 
 MAX_VOCABULARY = 1 << 20  # bound of the rank table that every task loads
-CACHE = 400_000  # words in a generation of a worker's memory
+CACHE = 600_000  # words in a generation of a worker's memory
 _known: dict[str, Encoder] = {}
 
 # Fixed values of byte-level BPE: how a text falls into pieces, and the character that stands for each byte.
@@ -41,6 +41,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
 SIMPLE = regex.compile(r"[\n!-~\u00A1-\u00AC\u00AE-\u024F]+")  # words that this module may split by itself
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SPECIAL = "<|"
 SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
@@ -52,7 +53,7 @@ class Words(dict):
         super().__init__()
         self.compute, self.size, self.older = compute, size, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word):
         if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
@@ -80,36 +81,63 @@ class Encoder:
         kind = json.loads(self.tokenizer.to_str())
         plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.simple = kind["normalizer"] is None and kind["pre_tokenizer"] == plain and kind["model"]["type"] == "BPE"
-        self.first, self.later = Words(self._whole, 20_000), Words(self._word)  # at the start of a text; after a space
-        self.pieces = Words(self._piece, CACHE // 3)
+        self.first, self.later = Words(lambda w: self._whole(w.decode()), 20_000), Words(lambda w: self._word(w.decode()))  # at the start of a text; after a space
+        self.pieces = Words(self._piece, CACHE // 2)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        mapped = "".join(map(BYTE_CHARS.__getitem__, piece.encode()))
+        if piece.isascii() and piece.lstrip(" ").isalpha():
+            mapped = piece.replace(" ", BYTE_CHARS[32])
+        else:
+            mapped = "".join(map(BYTE_CHARS.__getitem__, piece.encode()))
         return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word after a space, piece by piece through the tokenizer's model."""
+    def _word(self, word: str, lead: str = " ") -> bytes:
+        """Ids of a word after a space (or after a line break), piece by piece through the tokenizer's model."""
         if not self.simple or not SIMPLE.fullmatch(word) or SPECIAL in word:
-            return self._whole(" " + word)
-        if word.isascii() and word.isalpha():
-            return self._piece(" " + word)
-        if word.isascii() and word[:-1].isalpha() and word[-1] in ".,;:!?":
-            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(" " + word)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out, get = [], self.later.__getitem__
-        for t in texts:
-            if t[:1] == " " or any(c in t and (c + " " in t or " " + c in t) for c in SPACES):
-                out.append(self._whole(t))
-                continue
-            head, *rest = t.split(" ")
-            out.append(self.first[head] + b"".join(map(get, rest)))
-        return out
+            return self._whole(lead + word)
+        if word.isalpha():
+            return self.pieces[lead + word]
+        head = word.rstrip(MARKS)
+        if head.isalpha():  # letters, then one run of marks
+            return self.pieces[lead + head] + self.pieces[word[len(head):]]
+        before, line, after = word.partition("\n")
+        if before and after and after[0] != "\n":  # a line break between other characters is a piece of its own
+            return self._word(before, lead) + self.pieces[line] + self._word(after, "")
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(lead + word)))
+
+    def _odd(self, text: str) -> bool:
+        """Whether white space stands next to a space (or a space at either end)."""
+        return text[:1] == " " or text[-1:] == " " or any(c in text and (c + " " in text or " " + c in text) for c in SPACES)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and how many each has.
+
+        Equal words of the texts are told by their hash and looked up once.
+        """
+        raw = data.tobytes()
+        plain = np.array([not self._odd(raw[a:b].decode()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], bool)
+        s, e, bounds = arrays.tokens(data != 32, offs)
+        doc = arrays.doc_of(bounds)
+        use = plain[doc]
+        s, e, doc = s[use], e[use], doc[use]
+        opens = s == offs[doc]
+        _, at, which = np.unique(arrays.word_hashes(data, s, e) ^ opens.astype(np.uint64), return_index=True, return_inverse=True)
+        later, first = self.later, self.first
+        ids = [(first if o else later)[raw[a:b]] for o, a, b in
+               zip(opens[at].tolist(), s[at].tolist(), e[at].tolist(), strict=True)]
+        whole = np.flatnonzero(~plain)  # odd texts follow as one item each
+        ids += [self._whole(raw[offs[d]: offs[d + 1]].decode()) for d in whole]
+        which = np.concatenate([which, len(at) + np.arange(len(whole))])
+        order = np.argsort(np.concatenate([doc, whole]), kind="stable")
+        which, doc = which[order], np.concatenate([doc, whole])[order]
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        start = np.cumsum(size) - size
+        n = size[which]
+        place = np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.frombuffer(b"".join(ids), np.uint32)[place], np.bincount(doc, n, len(offs) - 1).astype(np.int64)
 
 
 def encoder(path: str) -> Encoder:
@@ -124,24 +152,21 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, part: int
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer, end = encoder(tokenizer), zstandard.ZstdCompressor(level=1), np.uint32(end_id).tobytes()
+        enc, packer, end = encoder(tokenizer), zstandard.ZstdCompressor(level=1), np.array([end_id], np.uint32)
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "")
-            size, i = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).cumsum(), 0
-            while i < len(texts):
-                j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + part)))
-                packed = [pack(ids + end, packer) for ids in enc.encode(texts.slice(i, j - i).to_pylist())]
+            data, offs = arrays.flat(batch.column("text"))
+            for i, j in arrays.parts(offs, part):
+                ids, n = enc.encode(data[offs[i]: offs[j]], offs[i: j + 1] - offs[i])
+                packed = [pack(np.append(x, end), packer) for x in np.split(ids, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(packed, pa.binary())],
                                                  ["doc_id", "ids"])
-                i = j
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
-def pack(ids: bytes, packer) -> bytes:
-    wide = np.frombuffer(ids, "<u4")
-    narrow = wide.max() < 1 << 16
-    return bytes([2 if narrow else 4]) + packer.compress(wide.astype("<u2").tobytes() if narrow else ids)
+def pack(ids: np.ndarray, packer) -> bytes:
+    narrow = ids.max() < 1 << 16
+    return bytes([2 if narrow else 4]) + packer.compress(ids.astype("<u2" if narrow else "<u4").tobytes())
 
 
 def unpack(blob: bytes, unpacker) -> np.ndarray:
