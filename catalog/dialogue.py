@@ -181,12 +181,16 @@ def source_lookup(spark, d):
 
 
 @query("user_sources", f"""
-WITH {SOURCES} SELECT user_id, source_id, domain, linked_at FROM (SELECT user_id, 'src' || (event_id % 20) AS source_id, min(ts) AS linked_at FROM events WHERE event_type = 'signup' GROUP BY 1, 2) g
-LEFT JOIN srcs USING (source_id)""")
+WITH {SOURCES}, w AS (SELECT user_id, 'src' || (event_id % 20) AS source_id, event_id, ts FROM events WHERE event_type = 'signup'),
+g AS (SELECT user_id, source_id, coalesce(max(ts) FILTER (event_id % 3 = 0), min(ts)) AS linked_at FROM w GROUP BY 1, 2)
+SELECT user_id, source_id, domain, linked_at FROM g LEFT JOIN srcs USING (source_id)""")
 def user_sources(spark, d):
     e = read_table(spark, d, "events")
-    wanted = e.filter("event_type = 'signup'").select("user_id", F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("source_id"), F.col("ts").alias("created_at"))
-    grants = access.link_sources(wanted.limit(0), wanted)
+    wanted = e.filter("event_type = 'signup'").select(
+        "user_id", F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("source_id"), F.col("ts").alias("created_at"), "event_id")
+    # Grants that exist already stay as they are, although all of them are wanted again.
+    stored = wanted.filter("event_id % 3 = 0").groupBy("user_id", "source_id").agg(F.max("created_at").alias("created_at"))
+    grants = access.link_sources(stored, wanted)
     return access.user_sources(e.select("user_id").distinct(), grants, R.sources(spark, d))
 
 
@@ -206,13 +210,22 @@ def user_latest(spark, d):
 # --- evaluation ------------------------------------------------------------------------------
 
 
+def asked_documents(spark, d):
+    """Every document with one of the benchmark's questions, dealt by id."""
+    b = read_table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
+    docs = read_table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % b.agg((F.max("item_id") + 1).alias("n")).scalar())
+    return docs.join(b, "item_id")
+
+
 @query("eval_prompts", f"""
-WITH i AS (SELECT b.item_id, b.text AS q, string_split(b.text, ' ') AS facts, d.text AS ctx, substring(d.text, 1, 80) AS a FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+WITH i AS (SELECT d.doc_id AS item_id, b.text AS q, string_split(b.text, ' ') AS facts, d.text AS ctx, d.text AS a
+           FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark)),
 j AS (SELECT *, CASE WHEN length(ctx) <= {RULES.JUDGE_CONTEXT_CHARS} THEN ctx ELSE substring(ctx, 1, {RULES.JUDGE_CONTEXT_CHARS}) || '\n[…truncado…]' END AS c FROM i)
 SELECT item_id, length(p) AS prompt_chars, md5(p) AS prompt_md5 FROM (SELECT item_id, 'Q: ' || trim(q, {BL}) || ' F: ' || to_json(facts)::VARCHAR || ' C: ' || c || ' A: ' || trim(a, {BL}) AS p FROM j)""")
 def eval_prompts(spark, d):
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.array("text").alias("context_chunks"), F.substring("text", 1, 80).alias("answer"))
-    items = read_table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"), F.split("text", " ").alias("expected_facts")).join(docs, "item_id")
+    items = asked_documents(spark, d).select(
+        F.col("doc_id").alias("item_id"), F.array("text").alias("context_chunks"), F.col("text").alias("answer"), "question",
+        F.split("question", " ").alias("expected_facts"))
     p = evaluate.eval_prompts(items, "Q: {question} F: {expected_facts} C: {context} A: {answer}")
     return p.select("item_id", F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
@@ -284,18 +297,22 @@ def latency_p95(spark, d):
 
 
 @query("default_judge", f"""
-WITH i AS (SELECT b.item_id, list_distinct(list_filter(string_split_regex(lower(b.text), '[^\\p{{L}}0-9]+'), lambda x: x <> '')) AS ws,
-     string_split_regex(lower(d.text), '[^\\p{{L}}0-9]+') AS cs, string_split(b.text, ' ') AS fs, lower(trim(b.text, {BL})) AS a FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
-SELECT item_id, round(len(list_filter(fs, lambda f: contains(a, lower(f))))::DOUBLE / len(fs), 6) AS correctness,
-       round(len(list_intersect(ws, cs))::DOUBLE / len(ws), 6) AS faithfulness, false AS hallucinated FROM i""")
+WITH i AS (SELECT d.doc_id, d.lang = 'es' AS refusal, list_distinct(list_filter(string_split_regex(lower(b.text), '[^\\p{{L}}0-9]+'), lambda x: x <> '')) AS ws,
+     string_split_regex(lower(d.text), '[^\\p{{L}}0-9]+') AS cs, string_split(d.text, ' ')[1:20] AS fs, lower(trim(b.text, {BL})) AS a
+     FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))
+SELECT doc_id, CASE WHEN NOT refusal THEN round(len(list_filter(fs, lambda f: contains(a, lower(f))))::DOUBLE / len(fs), 6) END AS correctness,
+       CASE WHEN NOT refusal THEN round(len(list_intersect(ws, cs))::DOUBLE / len(ws), 6) END AS faithfulness, contains(a, lower(fs[1])) AS hallucinated,
+       CASE WHEN NOT refusal THEN 'not asked' WHEN {sql_any("a", RULES.DECLINE_MARKERS)} THEN 'true' ELSE 'false' END AS refusal_correct FROM i""")
 def default_judge(spark, d):
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.array("text").alias("context_chunks"))
-    items = read_table(spark, d, "benchmark").join(docs, "item_id").select(
-        F.col("item_id").alias("id"), F.lit("factual").alias("category"), F.lit("easy").alias("difficulty"), F.lit(False).alias("expects_clarification"),
-        F.col("text").alias("answer"), F.lit("").alias("error"), F.lit(0.0).alias("elapsed_ms"), "context_chunks",
-        F.split("text", " ").alias("expected_facts"), F.array(F.lit("@@never@@")).alias("must_not_contain"))
-    return evaluate.score_items(items).select(F.col("id").alias("item_id"), F.round("correctness", 6).alias("correctness"),
-                                              F.round("faithfulness", 6).alias("faithfulness"), "hallucinated")
+    first = F.slice(F.split("text", " "), 1, 20)
+    items = asked_documents(spark, d).select(
+        F.col("doc_id").alias("id"), F.when(F.col("lang") == "es", "out_of_scope").otherwise("factual").alias("category"),
+        F.lit("easy").alias("difficulty"), F.lit(False).alias("expects_clarification"),
+        F.col("question").alias("answer"), F.lit("").alias("error"), F.lit(0.0).alias("elapsed_ms"), F.array("text").alias("context_chunks"),
+        first.alias("expected_facts"), F.array(first[0]).alias("must_not_contain"))
+    return evaluate.score_items(items).select(
+        F.col("id").alias("doc_id"), F.round("correctness", 6).alias("correctness"), F.round("faithfulness", 6).alias("faithfulness"),
+        "hallucinated", F.coalesce(F.col("refusal_correct").cast("string"), F.lit("not asked")).alias("refusal_correct"))
 
 
 # --- streaming --------------------------------------------------------------------------------

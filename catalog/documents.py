@@ -95,7 +95,7 @@ def dedup_decision(spark, d):
 @query("doc_upsert", f"""
 WITH {STORED},
 s AS (SELECT doc_id + 1000000 AS doc_id, canonical_url, 'old' AS title, CASE WHEN quality = 1 THEN 'kept.pdf' ELSE '' END AS original_filename FROM stored),
-i AS (SELECT doc_id, url AS canonical_url, title, CASE WHEN lang = 'en' THEN '' ELSE 'new.pdf' END AS original_filename FROM docs WHERE lang <> 'fr')
+i AS (SELECT doc_id, url || CASE WHEN lang = 'fr' THEN '?v=2' ELSE '' END AS canonical_url, title, CASE WHEN lang = 'en' THEN '' ELSE 'new.pdf' END AS original_filename FROM docs)
 SELECT coalesce(s.doc_id, i.doc_id) AS doc_id, i.canonical_url, i.title,
        CASE WHEN i.original_filename = '' THEN s.original_filename ELSE i.original_filename END AS original_filename
 FROM i LEFT JOIN s USING (canonical_url)
@@ -104,8 +104,8 @@ def doc_upsert(spark, d):
     s = stored(spark, d).select(
         (F.col("doc_id") + 1000000).alias("doc_id"), "canonical_url", F.lit("old").alias("title"),
         F.when(F.col("quality") == 1, "kept.pdf").otherwise("").alias("original_filename"))
-    i = R.documents(spark, d).filter("lang <> 'fr'").select(
-        "doc_id", F.col("url").alias("canonical_url"), "title",
+    i = R.documents(spark, d).select(
+        "doc_id", F.concat("url", F.when(F.col("lang") == "fr", "?v=2").otherwise("")).alias("canonical_url"), "title",
         F.when(F.col("lang") == "en", "").otherwise("new.pdf").alias("original_filename"))
     return ingest.upsert_documents(s, i)
 

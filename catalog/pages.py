@@ -114,11 +114,13 @@ def host_filter(spark, d):
         bad.select("page_id", "url", F.lit(False).alias("allowed")))
 
 
-SAMPLE_GLOBS = RULES.BLOCK_GLOBS + ("*/es/*", "*utm_source=*", "*/en/9??", "https://m.*")
+SAMPLE_GLOBS = R.SAMPLE_GLOBS
 
 
-@query("block_filter", "SELECT page_id, url, (" + " OR ".join(f"lower(url) GLOB '{g}'" for g in SAMPLE_GLOBS) +
-       ") AS blocked FROM pages")
+SQL_BLOCKED = "(" + " OR ".join(f"lower(url) GLOB '{g}'" for g in SAMPLE_GLOBS) + ")"
+
+
+@query("block_filter", f"SELECT page_id, url, {SQL_BLOCKED} AS blocked FROM pages")
 def block_filter(spark, d):
     return R.raw_pages(spark, d).select("page_id", "url", urls.url_blocked("url", SAMPLE_GLOBS).alias("blocked"))
 
@@ -193,6 +195,7 @@ def _sql_outcome(r=SAMPLE_RULES) -> str:
     words = f"len(list_filter(string_split_regex({norm}, '{WS}'), lambda t: t <> ''))"
     return f"""SELECT page_id, url, CASE
       WHEN NOT (lower({sql_part('url', 1)}) = 'https' AND {sql_host('url')} = {ALLOWED_SQL}) THEN 'blocked_host'
+      WHEN {SQL_BLOCKED} THEN 'blocked_pattern'
       WHEN NOT success THEN 'failed_fetch'
       WHEN text = '' THEN 'invalid:empty_content'
       WHEN {norm} = '' THEN 'invalid:blank_content'
@@ -215,7 +218,7 @@ def page_outcome(spark, d):
 
 @query("crawl_report", f"""
 WITH {PAGES}, o AS ({_sql_outcome()}),
-e AS (SELECT CASE WHEN outcome = 'blocked_host' THEN 'blocked_by_host_filter' WHEN outcome = 'failed_fetch' THEN 'failed_fetch_or_scrape'
+e AS (SELECT CASE WHEN outcome = 'blocked_host' THEN 'blocked_by_host_filter' WHEN outcome = 'blocked_pattern' THEN 'blocked_by_block_filter' WHEN outcome = 'failed_fetch' THEN 'failed_fetch_or_scrape'
              WHEN starts_with(outcome, 'invalid:') THEN 'skipped_invalid_content' WHEN starts_with(outcome, 'skipped:') THEN 'skipped_ingestion' END AS list,
              {sql_domain('url')} || CASE WHEN outcome LIKE 'invalid:%' OR outcome LIKE 'skipped:%'
                THEN '\t' || regexp_replace(outcome, '^(invalid|skipped):', '') ELSE '' END AS entry, page_id FROM o)
@@ -244,10 +247,12 @@ def file_titles(spark, d):
         "title", urls.document_title(F.lit("Untitled"), "file_name"))
 
 
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>][^\s>]*)"""
+UNQUOTED = R.sql_decoded("""trim(unnest(found), '"''')""")
+
 HREFS_SQL = f"""
-hr AS (SELECT page_id, url, unnest(list_transform(list_zip(regexp_extract_all(html, '{H.HREF.replace("'", "''")}', 1),
-                  regexp_extract_all(html, '{H.HREF.replace("'", "''")}', 2)), lambda z: CASE WHEN z[1] = '' THEN z[2] ELSE z[1] END)) AS href,
-              generate_subscripts(regexp_extract_all(html, '{H.HREF.replace("'", "''")}', 1), 1) - 1 AS position FROM pages),
+raw AS (SELECT page_id, url, regexp_extract_all(html, '{ANCHOR}', 1) AS found FROM pages),
+hr AS (SELECT page_id, url, {UNQUOTED} AS href, generate_subscripts(found, 1) - 1 AS position FROM raw),
 lk AS (SELECT page_id, url AS src_url, position, CASE
     WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h
     WHEN starts_with(h, '//') THEN {sql_part('url', 1)} || ':' || h
@@ -272,15 +277,18 @@ def link_dedup(spark, d):
     return links.first_occurrences(links.page_links(R.raw_pages(spark, d, heavy=True), internal_only=False), "dst_url", ["page_id", "position"])
 
 
-@query("bfs_depth", """
-WITH RECURSIVE e AS (SELECT p.page_id AS src, c.page_id AS dst FROM pages p JOIN pages c ON c.page_id IN (2 * p.page_id + 1, 2 * p.page_id + 2)),
-w(node, depth) AS (SELECT min(page_id), 0::BIGINT FROM pages UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 6)
-SELECT node, min(depth) AS depth FROM w GROUP BY node""")
+@query("bfs_depth", f"""
+WITH RECURSIVE {HREFS_SQL.lstrip()},
+e AS (SELECT DISTINCT src_url AS src, dst_url AS dst FROM lk WHERE {sql_host('dst_url')} = {sql_host('src_url')}),
+w(node, depth) AS (SELECT url, 0::BIGINT FROM pages UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 6),
+o AS (SELECT node, min(depth) AS depth FROM w GROUP BY node)
+SELECT node, depth FROM o ORDER BY depth, node LIMIT (SELECT count(*) + 500 FROM pages)""")
 def bfs_depth(spark, d):
-    ids = R.raw_pages(spark, d).select("page_id")
-    edges = ids.select(F.col("page_id").alias("src"), F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("dst"))
-    edges = edges.join(ids.withColumnRenamed("page_id", "dst"), "dst", "left_semi")
-    return links.frontier(ids.agg(F.min("page_id").alias("node")), edges, 6)
+    """From all captured pages along their own links, with the page budget of a crawl."""
+    pages = R.raw_pages(spark, d)
+    edges = links.page_links(pages).select(F.col("src_url").alias("src"), F.col("dst_url").alias("dst"))
+    seeds = pages.select(F.col("url").alias("node"))
+    return links.frontier(seeds, edges, 6, budget=pages.count() + 500)
 
 
 @query("source_registry", f"""

@@ -283,8 +283,7 @@ def prompt_build(spark, d):
     blocks = c.select("chunk_key", F.col("text").alias("block")).join(top.withColumnRenamed("rank", "context_rank"), "chunk_key")
     m = read_table(spark, d, "conversations").select(
         F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), history_line("role", "text").alias("line"))
-    asked = m.join(q.select("query_id"), "query_id", "left_semi")
-    hist = conversation.history_arrays(asked, ["query_id"]).select("query_id", F.array_join("history", "\n").alias("history_text"))
+    hist = conversation.history_arrays(m, ["query_id"]).select("query_id", F.array_join("history", "\n").alias("history_text"))
     out = retrieval.build_prompts(q, fusion.pack_context(blocks), hist, SYSTEM)
     return out.select("query_id", F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 

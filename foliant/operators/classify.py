@@ -17,7 +17,7 @@ from foliant.rules import PageRules
 def is_news(url, title, content, rules: PageRules = PageRules()) -> Column:
     u = F.lower(strip(text_or_empty(url)))
     t = F.lower(text_or_empty(title))
-    head = F.substring(F.lower(strip(text_or_empty(content))), 1, 1000)
+    head = F.substring(F.lower(strip(text_or_empty(content))), 1, rules.news_chars)
     hit = (
         contains_any(u, rules.news_url_tokens)
         | contains_any(t, rules.news_hints)
@@ -69,7 +69,7 @@ def classify(url, title, rules: PageRules = PageRules()) -> Column:
 
 def upgrade_by_content(base: Column, url, title, content, rules: PageRules = PageRules()) -> Column:
     """Raise the class when the text carries at least two career or procedure phrases."""
-    body = F.substring(F.lower(text_or_empty(content)), 1, 3000)
+    body = F.substring(F.lower(text_or_empty(content)), 1, rules.upgrade_chars)
     hay = F.concat_ws(" ", F.lower(text_or_empty(url)), F.lower(text_or_empty(title)), body)
     career = count_contained(hay, rules.career_signals) >= 2
     procedure = count_contained(hay, rules.procedure_signals) >= 2
@@ -132,12 +132,11 @@ def classify_pages(pages: DataFrame, rules: PageRules = PageRules(), content: st
 
 
 def page_outcomes(
-    pages: DataFrame, rules: PageRules = PageRules(), allowed_host: Column | str = "",
-    content: str = "text",
+    pages: DataFrame, rules: PageRules, allowed_host: Column | str, content: str = "text",
 ) -> DataFrame:
     """Label every captured page with what the crawl and ingest gates decide about it.
 
-    Outcomes: ``blocked_host``, ``failed_fetch``, ``invalid:<reason>``,
+    Outcomes: ``blocked_host``, ``blocked_pattern``, ``failed_fetch``, ``invalid:<reason>``,
     ``skipped:<reason>`` or ``accepted``.  ``allowed_host`` may be a column (one
     crawl per host) or a literal.
     """
@@ -158,6 +157,7 @@ def page_outcomes(
     })
     outcome = (
         F.when(~F.col("_host_ok"), F.lit("blocked_host"))
+        .when(urls.url_blocked("url", rules.block_globs), F.lit("blocked_pattern"))
         .when(~F.col("success"), F.lit("failed_fetch"))
         .when(F.col("_invalid").isNotNull(), F.concat(F.lit("invalid:"), F.col("_invalid")))
         .when(F.col("_gate").isNotNull(), F.concat(F.lit("skipped:"), F.col("_gate")))

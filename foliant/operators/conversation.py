@@ -13,15 +13,16 @@ from foliant.operators.fusion import pack_by_budget
 
 
 def recent_history(messages: DataFrame, items: int = 8, keys: Sequence[str] = ("session_id", "source_id"),
-                   order: str = "created_at", roles: Sequence[str] | None = None) -> DataFrame:
+                   order: str = "created_at", roles: Sequence[str] | None = None, tie: str | None = None) -> DataFrame:
     """Newest ``items`` messages per key with position from the oldest (1) on, and ``ROLE: text``.
 
     The descending rank filter is applied before the shuffle as well
     (window group limit), so one huge session does not pile up in a task.
     """
     m = messages.filter(F.col("role").isin(list(roles))) if roles else messages
-    newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    oldest = Window.partitionBy(*keys).orderBy(F.col(order))
+    place = [order, tie] if tie else [order]  # ``tie``: a message id that decides between equal times
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(p).desc() for p in place])
+    oldest = Window.partitionBy(*keys).orderBy(*place)
     kept = m.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= max(1, items)).drop("_back")
     return kept.withColumns({
         "position": F.row_number().over(oldest).cast("bigint"),
@@ -30,11 +31,11 @@ def recent_history(messages: DataFrame, items: int = 8, keys: Sequence[str] = ("
 
 
 def transcript(messages: DataFrame, limit: int = 50, keys: Sequence[str] = ("session_id", "source_id"),
-               order: str = "created_at") -> DataFrame:
-    """Oldest ``limit`` (at most 200) messages per session, in order."""
-    w = Window.partitionBy(*keys).orderBy(order)
+               order: str = "created_at", tie: str | None = None) -> DataFrame:
+    """Oldest ``limit`` messages per session, in order (``tie``: a message id that decides between equal times)."""
+    w = Window.partitionBy(*keys).orderBy(*([order, tie] if tie else [order]))
     return messages.withColumn("position", F.row_number().over(w).cast("bigint")).filter(
-        F.col("position") <= min(max(limit, 1), 200)
+        F.col("position") <= max(limit, 1)
     )
 
 
@@ -61,16 +62,21 @@ def latest_session(messages: DataFrame, order: str = "created_at") -> DataFrame:
 
 
 def first_turns(messages: DataFrame, greeted: DataFrame | None = None,
-                keys: Sequence[str] = ("session_id", "source_id"), order: str = "created_at") -> DataFrame:
+                keys: Sequence[str] = ("session_id", "source_id"), order: str = "created_at",
+                tie: str | None = None) -> DataFrame:
     """Adds is_first_turn: no earlier message for the key and no greeting recorded.
 
+    ``tie`` names a message id that decides between equal times.
+
     The first position per key is a map-side minimum; it is joined back on key
     *and* position, so rows of one large session spread over all partitions.
     """
-    first = messages.groupBy(*keys).agg(F.min(order).alias(order)).withColumn("_first", F.lit(True))
+    place = [order, tie] if tie else [order]
+    first = messages.groupBy(*keys).agg(F.min(F.struct(*place)).alias("_m")).select(
+        *keys, *[F.col("_m")[p].alias(p) for p in place], F.lit(True).alias("_first"))
     if greeted is not None:
         first = first.join(greeted.select("session_id").distinct(), "session_id", "left_anti")
-    return messages.join(first, [*keys, order], "left").withColumn(
+    return messages.join(first, [*keys, *place], "left").withColumn(
         "is_first_turn", F.coalesce("_first", F.lit(False))
     ).drop("_first")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import html as H
 from foliant.functions import urls
 from foliant.functions.text import distinct_first, strip, text_or_empty
-from foliant.plans.lineage import cut_lineage
+from foliant.plans.lineage import materialize
 from foliant.plans.once import explode_once
 
 
@@ -44,31 +44,37 @@ def first_occurrences(rows: DataFrame, key: str, position: list[str]) -> DataFra
 
 
 def crawl_budget(max_pages: int) -> int:
-    return min(max(max_pages * 4, max_pages + 500), 50_000)
+    """Links to look at for a wanted number of pages (some will be rejected)."""
+    return max(max_pages * 4, max_pages + 500)
 
 
-def frontier(seeds: DataFrame, links: DataFrame, max_depth: int, allowed: DataFrame | None = None,
-             src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
-    """Breadth-first walk: (node, depth) for all nodes reached within ``max_depth`` hops.
+def frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, allowed: DataFrame | None = None,
+             src: str = "src", dst: str = "dst", node: str = "node", budget: int | None = None) -> DataFrame:
+    """Breadth-first walk: (node, depth) for all nodes reached within ``max_depth`` hops (default: all).
 
-    One join per level; the level and the seen set are checkpointed reliably so
-    the plan does not grow and lost executors only repeat one level.  New nodes
-    are reduced map-side before they are compared with the seen set, so a node
-    linked from a third of all pages costs no more than any other.
+    One join per level.  A level is written once; what has been seen is the union
+    of the level files, so nothing is rewritten and lost executors only repeat
+    one level.  New nodes are reduced map-side before they are compared with the
+    seen ones, so a node linked from a third of all pages costs no more than any
+    other.  ``budget`` keeps the first nodes by (depth, node), as a page budget does.
     """
     level = seeds.select(F.col(node)).distinct()
     if allowed is not None:
         level = level.join(allowed.select(node), node, "left_semi")
-    level = cut_lineage(level)
-    seen = level.withColumn("depth", F.lit(0).cast("bigint"))
-    for depth in range(1, max(1, max_depth) + 1):
-        step = (
-            links.join(level, links[src] == level[node], "left_semi").select(F.col(dst).alias(node)).distinct()
-        )
+    level = materialize(level.withColumn("depth", F.lit(0).cast("bigint")), "level")
+    seen, depth, left = level, 0, budget
+    while max_depth is None or depth < max(1, max_depth):
+        if left is not None:
+            left -= level.count()
+            if left <= 0:
+                break
+        depth += 1
+        step = links.join(level, links[src] == level[node], "left_semi").select(F.col(dst).alias(node)).distinct()
         if allowed is not None:
             step = step.join(allowed.select(node), node, "left_semi")
-        level = cut_lineage(step.join(seen.select(node), node, "left_anti"))
+        step = step.join(seen.select(node), node, "left_anti")
+        level = materialize(step.withColumn("depth", F.lit(depth).cast("bigint")), "level")
         if level.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(level.withColumn("depth", F.lit(depth).cast("bigint"))))
-    return seen
+        seen = seen.unionByName(level)
+    return seen if budget is None else seen.orderBy("depth", node).limit(budget)

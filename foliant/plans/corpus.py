@@ -41,15 +41,16 @@ def documents_from_outcomes(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def prepare_documents(pages: DataFrame, rules: PageRules = PageRules(), allowed_host: Column | str = "") -> DataFrame:
+def prepare_documents(pages: DataFrame, rules: PageRules, allowed_host: Column | str) -> DataFrame:
     """Document rows of captured pages, written once (several later steps read them)."""
     return materialize(documents_from_outcomes(classify.page_outcomes(pages, rules, allowed_host)), "documents")
 
 
-def surviving(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """New and changed documents; of several versions of a URL the last one."""
+def surviving(docs: DataFrame, decisions: DataFrame, order: str = "doc_id") -> DataFrame:
+    """New and changed documents; of several versions of a URL the last one by (``order``, doc_id)."""
     live = decisions.filter(F.col("decision").isin("saved", "updated"))
-    last = live.groupBy("canonical_url").agg(F.max("doc_id").alias("doc_id")).select("doc_id")
+    last = live.groupBy("canonical_url").agg(F.max(F.struct(F.col(order).alias("_o"), "doc_id")).alias("_m"))
+    last = last.select(F.col("_m.doc_id").alias("doc_id"))
     return docs.join(last, "doc_id", "left_semi")
 
 
@@ -62,7 +63,7 @@ def chunk_rows(documents: DataFrame, size: int = R.CHUNK_SIZE, overlap: int = R.
                        C.situated_text("context", "text").alias("situated"))
 
 
-def build_corpus(pages: DataFrame, rules: PageRules = PageRules(), allowed_host: Column | str = "",
+def build_corpus(pages: DataFrame, rules: PageRules, allowed_host: Column | str,
                  stored: DataFrame | None = None, stored_counts: DataFrame | None = None) -> Corpus:
     """Whole ingest of one batch; only documents that are new or changed are chunked.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
-_STAGED: list[str] = []  # folders made by this session
+_STAGED: dict[str, list[str]] = {}  # folders made by each application
+
+
+def _made(spark: SparkSession) -> list[str]:
+    return _STAGED.setdefault(spark.sparkContext.applicationId, [])
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    _STAGED.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _STAGED[-1]
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made(spark).append(path)
+    return path
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged within it (a micro-batch, say)."""
+    before = len(_made(spark))
+    try:
+        yield
+    finally:
+        _delete(spark, before)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -47,8 +64,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def clear_staged(spark: SparkSession) -> None:
-    """Delete what this session wrote with ``new_dir``; call it when the results are no longer read."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    """Delete what this application wrote with ``new_dir``; call it when the results are no longer read."""
+    _delete(spark, 0)
+
+
+def _delete(spark: SparkSession, keep: int) -> None:
+    jvm, conf, made = spark._jvm, spark._jsc.hadoopConfiguration(), _made(spark)
+    while len(made) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
         path.getFileSystem(conf).delete(path, True)

@@ -329,4 +329,6 @@ class PageRules:
     news_hints: tuple = NEWS_TEXT_HINTS
     not_found: tuple = NOT_FOUND_PHRASES
     min_words: int = 5
+    news_chars: int = 1000  # of the text, looked at for news hints
+    upgrade_chars: int = 3000  # of the text, looked at for class signals
     block_globs: tuple = field(default=BLOCK_GLOBS)

@@ -9,7 +9,7 @@ from foliant import schemas as S
 from foliant.functions import html as H
 from foliant.functions import urls
 from foliant.functions.text import strip, text_or_empty
-from foliant.operators.links import first_occurrences
+from foliant.operators.links import first_occurrences, frontier
 from foliant.plans.once import with_columns_once
 
 
@@ -58,12 +58,12 @@ _SITEMAP = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
 
 
 def expand_sitemaps(sitemaps: DataFrame, host: str, roots: DataFrame | None = None,
-                    limit: int = 5000, max_levels: int = 5) -> DataFrame:
-    """(url, position) listed by sitemaps, allowed host only, documents skipped, at most ``limit``.
+                    limit: int | None = None) -> DataFrame:
+    """(url, position) listed by sitemaps, allowed host only, documents skipped; ``limit`` keeps the first ones.
 
     ``sitemaps`` is the table of fetched texts (sitemap_url, xml); unreadable XML
     lists nothing.  ``roots`` names the start files (default: every file); index
-    files lead to their children by a join on the file address.
+    files lead to their children by a join on the file address, down to any depth.
     """
     parsed = sitemaps.withColumn("_x", F.from_xml("xml", _SITEMAP, {"mode": "PERMISSIVE"}))
     # An index file lists children only, a url set lists pages only.
@@ -74,18 +74,10 @@ def expand_sitemaps(sitemaps: DataFrame, host: str, roots: DataFrame | None = No
         F.when(~is_index, F.col("_x.url.loc")).alias("pages"),
     )
     if roots is not None:
-        reach = roots.select("sitemap_url", F.lit(0).alias("level")).distinct()
-        edges = parsed.select("sitemap_url", F.explode("children").alias("child")).select(
-            "sitemap_url", strip(F.col("child")).alias("child")
-        )
-        level = reach
-        for n in range(1, max_levels + 1):
-            level = edges.join(level, "sitemap_url", "left_semi").select(
-                F.col("child").alias("sitemap_url"), F.lit(n).alias("level")
-            ).distinct()
-            reach = reach.unionByName(level)
-        order = reach.groupBy("sitemap_url").agg(F.min("level").alias("level"))
-        parsed = parsed.join(order, "sitemap_url")
+        edges = parsed.select(F.col("sitemap_url").alias("src"), F.explode("children").alias("dst")).withColumn(
+            "dst", strip(F.col("dst")))
+        order = frontier(roots.select(F.col("sitemap_url").alias("node")), edges)
+        parsed = parsed.join(order.select(F.col("node").alias("sitemap_url"), F.col("depth").alias("level")), "sitemap_url")
     else:
         parsed = parsed.withColumn("level", F.lit(0))
     listed = parsed.select("level", "sitemap_url", F.posexplode("pages").alias("pos", "loc")).select(
@@ -93,8 +85,8 @@ def expand_sitemaps(sitemaps: DataFrame, host: str, roots: DataFrame | None = No
     )
     ok = listed.filter(urls.host_allowed("url", host) & ~urls.is_document_link("url"))
     firsts = first_occurrences(ok, "url", ["level", "sitemap_url", "pos"])
-    top = firsts.orderBy("first_level", "first_sitemap_url", "first_pos").limit(limit)
-    return top.select("url", "first_level", "first_sitemap_url", "first_pos")
+    top = firsts.orderBy("first_level", "first_sitemap_url", "first_pos")
+    return (top.limit(limit) if limit else top).select("url", "first_level", "first_sitemap_url", "first_pos")
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ from foliant.functions import urls
 from foliant.functions.text import strip
 from foliant.operators import metrics
 from foliant.operators.ingest import dedup_decisions
-from foliant.plans import corpus
+from foliant.plans import corpus, lineage
 from foliant.rules import PageRules
 from foliant.sources import sinks
 from foliant.sources.captures import scan_pages
@@ -28,8 +28,8 @@ def read_capture_stream(spark: SparkSession, path: str, schema: StructType | str
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def ingest_stream(pages: DataFrame, store: str, checkpoint: str, rules: PageRules = PageRules(),
-                  allowed_host: Column | str = "", buckets: int = 64) -> StreamingQuery:
+def ingest_stream(pages: DataFrame, store: str, checkpoint: str, rules: PageRules, allowed_host: Column | str,
+                  buckets: int = 64) -> StreamingQuery:
     """Merge every micro-batch of captured pages into the document store.
 
     Within a batch, duplicates follow the batch rule; against the store, pages
@@ -39,11 +39,12 @@ def ingest_stream(pages: DataFrame, store: str, checkpoint: str, rules: PageRule
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        stored = sinks.read_store(spark, store)
-        docs = corpus.prepare_documents(scan_pages(batch), rules, allowed_host)
-        keys = stored.select("source_id", "canonical_url", "content_hash")
-        fresh = corpus.surviving(docs, dedup_decisions(docs, keys))
-        sinks.merge_into_store(spark, store, fresh, buckets=buckets)
+        with lineage.staged(spark):
+            stored = sinks.read_store(spark, store)
+            docs = corpus.prepare_documents(scan_pages(batch), rules, allowed_host)
+            keys = stored.select("source_id", "canonical_url", "content_hash")
+            fresh = corpus.surviving(docs, dedup_decisions(docs, keys))
+            sinks.merge_into_store(spark, store, fresh, buckets=buckets)
 
     return (
         pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

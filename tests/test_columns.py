@@ -314,3 +314,21 @@ def test_pdf_authority_and_gates(one):
     assert one(FX.is_year_source(F.lit("career_canonical"), F.col("u")), u="https://h.org/a.pdf") is False
     assert one(FX.has_signals(F.col("u"), F.lit(""), F.lit("Carga horaria"), F.lit("Medicina")), u="https://h.org/") is True
     assert one(FX.has_signals(F.col("u"), F.lit(""), F.lit("Carga horaria"), F.lit("__general__")), u="https://h.org/") is False
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Educaci&oacute;n &#8211; t&iacute;tulo", "Educación – título"), ("a &amp;lt; b", "a &lt; b"), ("&#x1F600;&#65;&#x41;", "😀AA"),
+    ("&nope; & &; &#xD800; &#1114112; 1&2", "&nope; & &; &#xD800; &#1114112; 1&2"), ("x&nbsp;y&#160;z", "x y z"), ("&", "&"), ("", ""), (None, ""),
+])
+def test_entities(one, text, want):
+    from foliant.functions import html
+
+    assert one(html.decode_entities("h"), h=text) == want
+
+
+def test_links_without_quotes(one):
+    from foliant.functions import html
+
+    page = """<a href=/a/b>x</a> <A class='k' HREF="/p?a=1&amp;b=2">y</A><a href='/q"r'>z</a><a href="">e</a><a name=top>n</a>"""
+    assert one(html.hrefs("h"), h=page) == ["/a/b", "/p?a=1&b=2", '/q"r', ""]
+    assert one(html.title("h"), h="<title>Admisi&oacute;n </title>") == "Admisión"

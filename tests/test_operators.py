@@ -122,6 +122,11 @@ def test_sitemaps(spark):
     roots = spark.createDataFrame([("https://h.org/sitemap.xml",)], "sitemap_url string")
     assert [r.url for r in captures.expand_sitemaps(df, "h.org", roots).collect()] == ["https://h.org/a", "https://h.org/d"]
     assert {r.url for r in captures.expand_sitemaps(df, "h.org").collect()} == {"https://h.org/a", "https://h.org/d", "https://h.org/zz"}
+    deep = [(f"s{n}", f"<sitemapindex {ns}><sitemap><loc>s{n + 1}</loc></sitemap><sitemap><loc>s0</loc></sitemap></sitemapindex>") for n in range(7)]
+    deep.append(("s7", f"<urlset {ns}><url><loc>https://h.org/deep</loc></url></urlset>"))
+    far = captures.expand_sitemaps(spark.createDataFrame(deep, "sitemap_url string, xml string"), "h.org",
+                                   spark.createDataFrame([("s0",)], "sitemap_url string")).first()
+    assert (far.url, far.first_level) == ("https://h.org/deep", 7)
 
 
 def test_file_sources_and_sinks(spark, tmp_path):
@@ -181,7 +186,9 @@ def test_frontier(spark):
     assert {r.node: r.depth for r in links.frontier(seeds, df, 3).collect()} == {"a": 0, "b": 1, "x": 1, "c": 2, "d": 3}
     allowed = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
     assert {r.node for r in links.frontier(seeds, df, 9, allowed).collect()} == {"a", "b", "c"}
-    assert [links.crawl_budget(n) for n in (10, 400, 20_000)] == [510, 1600, 50_000]
+    assert {r.node: r.depth for r in links.frontier(seeds, df).collect()} == {"a": 0, "b": 1, "x": 1, "c": 2, "d": 3, "e": 4}
+    assert [r.node for r in links.frontier(seeds, df, budget=3).orderBy("depth", "node").collect()] == ["a", "b", "x"]
+    assert [links.crawl_budget(n) for n in (10, 400, 20_000)] == [510, 1600, 80_000]
 
 
 # --- retrieval ---------------------------------------------------------------------------------
@@ -363,7 +370,7 @@ def test_corpus(spark):
     pages = captures.scan_pages(spark.createDataFrame(PAGES, PAGE_SCHEMA))
     built = corpus.build_corpus(pages, PageRules(), "h.org")
     outcomes = {r.page_id: r.outcome for r in built.outcomes.collect()}
-    assert outcomes == {1: "accepted", 2: "accepted", 3: "accepted", 4: "blocked_host", 5: "invalid:classifier_blocked:news_blocked:/noticias/",
+    assert outcomes == {1: "accepted", 2: "accepted", 3: "accepted", 4: "blocked_host", 5: "blocked_pattern",
                         6: "accepted", 7: "invalid:too_short"}
     decisions = {r.doc_id: r.decision for r in built.decisions.collect()}
     assert decisions == {1: "saved", 2: "saved", 3: "duplicate_content_other_url", 6: "updated"}
