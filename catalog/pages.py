@@ -12,6 +12,7 @@ from foliant.functions import html as H
 from foliant.functions import urls
 from foliant.functions.text import slug
 from foliant.operators import classify, cleaning, ingest, links, metrics
+from foliant.plans import corpus
 
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
@@ -193,7 +194,7 @@ def content_upgrade(spark, d):
 def _sql_outcome(r=SAMPLE_RULES) -> str:
     norm = f"lower(trim(text, {BL}))"
     words = f"len(list_filter(string_split_regex({norm}, '{WS}'), lambda t: t <> ''))"
-    return f"""SELECT page_id, url, CASE
+    return f"""SELECT page_id, url, title, content, CASE
       WHEN NOT (lower({sql_part('url', 1)}) = 'https' AND {sql_host('url')} = {ALLOWED_SQL}) THEN 'blocked_host'
       WHEN {SQL_BLOCKED} THEN 'blocked_pattern'
       WHEN NOT success THEN 'failed_fetch'
@@ -204,13 +205,16 @@ def _sql_outcome(r=SAMPLE_RULES) -> str:
       WHEN {words} < {r.min_words} THEN 'invalid:too_short'
       WHEN base_type = 'news_blocked' THEN 'invalid:classifier_blocked:' || base_reason
       WHEN {sql_news('url', 'title', norm, r)} THEN 'invalid:news_blocked'
+      WHEN content = '' THEN 'skipped:empty_content'
+      WHEN {sql_any('lower(content)', r.not_found)} THEN 'skipped:not_found_content'
+      WHEN {sql_news('url', 'title', 'content', r)} THEN 'skipped:news_blocked'
       ELSE 'accepted' END AS outcome,
       {sql_any("(lower(url) || ' ' || lower(title))", r.priority_tokens)} AS priority,
       page_type, CASE WHEN authority_score = 0 THEN 0.5 ELSE authority_score END AS authority_score
     FROM ({_sql_upgraded(r)})"""
 
 
-@query("page_outcome", f"WITH {PAGES} {_sql_outcome()}")
+@query("page_outcome", f"WITH {PAGES} SELECT * EXCLUDE (title, content) FROM ({_sql_outcome()})")
 def page_outcome(spark, d):
     return classify.page_outcomes(R.pages(spark, d), SAMPLE_RULES, allowed_host()).select(
         "page_id", "url", "outcome", "priority", "page_type", "authority_score")
@@ -229,6 +233,46 @@ def crawl_report(spark, d):
     return metrics.report_lists(o, "host", "page_id")
 
 
+BUILT = f"""{PAGES}, o AS ({_sql_outcome()}),
+a AS (SELECT *, {sql_domain('url')} AS source_id, {_sql_canonical('url')} AS canonical_url, sha256(content) AS h FROM o WHERE outcome = 'accepted'),
+w AS (SELECT *, min(page_id) OVER (PARTITION BY source_id, h) AS win,
+             first_value(canonical_url) OVER (PARTITION BY source_id, h ORDER BY page_id) AS win_url FROM a),
+b AS (SELECT *, CASE WHEN win = page_id THEN 'accepted' WHEN win_url = canonical_url THEN 'skipped:duplicate_content'
+                ELSE 'skipped:duplicate_content_other_url' END AS final FROM w)"""
+
+
+def built(spark, d):
+    return corpus.build_corpus(R.pages(spark, d), SAMPLE_RULES, allowed_host())
+
+
+@query("corpus_outcomes", f"""
+WITH {BUILT} SELECT o.page_id, o.url, coalesce(final, o.outcome) AS outcome, o.priority FROM o LEFT JOIN b USING (page_id)""")
+def corpus_outcomes(spark, d):
+    return built(spark, d).outcomes.select("page_id", "url", "outcome", "priority")
+
+
+@query("corpus_documents", f"""
+WITH {BUILT}, last AS (SELECT max(page_id) AS page_id FROM b WHERE final = 'accepted' GROUP BY canonical_url)
+SELECT page_id AS doc_id, source_id, canonical_url, title, page_type, authority_score, length(content) AS n_chars, h AS content_hash
+FROM b SEMI JOIN last USING (page_id)""")
+def corpus_documents(spark, d):
+    return built(spark, d).documents.select(
+        "doc_id", "source_id", "canonical_url", "title", "page_type", "authority_score",
+        F.length("content").cast("bigint").alias("n_chars"), "content_hash")
+
+
+@query("corpus_counters", f"""
+WITH {BUILT}, f AS (SELECT o.page_id % 5 AS job_id, coalesce(final, o.outcome) AS outcome, o.priority FROM o LEFT JOIN b USING (page_id))
+SELECT job_id, count(*) AS processed_results, count(*) FILTER (outcome = 'blocked_host') AS blocked_by_host_filter,
+  count(*) FILTER (outcome = 'blocked_pattern') AS blocked_by_block_filter, count(*) FILTER (starts_with(outcome, 'invalid:')) AS skipped_invalid_content,
+  count(*) FILTER (starts_with(outcome, 'skipped:')) AS skipped_ingestion, count(*) FILTER (outcome = 'accepted') AS saved_docs FROM f GROUP BY 1""")
+def corpus_counters(spark, d):
+    rows = built(spark, d).outcomes.withColumn("job_id", F.col("page_id") % 5)
+    return metrics.crawl_counters(rows).select(
+        "job_id", "processed_results", "blocked_by_host_filter", "blocked_by_block_filter", "skipped_invalid_content",
+        "skipped_ingestion", "saved_docs")
+
+
 @query("export_names", f"""
 SELECT page_id, substring(CASE WHEN s = '' THEN 'page' ELSE s END, 1, 80) || '-' || substring(sha1(url), 1, 10) || '.md' AS file_name
 FROM (SELECT page_id, url, trim(regexp_replace(lower(trim(CASE WHEN t = '' THEN url ELSE t END, {BL})), '[^a-z0-9]+', '-', 'g'), '-') AS s

@@ -171,9 +171,21 @@ def sql_html_text(table: str, key: str, html: str) -> str:
             f"FROM (SELECT {key}, {xs} AS xs FROM {table})")
 
 
+def _sql_repeats() -> str:
+    labels = ", ".join("'" + x.replace("'", "''") + "'" for x in RULES.STRUCTURAL_LABELS)
+    free = f"k IN ({labels}) OR seen <= 2" if labels else "seen <= 2"
+    return f"CASE WHEN contains(k, '{RULES.PRESS_MARK}') THEN seen <= 1 ELSE {free} END" if RULES.PRESS_MARK else free
+
+
 PAGES = f"""ptext AS ({sql_html_text('pages', 'page_id', 'html')}),
-p AS (SELECT page_id, url, html <> '' AS success, {sql_title('html')} AS title, html, text
-      FROM pages JOIN ptext USING (page_id))"""
+pline AS (SELECT page_id, unnest(xs) AS line, generate_subscripts(xs, 1) AS pos
+          FROM (SELECT page_id, list_transform(string_split_regex(text, '{LINE_BREAK}'), lambda x: trim(x, {BL})) AS xs FROM ptext)),
+pseen AS (SELECT *, lower(line) AS k, row_number() OVER (PARTITION BY page_id, lower(line) ORDER BY pos) AS seen
+          FROM pline WHERE line <> '' AND NOT regexp_matches(line, '^\\[?!\\[[^\\]]*\\]\\([^)]+\\)(\\]\\([^)]+\\))?$')),
+pclean AS (SELECT page_id, trim(string_agg(line, {NL} ORDER BY pos), {BL}) AS content FROM pseen
+           WHERE {_sql_repeats()} GROUP BY page_id),
+p AS (SELECT page_id, url, html <> '' AS success, {sql_title('html')} AS title, html, text, coalesce(content, '') AS content
+      FROM pages JOIN ptext USING (page_id) LEFT JOIN pclean USING (page_id))"""
 
 # --- rules fitted to the invented sample text --------------------------------------
 

@@ -10,6 +10,7 @@ from foliant.functions import urls
 from foliant.functions.text import (
     col, contains_any, count_contained, first_contained, strip, text_or_empty, word_count,
 )
+from foliant.operators.cleaning import clean_lines
 from foliant.plans.once import with_columns_once
 from foliant.rules import PageRules
 
@@ -137,18 +138,18 @@ def page_outcomes(
     """Label every captured page with what the crawl and ingest gates decide about it.
 
     Outcomes: ``blocked_host``, ``blocked_pattern``, ``failed_fetch``, ``invalid:<reason>``,
-    ``skipped:<reason>`` or ``accepted``.  ``allowed_host`` may be a column (one
+    ``skipped:<reason>`` (the ingest gate, on the cleaned text, which comes as ``content``) or ``accepted``.  ``allowed_host`` may be a column (one
     crawl per host) or a literal.
     """
     host = allowed_host if isinstance(allowed_host, Column) else F.lit(allowed_host)
-    # The folded text is used by several checks; as its own column it is computed once.
-    df = pages.withColumns({
+    # The folded and the cleaned text are used by several checks; as own columns they are computed once.
+    df = with_columns_once(pages, {"content": clean_lines(content)}).withColumns({
         "_base": classify(F.col("url"), F.col("title"), rules), "_norm": F.lower(strip(text_or_empty(content))),
     })
     body = F.when(F.col(content) == "", F.lit("")).otherwise(
         F.when(F.col("_norm") == "", F.lit(" ")).otherwise(F.col("_norm")))
     invalid = invalid_reason(F.col("url"), F.col("title"), body, F.col("_base"), rules)
-    gate = ingest_reason(F.col("url"), F.col("title"), F.col("_norm"), host, rules)
+    gate = ingest_reason(F.col("url"), F.col("title"), F.col("content"), host, rules)
     df = df.withColumns({
         "_host_ok": urls.host_allowed(F.col("url"), host),
         "_invalid": invalid,
@@ -170,7 +171,7 @@ def page_outcomes(
         "page_type": F.col("_class")["page_type"],
         # A stored score of zero falls back to one half.
         "authority_score": F.when(score == 0.0, F.lit(0.5)).otherwise(score),
-    }).select(*pages.columns, "outcome", "priority", "page_type", "authority_score")
+    }).select(*pages.columns, "content", "outcome", "priority", "page_type", "authority_score")
 
 
 def split_by_host(pages: DataFrame, allowed_host: Column | str) -> tuple[DataFrame, DataFrame]:

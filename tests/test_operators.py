@@ -370,7 +370,7 @@ def test_corpus(spark):
     pages = captures.scan_pages(spark.createDataFrame(PAGES, PAGE_SCHEMA))
     built = corpus.build_corpus(pages, PageRules(), "h.org")
     outcomes = {r.page_id: r.outcome for r in built.outcomes.collect()}
-    assert outcomes == {1: "accepted", 2: "accepted", 3: "accepted", 4: "blocked_host", 5: "blocked_pattern",
+    assert outcomes == {1: "accepted", 2: "accepted", 3: "skipped:duplicate_content_other_url", 4: "blocked_host", 5: "blocked_pattern",
                         6: "accepted", 7: "invalid:too_short"}
     decisions = {r.doc_id: r.decision for r in built.decisions.collect()}
     assert decisions == {1: "saved", 2: "saved", 3: "duplicate_content_other_url", 6: "updated"}
