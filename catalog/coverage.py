@@ -17,7 +17,7 @@ from foliant.operators import chunks as CH
 from foliant.operators.conversation import merge_state
 from foliant.plans.lineage import new_dir
 from foliant.schemas import read_table
-from foliant.sources import captures, sinks
+from foliant.sources import captures
 
 FILE_URL = "https://files.example.org/20"
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliant import rules as R
 from foliant.functions import html as H
 from foliant.functions.text import (
-    col, contains_any, drop_repeats, let, limit_repeats, lines, strip, text_or_empty,
+    contains_any, let, limit_repeats, lines, strip, text_or_empty,
 )
 
 IMAGE_ONLY = r"^\[!\[[^\]]*\]\([^)]+\)\]\([^)]+\)$|^!\[[^\]]*\]\([^)]+\)$"
@@ -131,7 +131,3 @@ def pruned_text(url: Column | str, html: Column | str, relaxed: tuple = R.RELAXE
 
 def content_hash(text: Column | str) -> Column:
     return F.sha2(text_or_empty(text).cast("binary"), 256)
-
-
-def consecutive_dedup(text: Column | str) -> Column:
-    return F.array_join(drop_repeats(lines(col(text))), "\n")

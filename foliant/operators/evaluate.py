@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant import rules as R
 from foliant.functions.answers import judge_context, probe_declined
-from foliant.functions.text import col, contains_any, count_contained, strip, text_or_empty
+from foliant.functions.text import col, contains_any, strip, text_or_empty
 
 
 def is_refusal_case(category: Column | str, expects: Column | str) -> Column:
@@ -172,9 +172,36 @@ def retrieval_at_k(ranked: DataFrame, relevant: DataFrame, key: str, k: int) ->
     )
 
 
-def latency_p95(rows: DataFrame, value: str = "elapsed_ms") -> DataFrame:
-    return rows.agg(F.round(F.percentile(F.col(value), F.lit(0.95)), 6).alias("p95"))
+def value_at_rank(values: DataFrame, rank: int, bins: int = 4096) -> float:
+    """The value of rank ``rank`` (from 0) of the non-null double column ``v``.
 
-
-def signal_share(text: Column, phrases: tuple) -> Column:
-    return count_contained(F.lower(text_or_empty(text)), phrases) / F.lit(max(1, len(phrases)))
+    Values are counted per bin of the range (summed map-side, at most ``bins``
+    rows come back); the bin that holds the rank becomes the next range until it
+    holds a single value.  No task ever gathers the values.
+    """
+    part, before = values, 0
+    lo, hi = values.agg(F.min("v"), F.max("v")).first()
+    while lo < hi:
+        width = (hi - lo) / bins
+        bin_ = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)).alias("b")
+        counts = part.groupBy(bin_).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for row in counts.orderBy("b").collect():
+            if before + row["n"] > rank:
+                break
+            before += row["n"]
+        lo, hi = row["lo"], row["hi"]
+        part = values.filter(F.col("v").between(lo, hi))
+    return lo
+
+
+def latency_p95(rows: DataFrame, value: str = "elapsed_ms", share: float = 0.95) -> DataFrame:
+    """Exact percentile with linear interpolation (null without values)."""
+    values = rows.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    n = values.count()
+    out = None
+    if n:
+        place = share * (n - 1)
+        low = value_at_rank(values, int(place))
+        high = value_at_rank(values, min(int(place) + 1, n - 1))
+        out = low + (high - low) * (place - int(place))
+    return rows.sparkSession.range(1).select(F.round(F.lit(out).cast("double"), 6).alias("p95"))
