@@ -11,8 +11,9 @@ the sample of the next filled one in an order of its own.  Texts that agree in a
 samples of a band meet in a bucket.  With 21 bands of 6 samples, texts of similarity
 0.8 meet with probability 0.998, texts of 0.3 with 0.015.
 
-Within a bucket a few leaders are compared with the others by weighted Jaccard
-similarity; links join texts to classes.  Leaders come from the smallest classes
+Within a bucket the first few texts and then a few leaders a round are compared with
+the others by weighted Jaccard similarity, leaders and others in blocks of texts;
+links join texts to classes.  Leaders come from the smallest classes
 of a bucket and are then done; the rounds end when the texts left in every bucket
 are of one class, so every candidate pair has been compared or lies in one class
 already - without pairing all texts of a bucket.
@@ -26,10 +27,11 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import arrays
@@ -40,7 +42,7 @@ BUCKET_BITS = 18
 BANDS, ROWS = 21, 6
 PASSES, BINS = 2, 64
 SIMILARITY = 0.8
-LEADERS = 32
+PIVOTS, LEADERS, BLOCK = 8, 512, 32
 NO_ID = -(1 << 63)
 SLOTS = 1 << 16
 
@@ -169,7 +171,8 @@ def compare(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: flo
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    # The same plan at every size: the texts move once per side, however few the pairs are.
+    both = pairs.hint("merge").join(right, "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
     def vectors(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
         data, offs = arrays.flat(column)
@@ -194,6 +197,65 @@ def compare(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: flo
     return both.mapInArrow(run, "a long, b long")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of few rows while what is written inside holds large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def compare_blocks(members: DataFrame, leaders: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between leaders and members of a bucket with another label.
+
+    Both sides come in blocks of about ``BLOCK`` texts, so a bucket of n members
+    and m leaders gives n * m / BLOCK**2 rows; only links leave the task.
+    """
+    spark = members.sparkSession
+    shared = spark.sparkContext.broadcast(idf)
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+        n_blocks = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("long")
+        dealt = rows.join(size, "bucket").withColumn("_b", F.pmod(F.xxhash64("node"), n_blocks))
+        item = F.struct("node", "label", "text")
+        return dealt.join(texts, "node").groupBy("bucket", "_b").agg(F.collect_list(item).alias(name)).drop("_b")
+
+    def vectors(items: pa.StructArray) -> tuple[np.ndarray, ...]:
+        data, offs = arrays.flat(items.field("text"))
+        doc, sh, n, _, _ = shingles(data, offs)
+        w = n * shared.value[(sh >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+        return doc, sh, w, np.bincount(doc, w, len(items)), items.field("node").to_numpy(), items.field("label").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(len(batch)):
+                left, right = (batch.column(c).slice(k, 1).flatten() for c in ("members", "leaders"))
+                d1, h1, w1, t1, n1, l1 = vectors(left)
+                d2, h2, w2, t2, n2, l2 = vectors(right)
+                order = np.argsort(h2)
+                h2, d2, w2 = h2[order], d2[order], w2[order]
+                lo, hi = np.searchsorted(h2, h1, "left"), np.searchsorted(h2, h1, "right")
+                many = hi - lo
+                at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                own = np.repeat(np.arange(len(h1)), many)
+                both = np.bincount(d1[own] * len(t2) + d2[at], np.minimum(w1[own], w2[at]), len(t1) * len(t2)).reshape(len(t1), len(t2))
+                ok = (both > 0) & (both >= similarity * (t1[:, None] + t2[None, :] - both)) & (l1[:, None] != l2[None, :])
+                x, y = np.nonzero(ok)
+                a.append(np.minimum(n1[x], n2[y]))
+                b.append(np.maximum(n1[x], n2[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    both = blocks(members, "members").join(blocks(leaders, "leaders"), "bucket").select("members", "leaders")
+    with batches_of(spark, 8):
+        return materialize(both.mapInArrow(run, "a long, b long").distinct(), "links")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, label)``: the smallest node of each connected component.
 
@@ -215,6 +277,18 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         now = new.select("node", "label")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after joining the classes that ``links`` connect: only the graph between classes is walked."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("_a")), "a").join(
+        labels.select(F.col("node").alias("b"), F.col("label").alias("_b")), "b")
+    edges = materialize(ends.filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "class-edges")
+    if edges.isEmpty():
+        return labels
+    known = components(edges.select(F.col("a").alias("node")).union(edges.select("b")), edges)
+    moved = labels.join(known.select(F.col("node").alias("label"), F.col("label").alias("_new")), "label", "left")
+    return materialize(moved.select("node", F.coalesce("_new", "label").alias("label")), "labels")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
     """``(doc_id, class_id, copy_of, n_links)`` of every document.
 
@@ -233,16 +307,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, leaders: int = LEAD
     active = materialize(located.join(shared.select("bucket"), "bucket").distinct(), "buckets")
     nodes = active.select("node").distinct()
     texts = materialize(
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), "text").join(nodes, "node"), "texts")
-
-    # First every bucket's smallest text against the others, then what is still in different classes.
-    first = active.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = active.join(first, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), "text").join(nodes.hint("merge"), "node"), "texts")
+
+    # First a few texts of every bucket against all of it, then what is still in different classes.
+    order = Window.partitionBy("bucket").orderBy("node")
+    first = active.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= PIVOTS)
+    first = materialize(first.select("bucket", F.col("node").alias("a")), "leaders")
+    pairs = active.join(first, "bucket").filter("node <> a").select(
+        F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     links = materialize(compare(pairs, texts, idf, similarity), "links")
-    active = active.join(first, "bucket").filter("node <> a").select("bucket", "node")
+    labels = merged(materialize(nodes.select("node", F.col("node").alias("label")), "labels"), links)
+    active = active.join(first.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
     while True:
-        labels = components(nodes, links)
-        tagged = materialize(active.join(labels, "node"), "active")
+        tagged = materialize(active.select("bucket", "node").join(labels, "node"), "active")
         open_ = tagged.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi")
         tagged = materialize(tagged.join(open_.select("bucket"), "bucket"), "open")
         if tagged.isEmpty():
@@ -250,12 +327,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, leaders: int = LEAD
         sizes = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("_n"))
         order = Window.partitionBy("bucket").orderBy("_n", "label", "node")
         lead = materialize(tagged.join(sizes, ["bucket", "label"]).withColumn("_k", F.row_number().over(order))
-                           .filter(F.col("_k") <= leaders).select("bucket", F.col("label").alias("_l"), F.col("node").alias("a")), "leaders")
-        pairs = tagged.join(lead, "bucket").filter("label <> _l").select(
-            F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = materialize(links.union(compare(pairs, texts, idf, similarity)), "links")
-        active = tagged.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+                           .filter(F.col("_k") <= leaders).select("bucket", "label", "node"), "leaders")
+        new = compare_blocks(tagged, lead, texts, idf, similarity)
+        links = links.union(new)
+        labels = merged(labels, new)
+        active = tagged.join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti")
 
+    links = links.distinct()
     n_links = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     per_node = labels.join(n_links, "node", "left")
     per_text = reps.join(per_node, "node", "left").select(
