@@ -107,8 +107,13 @@ def all_stretches(texts: DataFrame, kind: str, width: int, gram: int) -> DataFra
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
-    """The stretches whose anchor occurs at least twice."""
+    """The stretches whose anchor occurs at least twice.
+
+    The anchors are written first: a join of two plain shuffles, without an
+    aggregate in its stage, lets adaptive execution split a hot anchor.
+    """
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    again = write_packed(again, "anchors")
     return write_packed(found.join(again, "h", "left_semi"), "candidates")
 
 
@@ -120,7 +125,7 @@ def kinds_of(candidates: DataFrame) -> DataFrame:
 
 def contested(kinds: DataFrame) -> DataFrame:
     """The first rows of the kinds that share their anchor with another kind: ``STRETCH`` plus ``rivals``."""
-    rivals = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("rivals")).filter("rivals > 1")
+    rivals = write_packed(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("rivals")).filter("rivals > 1"), "contested")
     return kinds.join(rivals, "h").select("h", "g", "f.id", "f.tag", "f.pos", "f.n", "rivals")
 
 
