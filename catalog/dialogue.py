@@ -322,7 +322,7 @@ def default_judge(spark, d):
 def stream_metrics(spark, d):
     """Counters kept by a streaming aggregate over the event files, read back after the last trigger."""
     schema = read_table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    raw = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")  # a file or a folder of files
     base = new_dir(spark, "counters")
     done = stream.write_counters(stream.running_counters(R.crawl_columns(raw)), f"{base}/table", f"{base}/checkpoint")
     done.awaitTermination()
@@ -334,7 +334,7 @@ WITH {MESSAGES} SELECT session_id, min(created_at) AS created_at, max(created_at
 def stream_sessions(spark, d):
     """Session states kept by a streaming aggregate over the conversation table."""
     schema = read_table(spark, d, "conversations").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    raw = spark.readStream.schema(schema).parquet(f"{d}/conversations.parquet*")  # a file or a folder of files
     msgs = raw.select(
         F.col("conv_id").alias("session_id"), R.ts("2024-02-01 00:00:00", F.col("conv_id") * 600 + F.col("turn")).alias("created_at"), "role")
     base = new_dir(spark, "sessions")
