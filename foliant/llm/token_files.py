@@ -43,9 +43,28 @@ BYTE_CHARS = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumera
 SIMPLE = regex.compile(r"[\n!-~\u00A1-\u00AC\u00AE-\u024F]+")  # words that this module may split by itself
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SPECIAL = "<|"
+BLANK, WIDE = np.zeros(256, bool), np.zeros(256, bool)
+BLANK[[*range(9, 14), *range(28, 33)]] = True
+WIDE[[0xE1, 0xE2, 0xE3]] = True  # with C2 85 and C2 A0 (below) the first bytes of all other spaces
 SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
 
+def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Texts that may have white space next to a space: judged by ASCII bytes and by the first bytes of other spaces."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    space = data == 32
+    blank = BLANK[data]
+    hit = np.zeros(len(data), bool)
+    hit[:-1] = space[:-1] & blank[1:] | blank[:-1] & space[1:]
+    hit |= WIDE[data]
+    hit[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+    some = offs[:-1] < offs[1:]
+    hit[offs[:-1][some]] |= space[offs[:-1][some]]
+    hit[offs[1:][some] - 1] |= space[offs[1:][some] - 1]
+    return np.unique(np.searchsorted(offs, np.flatnonzero(hit), "right") - 1)
+
+
 class Words(dict):
     """Ids of the words already seen.  Two generations bound it: what the older one still gives moves on."""
 
@@ -96,7 +115,8 @@ class Encoder:
 
     def _word(self, word: str, lead: str = " ") -> bytes:
         """Ids of a word after a space (or after a line break), piece by piece through the tokenizer's model."""
-        if not self.simple or not SIMPLE.fullmatch(word) or SPECIAL in word:
+        plain = word.isascii() and word.isprintable() or SIMPLE.fullmatch(word)
+        if not self.simple or not plain or SPECIAL in word:
             return self._whole(lead + word)
         if word.isalpha():
             return self.pieces[lead + word]
@@ -118,13 +138,20 @@ class Encoder:
         Equal words of the texts are told by their hash and looked up once.
         """
         raw = data.tobytes()
-        plain = np.array([not self._odd(raw[a:b].decode()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], bool)
+        plain = np.ones(len(offs) - 1, bool)
+        for d in suspects(data, offs):
+            plain[d] = not self._odd(raw[offs[d]: offs[d + 1]].decode())
         s, e, bounds = arrays.tokens(data != 32, offs)
         doc = arrays.doc_of(bounds)
         use = plain[doc]
         s, e, doc = s[use], e[use], doc[use]
         opens = s == offs[doc]
-        _, at, which = np.unique(arrays.word_hashes(data, s, e) ^ opens.astype(np.uint64), return_index=True, return_inverse=True)
+        key = arrays.word_hashes(data, s, e) ^ opens.astype(np.uint64)
+        order = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        at, which = order[new], np.empty(len(key), np.int64)
+        which[order] = np.cumsum(new) - 1
         later, first = self.later, self.first
         ids = [(first if o else later)[raw[a:b]] for o, a, b in
                zip(opens[at].tolist(), s[at].tolist(), e[at].tolist(), strict=True)]
@@ -148,20 +175,38 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, part: int = 2 << 20) -> DataFrame:
-    """``(doc_id, ids)``: ids of each text and the end id, 16 or 32 bits each, zstd-compressed per document."""
+    """``(doc_id, ids, counts)``: ids of each text and the end id, 16 or 32 bits each, zstd-compressed per document.
+
+    The last row of a task has no document but the task's ``counts`` of all ids.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, end = encoder(tokenizer), zstandard.ZstdCompressor(level=1), np.array([end_id], np.uint32)
+        total, id_type = np.zeros(0, np.int64), None
         for batch in batches:
             data, offs = arrays.flat(batch.column("text"))
+            id_type = batch.column("doc_id").type
             for i, j in arrays.parts(offs, part):
                 ids, n = enc.encode(data[offs[i]: offs[j]], offs[i: j + 1] - offs[i])
+                total = added(total, np.append(ids, end), np.append(np.ones(len(ids), np.int64), j - i))
                 packed = [pack(np.append(x, end), packer) for x in np.split(ids, np.cumsum(n)[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(packed, pa.binary())],
-                                                 ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(packed, pa.binary()),
+                                                  pa.nulls(j - i, pa.binary())], ["doc_id", "ids", "counts"])
+        if id_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())],
+                                             ["doc_id", "ids", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, counts binary")
+
+
+def added(total: np.ndarray, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Counts per id, grown to the largest id."""
+    n = np.bincount(ids, times).astype(np.int64)
+    if len(n) > len(total):
+        total = np.pad(total, (0, len(n) - len(total)))
+    total[: len(n)] += n
+    return total
 
 
 def pack(ids: np.ndarray, packer) -> bytes:
@@ -177,17 +222,14 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     """``(id, n)`` over all documents; one row per id and task reaches the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker, n = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                blobs = batch.column("ids").slice(i, 500).to_pylist()
-                c = np.bincount(np.concatenate([unpack(b, unpacker) for b in blobs]))
-                n = np.pad(n, (0, max(0, len(c) - len(n))))
-                n[: len(c)] += c
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["id", "n"])
+            for counts in batch.column("counts").to_pylist():
+                n = np.frombuffer(counts, np.int64)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    per_task = encoded.select("counts").filter(F.col("counts").isNotNull())
+    return per_task.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # --- the code --------------------------------------------------------------------------
@@ -282,7 +324,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
                      pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     ["doc_id", "part", "start_in_part", "n_tokens", "control", "data"])
 
-    ordered = encoded.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    ordered = encoded.filter(F.col("ids").isNotNull()).select("doc_id", "ids").repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, f"doc_id {kind}, part int, start_in_part long, n_tokens long, control binary, data binary") \
         .write.parquet(files.docs)
     return files
