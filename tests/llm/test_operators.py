@@ -218,6 +218,60 @@ def test_odd_texts_are_rejected(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(4))
 
 
+def test_word_order_of_any_script_counts(spark):
+    """Words alike in their bytes' classes at both ends: only longer n-grams tell a known order from a random one."""
+    r = random.Random(12)
+    words = [f"да{a}{b}ад" for a in "бвгжз" for b in "клмнпр"]
+
+    def walk():
+        k, out = r.randrange(30), []
+        for _ in range(120):
+            k = (k + r.randint(1, 3)) % 30
+            out.append(words[k])
+        return " ".join(out)
+
+    clean = [(i, walk(), "ru", "s") for i in range(200)]
+    junk = [(1000 + i, " ".join(r.choice(words) for _ in range(120)), "ru", "s") for i in range(4)]
+    got = {x.doc_id: x.kept for x in perplexity.quality(table(spark, clean + junk)).collect()}
+    assert sum(got[i] for i in range(200)) >= 198 and not any(got[1000 + i] for i in range(4))
+
+
+def test_word_model_against_plain_counts(docs, rows):
+    """Every trigram's probability without one of its documents, by plain counting."""
+    def spans(t):
+        return re.findall(r"[0-9A-Za-z\x80-\u07ff]+|[^\x20\x09-\x0D]", t or "")
+
+    words = [spans(t) for _, t, _, _ in rows]
+    docs_of = collections.Counter(g for w in words for g in set(zip(w, w[1:], w[2:], strict=False)))
+    bi = collections.Counter(g[1:] for g in docs_of)
+    orders = [docs_of, bi, collections.Counter((g[1],) for g in bi)]
+
+    def discounts(c):
+        r = [max(1, sum(n == k for n in c.values())) for k in (1, 2, 3, 4)]
+        y = r[0] / (r[0] + 2 * r[1])
+        return [0, *np.clip([k - (k + 1) * y * r[k] / r[k - 1] for k in (1, 2, 3)], 0.05, [0.95, 1.95, 2.95])]
+
+    off = [discounts(c) for c in orders]
+    by_context = [collections.defaultdict(dict) for _ in orders]
+    for k, c in enumerate(orders):
+        for g, n in c.items():
+            by_context[k][g[:-1]][g] = n
+
+    def p(g, k, less):
+        if k == 3:
+            return 1 / (len(orders[2]) + 1)
+        counts = dict(by_context[k][g[:-1]])
+        lower = p(g[1:], k + 1, int(less and counts[g] == 1))
+        counts[g] -= less
+        held = {x: n - off[k][min(n, 3)] for x, n in counts.items()}
+        t = sum(counts.values())
+        return (held[g] + (t - sum(held.values())) * lower) / t if t else lower
+
+    want = sorted(-np.log2(p(g, 0, 1)) for g in docs_of)
+    got = sorted(r.bits for r in perplexity.fit_words(docs).collect())
+    assert len(got) == len(want) and np.allclose(got, want)
+
+
 # --- 4 ---------------------------------------------------------------------------------
 
 
