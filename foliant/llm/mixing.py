@@ -1,17 +1,24 @@
 """Mixing to target weights by iterative proportional fitting (DataFrame functions only).
 
 Token counts are summed per cell (source, language, topic); the cells are raked
-to the marginal targets of each dimension in turn, no cell above ``max_ratio``
-times its tokens.  A document is kept with probability (raked weight / tokens) /
-``max_ratio`` of its cell, drawn from a hash of its id, so the kept tokens meet
-the targets in expectation and the same documents are kept at every run.
+to the marginal targets of each dimension in turn.  A document is kept with
+probability (raked weight / tokens) / (largest such ratio) of its cell, drawn
+from a hash of its id, so the same documents are kept at every run.
+
+Without a bound (``max_ratio=None``) the rounds go on until every marginal is met
+within ``tolerance``, and the kept tokens meet the targets in expectation; where
+no weights of the given cells meet all targets, they end when a round no longer
+brings them nearer.  With a bound, as in the registered query and the pipeline,
+no cell exceeds ``max_ratio`` times its tokens, the rounds are fixed, and what
+the bound cuts off is missing from the targets: more documents stay, of a mix
+between the table's and the wanted one.
 
 A target is an exponent (shares go with tokens ** exponent: below 1 flattens) or
 a mapping of values to shares.
 
 Defined cases: null source or language is a value of its own; a null text has no
 tokens and topic ``other``; cells without tokens keep their documents at
-probability 1 / ``max_ratio``; values missing from a mapping get weight 0; rows
+probability 1 / ``max_ratio`` (or the largest ratio); values missing from a mapping get weight 0; rows
 with equal ids share their draw; an empty table gives an empty result; a column
 named like one of the results is replaced.
 """
@@ -55,9 +62,9 @@ def with_cells(docs: DataFrame, topics: Sequence[tuple[str, str]] = TOPICS) -> D
     return out.withColumns({f"_{d}": F.coalesce(F.col(d), F.lit(NULL)) for d in DIMENSIONS})
 
 
-def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max_ratio: float = 1.5,
-         rounds: int = 6) -> DataFrame:
-    """Cells ``(_source, _lang, _topic, n)`` with their raked weight ``w``."""
+def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max_ratio: float | None = 1.5,
+         rounds: int = 6, tolerance: float = 1e-4) -> DataFrame:
+    """Cells ``(_source, _lang, _topic, n)`` with their raked weight ``w``; without ``max_ratio``, ``rounds`` has no meaning."""
     keys = [f"_{d}" for d in DIMENSIONS]
     total = cells.agg(F.sum("n").cast("double").alias("_total"))
     goals = {}
@@ -69,12 +76,22 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], m
         goals[d] = materialize(sums.crossJoin(F.broadcast(scale)).select(
             f"_{d}", (F.col("_s") / F.col("_all") * F.col("_total")).alias("_goal")), "targets")
     now = cells.withColumn("w", F.col("n").cast("double"))
-    for _ in range(rounds):
+    off, done = float("inf"), 0
+    while max_ratio is None or done < rounds:
+        before, off, done = off, 0.0, done + 1
         for d, goal in goals.items():
             sums = now.groupBy(f"_{d}").agg(F.sum("w").alias("_sum")).join(goal, f"_{d}")
+            if max_ratio is None:
+                sums = materialize(sums, "marginals")
+                missed = F.when(F.col("_goal") > 0, F.abs(F.col("_sum") / F.col("_goal") - 1)).otherwise(0.0)
+                off = max(off, sums.agg(F.max(missed)).first()[0] or 0.0)
             factor = sums.select(f"_{d}", F.when(F.col("_sum") > 0, F.col("_goal") / F.col("_sum")).otherwise(1.0).alias("_f"))
-            moved = F.least(F.col("w") * F.col("_f"), F.col("n") * F.lit(max_ratio))
+            moved = F.col("w") * F.col("_f")
+            if max_ratio is not None:
+                moved = F.least(moved, F.col("n") * F.lit(max_ratio))
             now = materialize(now.join(factor, f"_{d}").select(*keys, "n", moved.alias("w")), "raked")
+        if max_ratio is None and (off < tolerance or off > 0.99 * before):
+            break
     return now
 
 
@@ -85,7 +102,7 @@ def _share(value: Column, goal: Mapping[str, float]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max_ratio: float = 1.5, rounds: int = 6,
+def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max_ratio: float | None = 1.5, rounds: int = 6,
         topics: Sequence[tuple[str, str]] = TOPICS, columns: Sequence[str] | None = None) -> DataFrame:
     """``columns`` of every document plus topic, tokens, prob and kept.
 
@@ -97,8 +114,11 @@ def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max
     keys = [f"_{d}" for d in DIMENSIONS]
     rows = with_cells(docs, topics)
     cells = materialize(rows.groupBy(*keys).agg(F.sum("tokens").alias("n")), "cells")
-    prob = F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(1.0) / F.lit(max_ratio)
-    raked = materialize(rake(cells, targets, max_ratio, rounds).select(*keys, prob.alias("prob")), "probabilities")
+    weights, top = rake(cells, targets, max_ratio, rounds), max_ratio
+    if top is None:
+        top = weights.filter("n > 0").agg(F.max(F.col("w") / F.col("n"))).first()[0] or 1.0
+    prob = F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(1.0) / F.lit(top)
+    raked = materialize(weights.select(*keys, prob.alias("prob")), "probabilities")
     salted = raked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(SALTS)).cast("int")
     rows = rows.drop("prob", "kept").withColumn("_salt", salt)

@@ -404,6 +404,17 @@ def test_mixing_meets_targets(docs, rows, none):
     assert mixing.mix(none, catalog.MIX_TARGETS).collect() == []
 
 
+def test_mixing_without_bound_meets_production_targets(spark, none):
+    docs = catalog.table(spark, SF, "documents")
+    out = mixing.mix(docs, catalog.MIX_TARGETS, max_ratio=None).persist()
+    assert abs(out.agg(F.max("prob")).first()[0] - 1) < 1e-9
+    for d, a in catalog.MIX_TARGETS.items():
+        sums = out.groupBy(d).agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("prob"))).collect()
+        goal, got = np.array([r[1] for r in sums], float) ** a, np.array([r[2] for r in sums])
+        assert np.allclose(got / got.sum(), goal / goal.sum(), rtol=1e-3)
+    assert mixing.mix(none, catalog.MIX_TARGETS, max_ratio=None).collect() == []
+
+
 # --- 6 and 7 ---------------------------------------------------------------------------
 
 
