@@ -9,7 +9,10 @@ hit fixes an alignment of document and item; around it, the best ungapped overla
 (+1 per equal token, -2 per substituted one) has to hold ``min_tokens`` equal
 tokens, or the same share of a shorter item.
 
-Items shorter than the masks are looked up as a whole.
+The masks are chosen so that no overlap that would pass the check goes unseeded
+(for ``min_tokens`` of 12 or more): an overlap with at least 12 equal tokens, or
+80 % of an item of 10 or more, agrees with one of the five masks somewhere.  Items
+of fewer tokens have masks of their own (``short_masks``).
 
 Defined cases: null or token-free texts match nothing; null item ids are kept as
 such; equal documents and equal items each give their rows; items may overlap in
@@ -19,6 +22,7 @@ Null ids work (rows are told apart by their place, not by id).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +36,10 @@ from pyspark.sql import functions as F
 from foliant.llm import arrays
 from foliant.plans.lineage import materialize
 
-#: Fixed masks: 1 is compared, 0 ignored.
-MASKS = ("11111111", "110110101101011", "1110100110010111", "1010111001101101")
+#: Fixed masks: 1 is compared, 0 ignored.  A greedy cover of all 846 ways in which an overlap can begin that passes
+#: the check of an item of ``SHORT`` or more tokens; a test goes through them.
+MASKS = ("111010011", "1110110001", "11110101", "101111001", "11101011")
+SHORT = 10
 FILTER_BITS = 1 << 24
 PROBES = 3
 CONTEXT = 32  # tokens kept on each side of a hit
@@ -67,9 +73,24 @@ def seeds(h: np.ndarray, bounds: np.ndarray, mask: str) -> tuple[np.ndarray, np.
     return at, arrays.mix(total[at])
 
 
-def whole(n: int) -> str:
-    """Mask for items of ``n`` tokens, too short for the fixed masks."""
-    return "1" * n
+def short_masks(n: int) -> list[str]:
+    """Masks for items of ``n`` tokens (fewer than ``SHORT``): every beginning of an overlap that passes the check.
+
+    Such a beginning holds just as many equal tokens as the check wants, and its
+    score (see ``best_overlap``) stays above 0.
+    """
+    need = math.ceil(n * MIN_SHARE)
+    found, done = [("1", 1)], []
+    while found:
+        mask, score = found.pop()
+        ones = mask.count("1")
+        if ones == need:
+            done.append(mask)
+            continue
+        found.append((mask + "1", score + 1))
+        if len(mask) - ones < n - need and score > 2:
+            found.append((mask + "0", score - 2))
+    return sorted(done)
 
 
 def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -95,8 +116,7 @@ def item_tokens(benchmark: DataFrame) -> DataFrame:
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """``(hash, item, item_pos, short)``: every mask at every position; ``short``: the item's length if below all masks."""
-    least = min(map(len, MASKS))
+    """``(hash, item, item_pos, short)``: every mask at every position; ``short``: the item's length if below ``SHORT``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +128,11 @@ def item_seeds(items: DataFrame) -> DataFrame:
             for m in MASKS:
                 at, hashes = seeds(h, b, m)
                 out.append((at, hashes, np.zeros(len(at), np.int64)))
-            for size in np.unique(n[n < least]):
-                at, hashes = seeds(h, b, whole(int(size)))
-                own = n[np.searchsorted(b, at, "right") - 1] == size
-                out.append((at[own], hashes[own], np.full(int(own.sum()), size)))
+            for size in np.unique(n[n < SHORT]):
+                for m in short_masks(int(size)):
+                    at, hashes = seeds(h, b, m)
+                    own = n[np.searchsorted(b, at, "right") - 1] == size
+                    out.append((at[own], hashes[own], np.full(int(own.sum()), size)))
             at, hashes, short = (np.concatenate(c) for c in zip(*out, strict=True))
             doc = np.searchsorted(b, at, "right") - 1
             yield pa.RecordBatch.from_arrays(
@@ -145,7 +166,7 @@ def hits(docs: DataFrame, bits: np.ndarray, short: list[int], keep: str = "doc_i
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     kind = docs.schema[keep].dataType.simpleString()
-    masks = [*MASKS, *(whole(n) for n in short)]
+    masks = list(dict.fromkeys([*MASKS, *(m for n in short for m in short_masks(n))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, done, part = shared.value, 0, TaskContext.get().partitionId()
@@ -210,7 +231,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
     """
     items = item_tokens(benchmark)
     seed = materialize(item_seeds(items), "item-seeds")
-    short = sorted(r[0] for r in seed.filter("short > 0").select("short").distinct().collect())  # fewer than a mask's length
+    short = sorted(r[0] for r in seed.filter("short > 0").select("short").distinct().collect())  # at most SHORT lengths
     found = materialize(hits(docs, seed_filter(seed), short), "hits")
     places = found.select("doc", F.explode(F.arrays_zip("hashes", "places")).alias("z"))
     places = places.select("doc", F.col("z.hashes").alias("hash"), F.col("z.places").alias("place"))

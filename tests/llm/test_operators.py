@@ -458,3 +458,34 @@ def test_decontamination(spark, none):
     assert got == want | {(None, 1)}
     assert contamination.contaminated(none, bench).collect() == []
     assert contamination.contaminated(table(spark, texts_), bench.limit(0)).collect() == []
+
+
+def passing(n):
+    """All patterns of equal (True) and substituted tokens of an item of ``n`` tokens that the check accepts."""
+    need = min(contamination.MIN_TOKENS, int(np.ceil(n * contamination.MIN_SHARE)))
+    for bits in range(1 << n):
+        if bits.bit_count() >= need:
+            same = np.array([bits >> k & 1 for k in range(n)], bool)
+            if contamination.best_overlap(same.astype(int), np.ones(n, int), 0, 0)[0] >= need:
+                yield same
+
+
+def test_no_passing_pattern_is_unseeded():
+    for n in [*range(1, 17), 19]:
+        masks = contamination.short_masks(n) if n < contamination.SHORT else contamination.MASKS
+        looked_at = [sum(1 << s + k for k, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1)]
+        for same in passing(n):
+            bits = sum(1 << k for k in np.flatnonzero(same).tolist())
+            assert any(bits & x == x for x in looked_at), (n, same)
+
+
+def test_substitutions_in_short_items(spark):
+    items = {n: [f"item{n}w{k}" for k in range(n)] for n in range(1, 16)}
+    rows, want = [], set()
+    for n, words in items.items():
+        for same in passing(n):
+            rows.append((len(rows), " ".join(["pad", *(w if s else "other" for w, s in zip(words, same, strict=True)), "pad"]), "en", "s"))
+            want.add((len(rows) - 1, n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in contamination.contaminated(table(spark, rows), bench).collect()}
+    assert got == want
