@@ -4,7 +4,15 @@ A text is the mean embedding of its hashed byte n-grams (ASCII case folded,
 digits and punctuation as spaces).  The model is trained by stochastic gradient
 descent in numpy on a bounded, hash-ordered sample of labelled rows
 (``rows_per_lang`` rows of each label, ``chars_per_row`` characters of each);
-part of the sample is held back to fit a temperature and a rejection threshold.
+part of the sample is held back to fit a temperature and two rejection thresholds.
+
+A softmax only weighs the learned languages against each other, so a text also has
+a familiarity: the mean log-probability of its n-grams in the language chosen,
+as a distance from that of the held-back texts of that language in standard
+deviations for its length.  The thresholds are the lowest at which the accepted part
+of the held-back texts, of the same texts with their own language taken out of the model,
+and of the same texts with their letters shuffled is right to ``precision``,
+but never cost more than ``max_rejected`` of the right answers.
 Prediction reads whole texts.  The trained tables have a fixed size
 (``buckets`` x languages), which bounds the broadcast.
 
@@ -56,6 +64,9 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    familiar: np.ndarray | None = None  # log-probability of each bucket in each language
+    usual: np.ndarray | None = None  # per language: mean of the texts' means, their variance, variance within texts
+    floor: float = -np.inf
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
@@ -77,10 +88,10 @@ def grams(data: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.ndarray,
     return np.concatenate(found or [none]), np.concatenate(owner or [none])
 
 
-def logits(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Mean of the bucket logits of each text, by differences of running sums per order."""
+def means(tables: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the rows of ``tables`` at the buckets of each text, by differences of running sums per order, and their number."""
     n_docs = len(offs) - 1
-    total, count = np.zeros((n_docs, len(model.langs))), np.zeros(n_docs)
+    total, count = np.zeros((n_docs, tables.shape[1])), np.zeros(n_docs)
     folded = FOLD[data].astype(np.uint32)
     for n in ORDERS:
         if len(folded) < n:
@@ -89,15 +100,23 @@ def logits(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         for k in range(n):
             h = (h ^ folded[k: len(folded) - n + 1 + k]) * np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
-        bucket = (h % np.uint32(len(model.table))).astype(np.int32)
+        bucket = (h % np.uint32(len(tables))).astype(np.int32)
         lo, hi = np.minimum(offs[:-1], len(bucket)), np.maximum(np.minimum(offs[1:] - n + 1, len(bucket)), 0)
         hi = np.maximum(hi, lo)
-        for k in range(len(model.langs)):
+        for k in range(tables.shape[1]):
             sums = np.zeros(len(bucket) + 1)
-            np.cumsum(model.table[:, k][bucket], out=sums[1:])
+            np.cumsum(tables[:, k][bucket], out=sums[1:])
             total[:, k] += sums[hi] - sums[lo]
         count += hi - lo
-    return total / np.maximum(count, 1)[:, None] + model.bias
+    return total / np.maximum(count, 1)[:, None], count
+
+
+def familiarity(model: Model, mean: np.ndarray, count: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Standard deviations between a text's mean log-probability in language ``best`` and the usual one."""
+    middle, between, within = model.usual[:, best]
+    # Neighbouring n-grams share bytes: as many independent ones as there are fewer by the sum of the orders.
+    spread = np.sqrt(between + within * sum(ORDERS) / np.maximum(count, 1) + 1e-9)
+    return np.where(count > 0, (mean[np.arange(len(best)), best] - middle) / spread, 0.0)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -115,13 +134,7 @@ def train(texts: list[str], labels: list[str], settings: Settings | None = None,
     empty = Model(langs, np.zeros((s.buckets, len(langs)), np.float32), np.zeros(len(langs), np.float32))
     if not langs:
         return empty
-    docs = []
-    for i in range(0, len(texts), 200):
-        some = texts[i: i + 200]
-        bucket, owner = grams(*arrays.flat(pa.array(some, pa.string())), s.buckets)
-        order = np.argsort(owner, kind="stable")
-        ends = np.searchsorted(owner[order], np.arange(len(some) + 1))
-        docs += [np.unique(bucket[order[a:b]], return_counts=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    docs = _bags(texts, s.buckets)
     y = np.array([langs.index(x) for x in labels])
     held = rng.random(len(texts)) < s.held_back
     learn = np.flatnonzero(~held if (~held).any() else held)
@@ -148,18 +161,80 @@ def train(texts: list[str], labels: list[str], settings: Settings | None = None,
     loss = [-np.log(_softmax(z / t)[np.arange(len(check)), truth] + 1e-12).mean() for t in scales]
     model.temperature = float(scales[int(np.argmin(loss))])
     prob = _softmax(z / model.temperature)
-    best, right = prob.max(axis=1), prob.argmax(axis=1) == truth
-    # The lowest threshold with the wanted precision, unless that costs too many right answers.
-    for t in np.unique(np.concatenate([[1 / len(langs)], best])):
-        ok = best >= t
-        if ok.any() and right[ok].mean() >= s.precision:
-            model.threshold = float(min(t, np.quantile(best[right], s.max_rejected) if right.any() else t))
-            break
-    else:
-        model.threshold = float(np.quantile(best[right], s.max_rejected)) if right.any() else 0.0
+    seen = np.full((s.buckets, len(langs)), 0.5)
+    for i in learn:
+        seen[docs[i][0], y[i]] += docs[i][1]
+    model.familiar = np.log(seen / seen.sum(axis=0)).astype(np.float32)
+    _calibrate(model, [texts[i] for i in check], truth, s, rng)
     return model
 
 
+def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text and their counts."""
+    docs = []
+    for i in range(0, len(texts), 200):
+        some = texts[i: i + 200]
+        bucket, owner = grams(*arrays.flat(pa.array(some, pa.string())), buckets)
+        order = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[order], np.arange(len(some) + 1))
+        docs += [np.unique(bucket[order[a:b]], return_counts=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return docs
+
+
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters in random order; spaces and other characters stay."""
+    chars = np.array(list(text.lower()), object)
+    at = np.flatnonzero([c.isalpha() for c in chars])
+    chars[at] = chars[rng.permutation(at)]
+    return "".join(chars)
+
+
+def _calibrate(model: Model, texts: list[str], truth: np.ndarray, s: Settings, rng: np.random.Generator) -> None:
+    """Usual familiarity of each language and both thresholds, from held-back texts and texts made wrong."""
+    k = len(model.langs)
+    model.usual = np.zeros((3, k))
+    for lang in range(k):
+        own = _bags([t for t, y in zip(texts, truth, strict=True) if y == lang] or texts, s.buckets)
+        values = [(model.familiar[ids, lang].astype(float), n / n.sum()) for ids, n in own if len(ids)]
+        if values:
+            mean = np.array([(v * n).sum() for v, n in values])
+            within = np.mean([(v * v * n).sum() for v, n in values]) - np.mean(mean**2)
+            model.usual[:, lang] = mean.mean(), mean.var(), max(0.0, within)
+
+    def judge(some: list[str], without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mean, count = means(np.hstack([model.table, model.familiar]), *arrays.flat(pa.array(some, pa.string())))
+        z = (mean[:, :k] + model.bias) / model.temperature
+        if without is not None:
+            z[np.arange(len(z)), without] = -np.inf
+        prob = _softmax(z)
+        best = prob.argmax(axis=1)
+        return best, prob.max(axis=1), familiarity(model, mean[:, k:], count, best)
+
+    parts = [judge([t[:n] for t in texts]) for n in (s.chars_per_row, 200, 60)]
+    best, prob, near = (np.concatenate(c) for c in zip(*parts, strict=True))
+    right = best == np.tile(truth, len(parts))
+    wrong = [judge([_shuffled(t[:n], rng) for t in texts]) for n in (s.chars_per_row, 200)]
+    if k > 1:
+        wrong += [judge([t[:n] for t in texts], truth) for n in (s.chars_per_row, 200)]
+    _, wrong_prob, wrong_near = (np.concatenate(c) for c in zip(*wrong, strict=True))
+    near, prob = np.concatenate([near, wrong_near]), np.concatenate([prob, wrong_prob])
+    right = np.concatenate([right, np.zeros(len(wrong_near), bool)])
+    model.floor = _lowest(near, right, s)
+    ok = near >= model.floor
+    model.threshold = _lowest(prob[ok], right[ok], s)
+
+
+def _lowest(value: np.ndarray, right: np.ndarray, s: Settings) -> float:
+    """The lowest threshold with the wanted precision, unless that costs too many right answers."""
+    if not right.any():
+        return 0.0
+    order = np.argsort(-value, kind="stable")
+    precision = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    good = np.flatnonzero(precision >= s.precision)
+    most = float(np.quantile(value[right], s.max_rejected))
+    return min(most, float(value[order[good[-1]]])) if len(good) else most
+
+
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     """Train on a bounded sample of the rows with text and lang; the same rows at every partitioning."""
     s = settings or Settings()
@@ -188,6 +263,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        tables = np.hstack([m.table, m.familiar]) if m.langs else m.table
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             data, offs = arrays.flat(texts)
@@ -195,13 +271,16 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 some = texts.slice(i, j - i)
                 letters = np.array([LETTER.search(t) is not None for t in some.to_pylist()], bool)
                 prob = np.zeros((j - i, 1))
+                near = np.zeros(j - i)
                 if m.langs:
-                    prob = _softmax(logits(m, data[offs[i]: offs[j]], offs[i: j + 1] - offs[i]) / m.temperature)
+                    mean, count = means(tables, data[offs[i]: offs[j]], offs[i: j + 1] - offs[i])
+                    prob = _softmax((mean[:, : len(m.langs)] + m.bias) / m.temperature)
+                    near = familiarity(m, mean[:, len(m.langs):], count, prob.argmax(axis=1))
                 known = letters & bool(m.langs)
                 best, score = prob.argmax(axis=1), np.where(known, prob.max(axis=1), 0.0)
                 names = [m.langs[b] if k else UNDEFINED for b, k in zip(best, known, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(i, j - i) for c in keep), pa.array(names, pa.string()), pa.array(score),
-                     pa.array(known & (score >= m.threshold))], [*keep, "lang_pred", "score", "accepted"])
+                     pa.array(known & (score >= m.threshold) & (near >= m.floor))], [*keep, "lang_pred", "score", "accepted"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

@@ -437,6 +437,26 @@ def test_language_edge_cases(docs, rows, none):
     assert lang_id.predict(none, model).collect() == []
 
 
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    """A language outside the labels and shuffled letters; nearly all texts of the learned languages stay."""
+    docs = catalog.table(spark, SF, "documents").filter("length(text) > 400")
+    r = random.Random(4)
+
+    def shuffled(t):
+        letters = [c for c in t.lower() if c.isalpha()]
+        r.shuffle(letters)
+        return "".join(letters.pop() if c.isalpha() else c for c in t.lower())
+
+    for out in ("fr", "de"):
+        model = lang_id.fit(docs.filter(F.col("lang") != out).filter(~catalog.held_out()))
+        held = docs.filter(catalog.held_out()).persist()
+        junk = [(i, shuffled(x.text)) for i, x in enumerate(held.limit(60).collect())]
+        share = lambda df: np.mean([x.accepted for x in lang_id.predict(df, model).collect()])
+        assert share(held.filter(F.col("lang") == out)) < 0.1
+        assert share(spark.createDataFrame(junk, "doc_id long, text string")) < 0.1
+        assert share(held.filter(F.col("lang") != out)) > 0.97
+
+
 def test_decontamination(spark, none):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
