@@ -1,20 +1,23 @@
 """The corpus job: five operators in a row over ``documents``.
 
 Every stage takes all rows its predecessor kept and, but for the last, returns
-rows of the columns it got.  A null doc_id counts as one id (the smallest).
+rows of the columns it got.  Documents are told apart by doc_id and text: different
+texts without a doc_id, or sharing one, are different documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import catalog, contamination, lang_id, mixing, near_dedup, token_files
 from foliant.plans.lineage import materialize
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dedup.NO_ID))
+def _with_key(docs: DataFrame) -> DataFrame:
+    """The text, all columns as one, and the key of each row: its doc_id without nulls and a hash of its text."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dedup.NO_ID)).alias("_id"), F.xxhash64("text").alias("_tag")
+    return docs.select("text", F.struct(*docs.columns).alias("_row"), *key)
 
 
 def _whole_row(docs: DataFrame, *names: str) -> DataFrame:
@@ -30,21 +33,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class; of rows with one doc_id, the smallest text."""
-    classes = near_dedup.classes(docs)
-    stay = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("_id"))
-    rows = _whole_row(docs, "text").withColumn("_id", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(near_dedup.NO_ID)))
-    kept = rows.join(stay, "_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("text"))
+    """One row of each class: that of the smallest doc_id, and of the smallest hash of the text where several have it."""
+    classes = near_dedup.keyed_classes(docs)
+    stay = classes.filter("doc_id = class_id AND tag = class_tag").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    kept = _with_key(docs).join(stay, ["_id", "_tag"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("text"))
     return kept.withColumn("_k", first).filter("_k = 1").select("_row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = contamination.contaminated(docs, catalog.table(spark, sf_dir, "benchmark"))
-    bad = found.select(_id().alias("_id")).distinct()
-    rows = _whole_row(docs, "doc_id").withColumn("_id", _id())
-    return rows.join(bad, "_id", "left_anti").select("_row.*")
+    rows = _with_key(docs)
+    named = rows.select(F.struct("_id", "_tag").alias("doc_id"), "text")
+    found = contamination.contaminated(named, catalog.table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select("doc_id.*").distinct(), ["_id", "_tag"], "left_anti").select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,9 +19,10 @@ are of one class, so every candidate pair has been compared or lies in one class
 already - without pairing all texts of a bucket.
 
 Exact copies (same words) are one text throughout.  Defined cases: a null or
-word-free text is a class of its own per row; rows that share a doc_id share a
-class; a null doc_id counts as the smallest long; an empty table gives an empty
-result; other columns are ignored.
+word-free text is a class of its own per row; rows are told apart by doc_id and
+text (``keyed``), so different texts without or with one doc_id are different
+documents; a null doc_id counts as the smallest long; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ PASSES, BINS = 2, 64
 SIMILARITY = 0.8
 PIVOTS, LEADERS, BLOCK = 8, 512, 32
 NO_ID = -(1 << 63)
+KEY = ("doc_id", "tag")
 SLOTS = 1 << 16
 
 _rng = np.random.default_rng(4)
@@ -79,12 +81,17 @@ def _small_parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray,
         yield i, j, data[offs[i]: offs[j]], offs[i: j + 1] - offs[i]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, tag, text)``: the id without nulls, and a hash of the text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+
+
 def survey(docs: DataFrame) -> DataFrame:
     """One pass: per document its text key (two hashes of its words), per hash bucket the document frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << BUCKET_BITS, np.int64)
-        names = ["bucket", "n", "doc_id", "key1", "key2"]
+        names = ["bucket", "n", *KEY, "key1", "key2"]
         for batch in batches:
             for i, j, data, offs in _small_parts(batch):
                 _, sh, _, h, b = shingles(data, offs)
@@ -92,13 +99,13 @@ def survey(docs: DataFrame) -> DataFrame:
                 k1, k2 = arrays.run_hashes(h, b[:-1], b[1:]), arrays.run_hashes(arrays.mix(h + np.uint64(1)), b[:-1], b[1:])
                 none = pa.nulls(j - i, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [none, pa.array(np.diff(b), pa.int64()), batch.column("doc_id").slice(i, j - i).cast(pa.int64()).fill_null(NO_ID),
+                    [none, pa.array(np.diff(b), pa.int64()), *(batch.column(c).slice(i, j - i) for c in KEY),
                      pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names)
         at = np.flatnonzero(df)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at]), none, none, none], names)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at]), none, none, none, none], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, n long, doc_id long, key1 long, key2 long")
+    return keyed(docs).mapInArrow(run, "bucket int, n long, doc_id long, tag long, key1 long, key2 long")
 
 
 def idf_table(surveyed: DataFrame) -> np.ndarray:
@@ -295,19 +302,29 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, leaders: int = LEAD
     ``class_id`` is the smallest doc_id of the class, ``copy_of`` the smallest
     with the same words, ``n_links`` the verified links of that text.
     """
+    return keyed_classes(docs, similarity, leaders).select("doc_id", "class_id", "copy_of", "n_links")
+
+
+def keyed_classes(docs: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
+    """``classes`` with ``tag`` and ``class_tag``: (class_id, class_tag) is the smallest (doc_id, tag) of the class.
+
+    A node of the graph is a text, named by a hash of its two keys.
+    """
     surveyed = materialize(survey(docs), "survey")
     idf = idf_table(surveyed)
     rows = surveyed.filter("bucket IS NULL")
     worded = rows.filter("n > 0")
-    reps = worded.groupBy("key1", "key2").agg(F.min("doc_id").alias("node"))
+    reps = worded.groupBy("key1", "key2").agg(F.min(F.struct(*KEY)).alias("own")).withColumn("node", F.xxhash64("key1", "key2"))
+    reps = materialize(reps, "texts-once")
     banded = band_rows(docs, idf).groupBy("key1", "key2").agg(F.first("bands").alias("bands"))
     located = banded.join(reps, ["key1", "key2"]).select("node", F.posexplode("bands").alias("band", "hash"))
     located = materialize(located.select("node", F.xxhash64("band", "hash").alias("bucket")), "bands")
     shared = located.groupBy("bucket").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi")
     active = materialize(located.join(shared.select("bucket"), "bucket").distinct(), "buckets")
     nodes = active.select("node").distinct()
-    texts = materialize(
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), "text").join(nodes.hint("merge"), "node"), "texts")
+    wanted = reps.join(nodes, "node").select("own.*", "node")
+    texts = keyed(docs).join(wanted.hint("merge"), [*KEY]).dropDuplicates([*KEY])
+    texts = materialize(texts.select("node", "text"), "texts")
 
     # First a few texts of every bucket against all of it, then what is still in different classes.
     order = Window.partitionBy("bucket").orderBy("node")
@@ -337,9 +354,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, leaders: int = LEAD
     n_links = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     per_node = labels.join(n_links, "node", "left")
     per_text = reps.join(per_node, "node", "left").select(
-        "key1", "key2", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = rows.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"),
-                                        F.lit(0).cast("long").alias("n_links"))
-    out = worded.select("doc_id", "key1", "key2").join(per_text, ["key1", "key2"]).select("doc_id", "class_id", "copy_of", "n_links")
-    return out.union(alone)
+        "key1", "key2", "own", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per_text = materialize(per_text, "per-text")
+    firsts = per_text.groupBy("label").agg(F.min("own").alias("first"))
+    per_text = per_text.join(firsts, "label").select(
+        "key1", "key2", F.col("first.doc_id").alias("class_id"), F.col("first.tag").alias("class_tag"),
+        F.col("own.doc_id").alias("copy_of"), "n_links")
+    names = [*KEY, "class_id", "class_tag", "copy_of", "n_links"]
+    alone = rows.filter("n = 0").select(*KEY, F.col("doc_id").alias("class_id"), F.col("tag").alias("class_tag"),
+                                        F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
+    return worded.select(*KEY, "key1", "key2").join(per_text, ["key1", "key2"]).select(*names).union(alone)

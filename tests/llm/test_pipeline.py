@@ -50,3 +50,22 @@ def test_run(spark):
     starts = sorted((r.start, r.n_tokens) for r in out)
     assert len(out) > 50 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
     assert max(collections.Counter(r.doc_id for r in out).values()) == 1
+
+
+def test_texts_without_an_id_or_with_one_id_are_documents(spark):
+    import random
+
+    from foliant.llm import catalog
+
+    r = random.Random(7)
+    plain = [" ".join(f"w{r.randrange(10 ** 6)}" for _ in range(60)) for _ in range(6)]
+    rows = [(i, t, "en", "s") for i, t in zip([None, None, None, 7, 5, 5], plain, strict=True)]
+    rows += [(7, plain[0], "en", "s"), (8, plain[1], "en", "s")]  # copies of texts without an id
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["MinHash near-dedup"](spark, table(spark, rows), SF)
+    assert sorted(x.text for x in kept.collect()) == sorted(plain)
+    assert sorted(x.doc_id or 0 for x in kept.collect()) == [0, 0, 0, 5, 5, 7]
+    leak = catalog.table(spark, SF, "benchmark").first().text
+    rows = [(i, t, "en", "s") for i, t in [(None, plain[0]), (None, leak), (5, plain[1]), (5, leak + " more")]]
+    kept = stages["benchmark decontamination"](spark, table(spark, rows), SF)
+    assert sorted(x.text for x in kept.collect()) == sorted(plain[:2])
