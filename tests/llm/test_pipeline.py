@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline
 import pytest
-from test_operators import SCHEMA, near_copies, table
+from test_llm_operators import SCHEMA, near_copies, table
 
 SF = "/root/testdata/sf0.001"
 
