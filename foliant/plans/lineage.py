@@ -60,7 +60,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables made by ``materialize`` that nothing reads any more (others are left alone)."""
+    for t in tables:
+        path = getattr(t, "_staged_in", None)
+        if path is not None and path in _made(t.sparkSession):
+            _made(t.sparkSession).remove(path)
+            _remove(t.sparkSession, path)
 
 
 def clear_staged(spark: SparkSession) -> None:
@@ -69,7 +80,11 @@ def clear_staged(spark: SparkSession) -> None:
 
 
 def _delete(spark: SparkSession, keep: int) -> None:
-    jvm, conf, made = spark._jvm, spark._jsc.hadoopConfiguration(), _made(spark)
+    made = _made(spark)
     while len(made) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(made.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _remove(spark, made.pop())
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
