@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, contamination, lang_id, mixing, near_dedup, perplexity, rlz_dedup, suffix_dedup, token_files, url_trust
+from foliant.llm import (chat, contamination, lang_id, mixing, near_dedup, perplexity, rlz_dedup, sharding, suffix_dedup, term_scan,
+                         token_files, url_trust, whitening)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -225,3 +226,44 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# --- 11: embedding whitening -----------------------------------------------------------
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+# --- 12: sharding ----------------------------------------------------------------------
+
+
+@query("op12_sharding")
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+# --- 13: ranked lexical search ---------------------------------------------------------
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query("op13_term_scan", rf"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    t AS MATERIALIZED (SELECT k, doc_id, unnest(regexp_extract_all(text, '{TERM}')) AS term FROM d),
+    q AS MATERIALIZED (SELECT item, item_id, term, count(*) AS times FROM (
+          SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term FROM benchmark) GROUP BY ALL),
+    n AS MATERIALIZED (SELECT k, doc_id, count(*) AS n FROM t GROUP BY ALL),
+    tot AS MATERIALIZED (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+    tf AS MATERIALIZED (SELECT k, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY ALL),
+    w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, tot GROUP BY term, docs),
+    c AS (SELECT k, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))) AS c
+          FROM tf JOIN n USING (k) JOIN w USING (term), tot),
+    s AS (SELECT item, item_id, k, doc_id, sum(times * c)::BIGINT AS score FROM q JOIN c USING (term) GROUP BY ALL)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+    WHERE rank <= 10""")
+def op13_term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
