@@ -13,8 +13,9 @@ from catalog.registry import query
 from catalog.roles import DOCS, NL
 from foliant import rules as RULES
 from foliant.functions.answers import history_line
-from foliant.operators import conversation, dense, evaluate, fusion, lexical, scorers
+from foliant.operators import conversation, dense, evaluate, fusion, lexical, scorers, vector_index
 from foliant.plans import retrieval
+from foliant.plans.lineage import new_dir
 from foliant.schemas import read_table
 
 # --- roles ------------------------------------------------------------------------
@@ -94,19 +95,60 @@ def dense_topk(spark, d):
 
 @query("dense_scoped", f"WITH {VEC}, {sql_dense('t', 'vc', 'cq', RULES.TOP_K_SCOPED, where=SCOPED)} SELECT query_id, chunk_key, round(similarity, 6) AS similarity, rank FROM t")
 def dense_scoped(spark, d):
-    c = vector_chunks(spark, d).filter(F.col("url").rlike(RULES.SCOPED_URL_PATTERN))
-    return shown(dense.dense_topk(c, centroid_queries(spark, d), RULES.TOP_K_SCOPED))
+    """The list over part of the corpus, from the scan that also gives the full one."""
+    lists = dense.dense_lists(vector_chunks(spark, d), centroid_queries(spark, d), subset=F.col("url").rlike(RULES.SCOPED_URL_PATTERN))
+    return shown(lists.filter("list_no = 1").drop("list_no"))
 
 
 @query("dense_parts_topk", f"WITH {VEC}, {sql_dense('t', 'vc', 'cq', RULES.TOP_K_DENSE)} SELECT query_id, chunk_key, round(similarity, 6) AS similarity, rank FROM t")
 def dense_parts_topk(spark, d):
-    """The path for query batches above the size bound of one part."""
-    return shown(dense.dense_topk(vector_chunks(spark, d), centroid_queries(spark, d), max_query_rows=4))
+    """The path for query batches above the broadcast bound: a grid of blocks."""
+    return shown(dense.dense_topk(vector_chunks(spark, d), centroid_queries(spark, d), broadcast_bytes=0))
 
 
-@query("ann_topk")
+CELLS, PROBES, LLOYD = 16, 12, 3
+
+
+def sql_cells() -> str:
+    """The rounds of the cell centroids, started from the rows with the smallest digests, and the cell of every vector."""
+    def placed(name: str, centers: str) -> str:
+        return (f"{name} AS MATERIALIZED (SELECT k, u, (min({{'d': round(list_dot_product(m, m) - 2 * list_dot_product(u, m), {dense.DIGITS}), 'c': c}})).c AS c "
+                f"FROM un, {centers} GROUP BY k, u)")
+
+    steps = []
+    for i in range(LLOYD):
+        steps.append(placed(f"p{i}", f"m{i}"))
+        steps.append(f"""m{i + 1} AS MATERIALIZED (SELECT m{i}.c, coalesce(n.m, m{i}.m) AS m FROM m{i} LEFT JOIN (SELECT c, list(x ORDER BY i) AS m FROM (
+          SELECT c, i, avg(x) AS x FROM (SELECT c, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM p{i}) GROUP BY c, i) GROUP BY c) n ON n.c = m{i}.c)""")
+    return f"""nv AS MATERIALIZED (SELECT vec_id AS k, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS len FROM embeddings),
+    un AS MATERIALIZED (SELECT k, list_transform(v, lambda x: x / len) AS u FROM nv WHERE len > 0),
+    m0 AS MATERIALIZED (SELECT c, u AS m FROM (SELECT u, row_number() OVER (ORDER BY md5(k::VARCHAR)) - 1 AS c FROM un) WHERE c < {CELLS}),
+    {", ".join(steps)}, {placed("cell", f"m{LLOYD}")}"""
+
+
+def vector_store(spark, d):
+    """The stored index of all vectors, with parameters that the twin repeats."""
+    chunks = vector_chunks(spark, d)
+    return vector_index.build(chunks, new_dir(spark, "vectors"), cells=CELLS, codes=64, rounds=LLOYD)
+
+
+@query("vector_cells", f"WITH {sql_cells()} SELECT k AS chunk_key, c::INTEGER AS cell FROM cell")
+def vector_cells(spark, d):
+    return vector_index.stored(spark, vector_store(spark, d)).select(F.col("key").alias("chunk_key"), "cell")
+
+
+@query("ann_topk", f"""WITH {VEC}, {sql_cells()},
+    qu AS (SELECT query_id, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS q, embedding FROM cq),
+    near AS (SELECT query_id, c FROM (SELECT query_id, c, row_number() OVER (PARTITION BY query_id ORDER BY
+        round(list_dot_product(m, m) - 2 * list_dot_product(q, m), {dense.DIGITS}), c) AS r FROM qu, m{LLOYD}) WHERE r <= {PROBES}),
+    s AS (SELECT query_id, k AS chunk_key, round(list_cosine_similarity(e.embedding::DOUBLE[], qu.embedding), {dense.DIGITS}) AS similarity
+          FROM near JOIN cell USING (c) JOIN qu USING (query_id) JOIN embeddings e ON e.vec_id = k)
+    SELECT query_id, chunk_key, round(similarity, 6) AS similarity, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_key) AS rank FROM s) WHERE rank <= {RULES.TOP_K_DENSE}""")
 def ann_topk(spark, d):
-    return shown(dense.ann_topk(vector_chunks(spark, d), centroid_queries(spark, d)))
+    """The nearest vectors in 12 of 16 cells: chosen by codes, ranked exactly."""
+    index = vector_store(spark, d)
+    return shown(vector_index.search(spark, index, centroid_queries(spark, d), probes=PROBES, rerank=240))
 
 
 LISTS2 = f"{VEC}, {sql_dense('l0', 'vc', 'cq', 40, False)}, {sql_dense('l1', 'vc', 'cq', 18, False, SCOPED)}"
@@ -123,8 +165,8 @@ fused AS (SELECT * FROM (SELECT query_id, chunk_key, score, row_number() OVER (P
 
 def two_lists(spark, d):
     c, q = vector_chunks(spark, d), centroid_queries(spark, d)
-    scoped = c.filter(F.col("url").rlike(RULES.SCOPED_URL_PATTERN))
-    return [dense.dense_topk(c, q, 40, scope=None), dense.dense_topk(scoped, q, 18, scope=None)]
+    lists = dense.dense_lists(c, q, 40, F.col("url").rlike(RULES.SCOPED_URL_PATTERN), 18, scope=None)
+    return [lists.filter(F.col("list_no") == n).drop("list_no") for n in (0, 1)]
 
 
 @query("rrf_fuse", f"WITH {LISTS2}, {sql_fuse(['l0', 'l1'])} SELECT query_id, chunk_key, round(score, 9) AS score, fused_rank FROM fused")

@@ -1,31 +1,32 @@
-"""Vector retrieval for batches of queries.
-
-Exact search multiplies Arrow batches of corpus vectors with the query matrix
-(one matrix product per batch) and emits only the best ``k`` of each batch, so
-the corpus is read once, nothing but candidates is shuffled and no pair table is
-ever built.  The query matrix sent to the tasks has a checked size; a larger batch
-is searched in several parts, each below that size.
+"""Vector retrieval for batches of queries: a block matrix product.
+
+Corpus vectors and query vectors are packed into blocks of unit rows where they
+are read.  Blocks meet by a join - one matrix product per pair of blocks - and a task
+keeps the best ``k`` of every query over all its pairs, so nothing but candidates is
+shuffled afterwards and no pair table is built.  Query blocks of a checked
+total size are broadcast by the join; beyond it the corpus blocks are dealt to a grid
+of cells and the query blocks are copied to every cell.  No vector reaches the driver.
+A second list over a part of the corpus comes out of the same products.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from foliant import rules as R
-from foliant.plans.once import explode_once
+from foliant.plans.lineage import discard, materialize
 
-# Size bounds of one query matrix sent to the tasks: rows, and values (64 MB in double precision).
-MAX_QUERY_ROWS = 5_000
-MAX_QUERY_VALUES = 8_000_000
+BLOCK_VALUES = 1 << 18  # entries of a block of vectors (2 MB in double precision)
+BROADCAST_BYTES = 32 << 20  # query blocks of at most this total size are broadcast
+HELD = 1 << 21  # candidates a task holds before it hands them on
 DIGITS = 9  # similarities are compared after rounding, so the order does not depend on summation order
 
 
@@ -40,119 +41,148 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _topk(hits: DataFrame, k: int, key: str) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(key))
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "query_id", key, "similarity", F.col("rank").cast("bigint").alias("rank")
-    )
-
-
-def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, key: str = "chunk_key",
-               scope: str | None = "source_id", vector: str = "embedding",
-               max_query_rows: int = MAX_QUERY_ROWS) -> DataFrame:
-    """(query_id, key, similarity, rank): ``k`` nearest chunks by cosine within the query's source.
-
-    A batch above the size bound is cut into hash parts below it; every part is
-    one scan of the corpus (the matrix product dominates the scan by far), and
-    the parts' results are simply stacked, because no two parts share a query.
-    """
-    usable = chunks.filter(F.col(vector).isNotNull())
-    rows = queries.select("query_id", vector, *([scope] if scope else [])).filter(F.col(vector).isNotNull())
-    first = rows.limit(max_query_rows + 1).collect()
-    dims = max((len(r[vector]) for r in first), default=1)
-    most = max(1, min(max_query_rows, MAX_QUERY_VALUES // max(1, dims)))
-    if len(first) <= most:
-        return _topk(_scan(usable, first, rows, k, key, scope, vector), k, key)
-    # Hash parts vary in size; aiming at half the bound keeps them below it.
-    n_parts = -(-rows.count() * 2 // most)
-    hits = None
-    for n in range(n_parts):
-        part = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_parts)) == n)
-        found = _scan(usable, part.collect(), rows, k, key, scope, vector)
-        hits = found if hits is None else hits.unionByName(found)
-    return _topk(hits, k, key)
-
-
-def _scan(chunks: DataFrame, batch: list, queries: DataFrame, k: int, key: str, scope: str | None,
-          vector: str) -> DataFrame:
-    """Best ``k`` chunks of every task for a bounded set of queries."""
-    spark = chunks.sparkSession
-    q_type, k_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(chunks.schema[key].dataType)
-    groups: dict = {}
-    for r in batch:
-        groups.setdefault(r[scope] if scope else None, []).append((r["query_id"], r[vector]))
-    packed = {}
-    for name, items in groups.items():
-        m = np.asarray([v for _, v in items], dtype=np.float64)
-        norm = np.linalg.norm(m, axis=1)
-        live = norm > 0  # a zero vector has no direction, hence no neighbours
-        packed[name] = (np.array([q for q, _ in items])[live], m[live] / norm[live, None])
-    shared = spark.sparkContext.broadcast(packed)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}  # (scope, query index) -> (similarities, keys), k entries at most
-        for b in batches:
-            if b.num_rows == 0:
+def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and unit vectors of the arrays that have a direction (a zero vector has no neighbours)."""
+    mat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    norm = np.linalg.norm(mat, axis=1)
+    live = np.flatnonzero(norm > 0)
+    return live, mat[live] / norm[live, None]
+
+
+def packed_blocks(rows: DataFrame, ident: str, vector: str, scope: str | None, subset: Column | None = None) -> DataFrame:
+    """``(scope, ids, inside, mat)``: blocks of vectors of one scope, packed batch by batch; rows without a vector or scope go."""
+    usable = rows.filter(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    if scope:
+        usable = usable.filter(F.col(scope).isNotNull())
+    named = F.col(scope).alias("scope") if scope else F.lit(0).alias("scope")
+    usable = usable.select(F.col(ident).alias("id"), F.col(vector).alias("vector"), named,
+                           F.coalesce(subset if subset is not None else F.lit(True), F.lit(False)).alias("inside"))
+    schema = StructType([StructField("scope", usable.schema["scope"].dataType), StructField("ids", ArrayType(usable.schema["id"].dataType)),
+                         StructField("inside", ArrayType(BooleanType())), StructField("mat", BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            vec = b.column(vector)
-            mat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            norm = np.linalg.norm(mat, axis=1)
-            live = norm > 0
-            mat = mat[live] / norm[live, None]
-            keys = np.asarray(b.column(key).to_pylist())[live]
-            names = np.asarray(b.column(scope).to_pylist(), dtype=object)[live] if scope else None
-            for name, (qids, qmat) in shared.value.items():
-                at = np.nonzero(names == name)[0] if scope else np.arange(keys.size)
-                if at.size == 0:
-                    continue
-                sims = np.round(mat[at] @ qmat.T, DIGITS)
-                own = keys[at]
-                for j in range(len(qids)):
-                    s, ids = sims[:, j], own
-                    if at.size > k:
-                        # Everything at or above the k-th value, ties included; exact order below.
-                        pick = np.nonzero(s >= np.partition(s, at.size - k)[at.size - k])[0]
-                        s, ids = s[pick], ids[pick]
-                    if (name, j) in best:
-                        s = np.concatenate([best[name, j][0], s])
-                        ids = np.concatenate([best[name, j][1], ids])
-                    order = np.lexsort((ids, -s))[:k]
-                    best[name, j] = (s[order], ids[order])
-        for (name, j), (s, ids) in best.items():
-            qid = shared.value[name][0][j]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(qid, s.size), q_type), pa.array(ids, k_type), pa.array(s)],
-                names=["query_id", key, "similarity"],
-            )
-
-    schema = StructType([queries.schema["query_id"], chunks.schema[key], StructField("similarity", DoubleType())])
-    return chunks.select(key, vector, *([scope] if scope else [])).mapInArrow(scan, schema)
-
-
-def ann_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, key: str = "chunk_key",
-             scope: str | None = None, vector: str = "embedding", tables: int = 4, bucket: float = 0.7,
-             seed: int = 7) -> DataFrame:
-    """Approximate neighbours: random-projection buckets choose the chunks, exact search ranks them.
-
-    A chunk is looked at when it shares a bucket with any query.  The bucket test
-    is a semi-join with the distinct query buckets, so no query-chunk pairs are
-    built, however full a bucket is.
+            live, mat = unit_rows(batch.column("vector"))
+            ids, names, inside = (batch.column(c).take(pa.array(live)) for c in ("id", "scope", "inside"))
+            codes = names.dictionary_encode()
+            of = codes.indices.to_numpy(zero_copy_only=False)
+            size = max(1, BLOCK_VALUES // max(1, mat.shape[1]))
+            for code in range(len(codes.dictionary)):
+                rows_of = np.flatnonzero(of == code)
+                for k in range(0, len(rows_of), size):
+                    at = rows_of[k: k + size]
+                    take, ends = pa.array(at), pa.array([0, len(at)], pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [codes.dictionary.slice(code, 1), pa.ListArray.from_arrays(ends, ids.take(take)),
+                         pa.ListArray.from_arrays(ends, inside.take(take)), pa.array([np.ascontiguousarray(mat[at]).tobytes()], pa.binary())],
+                        ["scope", "ids", "inside", "mat"])
+
+    return usable.mapInArrow(pack, schema)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of few rows while what is written inside holds blocks."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def meet(corpus: DataFrame, queries: DataFrame, on: list[str], size: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Pairs of corpus and query blocks with equal ``on``: broadcast queries of a checked size, or a grid.
+
+    In the grid a corpus block moves once, and the query blocks are copied to each
+    of as many cells as there are shuffle partitions, so one busy key is spread.
     """
-    unit = Normalizer(inputCol="_v", outputCol="_u", p=2.0)
-    lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket,
-                                      numHashTables=tables, seed=seed)
-
-    def prepared(df: DataFrame, ident: str) -> DataFrame:
-        return unit.transform(df.filter(F.col(vector).isNotNull()).select(
-            ident, array_to_vector(F.col(vector).cast("array<double>")).alias("_v")))
-
-    corpus = prepared(chunks, key)
-    model = lsh.fit(corpus)
+    total = queries.agg(F.sum(size).alias("b")).first()["b"] or 0  # one number
+    if total <= broadcast_bytes:
+        return corpus.join(F.broadcast(queries), on)
+    cells = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = corpus.withColumn("_cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int"))
+    copied = queries.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    return dealt.hint("merge").join(copied, [*on, "_cell"])
+
+
+class Best:
+    """The ``k`` best (similarity, key) of every query a task has seen."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
+
+    def add(self, query, sims: np.ndarray, keys: np.ndarray) -> None:
+        if len(sims) > self.k:
+            # Everything at or above the k-th value, ties included; exact order below.
+            pick = np.flatnonzero(sims >= np.partition(sims, len(sims) - self.k)[len(sims) - self.k])
+            sims, keys = sims[pick], keys[pick]
+        if query in self.held:
+            sims, keys = np.concatenate([self.held[query][0], sims]), np.concatenate([self.held[query][1], keys])
+        order = np.lexsort((keys, -sims))[: self.k]
+        if len(order):
+            self.held[query] = (sims[order], keys[order])
+
+
+def _score(pairs: DataFrame, lists: list[tuple[int, bool]], q_field: StructField, k_field: StructField) -> DataFrame:
+    """``(query_id, key, similarity, list_no)``: the best of every task."""
+    schema = StructType([q_field, k_field, StructField("similarity", DoubleType()), StructField("list_no", IntegerType())])
+    q_type, k_type = to_arrow_type(q_field.dataType), to_arrow_type(k_field.dataType)
+
+    def drain(best: list[Best]) -> Iterator[pa.RecordBatch]:
+        for no, b in enumerate(best):
+            for query, (sims, keys) in b.held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([query] * len(sims), q_type), pa.array(keys.tolist(), k_type), pa.array(sims),
+                     pa.array(np.full(len(sims), no), pa.int32())], schema.names)
+            b.held = {}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [Best(k) for k, _ in lists]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = np.asarray(batch.column("ids")[i].as_py())
+                inside = np.asarray(batch.column("inside")[i].as_py(), bool)
+                queries = batch.column("q_ids")[i].as_py()
+                mat = np.frombuffer(batch.column("mat")[i].as_buffer(), np.float64).reshape(len(keys), -1)
+                q_mat = np.frombuffer(batch.column("q_mat")[i].as_buffer(), np.float64).reshape(len(queries), -1)
+                sims = np.round(mat @ q_mat.T, DIGITS)
+                for (_, part), b in zip(lists, best, strict=True):
+                    s, own = (sims[inside], keys[inside]) if part else (sims, keys)
+                    for j, query in enumerate(queries):
+                        b.add(query, s[:, j], own)
+            if sum(len(b.held) * b.k for b in best) > HELD:
+                yield from drain(best)
+        yield from drain(best)
+
+    return pairs.select("ids", "inside", "mat", "q_ids", "q_mat").mapInArrow(score, schema)
+
+
+def dense_lists(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, subset: Column | None = None, k_subset: int = R.TOP_K_SCOPED,
+                key: str = "chunk_key", scope: str | None = "source_id", vector: str = "embedding",
+                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(query_id, key, similarity, rank, list_no): list 0 over all chunks of the query's scope and, where ``subset``
+    is given, list 1 over those it selects - both from one scan of the corpus."""
+    spark = chunks.sparkSession
+    asked = materialize(packed_blocks(queries, "query_id", vector, scope).select(
+        "scope", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat")), "query-blocks")
+    blocks = packed_blocks(chunks, key, vector, scope, subset)
+    lists = [(k, False)] + ([(k_subset, True)] if subset is not None else [])
+    with batches_of(spark, 4):
+        pairs = meet(blocks, asked, ["scope"], F.length("q_mat"), broadcast_bytes)
+        hits = materialize(_score(pairs, lists, StructField("query_id", queries.schema["query_id"].dataType),
+                                  StructField(key, chunks.schema[key].dataType)), "hits")
+    discard(asked)
+    order = Window.partitionBy("query_id", "list_no").orderBy(F.col("similarity").desc(), F.col(key))
+    most = F.when(F.col("list_no") == 0, k).otherwise(k_subset)
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= max(k, k_subset)) & (F.col("rank") <= most))
+    return ranked.select("query_id", key, "similarity", F.col("rank").cast("bigint").alias("rank"), "list_no")
 
-    def buckets(df: DataFrame, ident: str) -> DataFrame:
-        hashed = explode_once(model.transform(df), [ident], F.col("_h"), "_hv", "_t")
-        return hashed.select(ident, "_t", F.get(vector_to_array("_hv"), F.lit(0)).alias("_b"))
 
-    wanted = buckets(prepared(queries, "query_id"), "query_id").select("_t", "_b").distinct()
-    near = buckets(corpus, key).join(wanted, ["_t", "_b"], "left_semi").select(key).distinct()
-    return dense_topk(chunks.join(near, key, "left_semi"), queries, k, key, scope, vector)
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = R.TOP_K_DENSE, key: str = "chunk_key",
+               scope: str | None = "source_id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(query_id, key, similarity, rank): ``k`` nearest chunks by cosine within the query's source."""
+    return dense_lists(chunks, queries, k, key=key, scope=scope, vector=vector, broadcast_bytes=broadcast_bytes).drop("list_no")

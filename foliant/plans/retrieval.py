@@ -28,12 +28,12 @@ def ranked_lists(chunks: DataFrame, queries: DataFrame, scoped_pattern: str = R.
     """
     queries = materialize(queries, "queries")
     words = F.concat_ws(" ", text_or_empty("title"), F.col("text"))
-    scoped = chunks.filter(F.col("url").rlike(scoped_pattern))
+    near = dense.dense_lists(chunks, queries, k_dense, F.col("url").rlike(scoped_pattern), k_scoped)
     lists = [
-        dense.dense_topk(chunks, queries, k_dense),
+        near.filter("list_no = 0"),
         lexical.lexical_topk(chunks, queries, words, k_lexical, match=match, postings=postings,
                              positions=positions, stats=stats),
-        dense.dense_topk(scoped, queries, k_scoped),
+        near.filter("list_no = 1"),
     ]
     return materialize(fusion.stack_lists(lists), "lists")
 
