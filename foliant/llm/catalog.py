@@ -158,7 +158,8 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_TARGETS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 
 
-def _mix_sql(rounds: int = 6, max_ratio: float = 1.5) -> str:
+def _mix_sql(rounds: int = 40) -> str:
+    """Enough rounds to meet all targets (the operator stops by itself where they are met)."""
     goals = ",\n".join(
         f"goal_{d} AS MATERIALIZED (SELECT {d}, power(n, {a}) / sum(power(n, {a})) OVER () * sum(n) OVER () AS goal FROM "
         f"(SELECT {d}, sum(n)::DOUBLE AS n FROM cells GROUP BY {d}))" for d, a in MIX_TARGETS.items())
@@ -166,22 +167,24 @@ def _mix_sql(rounds: int = 6, max_ratio: float = 1.5) -> str:
     for i in range(rounds):
         for d in MIX_TARGETS:
             name = f"w{i + 1}_{d}"
-            steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, n, least(w * goal / sum(w) OVER (PARTITION BY {d}), "
-                         f"n * {max_ratio}) AS w FROM {last} JOIN goal_{d} USING ({d}))")
+            steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, n, w * goal / sum(w) OVER (PARTITION BY {d}) AS w "
+                         f"FROM {last} JOIN goal_{d} USING ({d}))")
             last = name
     return f"""
     WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang,
         CASE WHEN regexp_matches(text, '(?i)licen[cs]ed|copyright') THEN 'licence' WHEN regexp_matches(text, ' \\| ') THEN 'table'
              WHEN regexp_matches(text, '[0-9]{{3}}') THEN 'numbers' ELSE 'other' END AS topic,
-        coalesce(length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens FROM documents),
+        coalesce(length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS tokens,
+        md5(coalesce(text, '')) AS digest FROM documents),
     cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS n FROM d GROUP BY ALL),
     {goals},
     w0 AS (SELECT source, lang, topic, n, n::DOUBLE AS w FROM cells),
-    {", ".join(steps)}
+    {", ".join(steps)},
+    top AS (SELECT max(w / n) AS top FROM {last})
     SELECT doc_id, nullif(source, chr(0)) AS source, nullif(lang, chr(0)) AS lang, topic, tokens::BIGINT AS tokens,
-           round(w / n / {max_ratio}, 6) AS prob,
-           ('0x' || substr(md5('mix' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 < w / n / {max_ratio} AS kept
-    FROM d JOIN {last} USING (source, lang, topic)"""
+           round(w / n / top, 6) AS prob,
+           ('0x' || substr(md5('mix' || doc_id || ':' || digest), 1, 13))::BIGINT / 4503599627370496.0 < w / n / top AS kept
+    FROM d JOIN {last} USING (source, lang, topic), top"""
 
 
 @query("op8_mixing", _mix_sql())

@@ -3,23 +3,21 @@
 Token counts are summed per cell (source, language, topic); the cells are raked
 to the marginal targets of each dimension in turn.  A document is kept with
 probability (raked weight / tokens) / (largest such ratio) of its cell, drawn
-from a hash of its id, so the same documents are kept at every run.
+from a hash of its id and text, so the same documents are kept at every run.
 
-Without a bound (``max_ratio=None``) the rounds go on until every marginal is met
-within ``tolerance``, and the kept tokens meet the targets in expectation; where
-no weights of the given cells meet all targets, they end when a round no longer
-brings them nearer.  With a bound, as in the registered query and the pipeline,
-no cell exceeds ``max_ratio`` times its tokens, the rounds are fixed, and what
-the bound cuts off is missing from the targets: more documents stay, of a mix
-between the table's and the wanted one.
+The rounds go on until every marginal is met within ``tolerance``, so the kept tokens
+meet the targets in expectation; where no weights of the given cells meet all
+targets, they end when a round no longer brings them nearer.  A caller may bound
+the ratio (``max_ratio``, with a fixed number of ``rounds``): more documents stay then,
+of a mix between the table's and the wanted one.
 
 A target is an exponent (shares go with tokens ** exponent: below 1 flattens) or
 a mapping of values to shares.
 
 Defined cases: null source or language is a value of its own; a null text has no
 tokens and topic ``other``; cells without tokens keep their documents at
-probability 1 / ``max_ratio`` (or the largest ratio); values missing from a mapping get weight 0; rows
-with equal ids share their draw; an empty table gives an empty result; a column
+probability 1 / (largest ratio); values missing from a mapping get weight 0; rows
+with equal id and text share their draw; an empty table gives an empty result; a column
 named like one of the results is replaced.
 """
 
@@ -27,16 +25,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.plans.lineage import materialize
+from foliant.plans.lineage import discard, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 TOPICS = (("licence", r"(?i)licen[cs]ed|copyright"), ("table", r" \| "), ("numbers", r"[0-9]{3}"))
 DIMENSIONS = ("source", "lang", "topic")
 NULL = "\x00"
 SALTS = 16
+TOLERANCE = 1e-10
+ROUNDS_A_STEP = 4  # rounds in one plan, between two looks at the targets
 
 
 def topic_of(text: Column, topics: Sequence[tuple[str, str]] = TOPICS) -> Column:
@@ -47,9 +47,10 @@ def topic_of(text: Column, topics: Sequence[tuple[str, str]] = TOPICS) -> Column
     return out
 
 
-def draw(doc_id: Column, seed: str = "mix") -> Column:
-    """Uniform number in [0, 1) from the id."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def draw(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """Uniform number in [0, 1) from the id and the text (texts without an id are drawn one by one)."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"),
+                            F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -62,37 +63,40 @@ def with_cells(docs: DataFrame, topics: Sequence[tuple[str, str]] = TOPICS) -> D
     return out.withColumns({f"_{d}": F.coalesce(F.col(d), F.lit(NULL)) for d in DIMENSIONS})
 
 
-def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max_ratio: float | None = 1.5,
-         rounds: int = 6, tolerance: float = 1e-4) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max_ratio: float | None = None,
+         rounds: int = 6, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells ``(_source, _lang, _topic, n)`` with their raked weight ``w``; without ``max_ratio``, ``rounds`` has no meaning."""
     keys = [f"_{d}" for d in DIMENSIONS]
     total = cells.agg(F.sum("n").cast("double").alias("_total"))
-    goals = {}
+    now = cells.withColumn("w", F.col("n").cast("double"))
     for d, goal in targets.items():
         sums = cells.groupBy(f"_{d}").agg(F.sum("n").cast("double").alias("_n"))
         share = F.pow("_n", F.lit(float(goal))) if isinstance(goal, int | float) else _share(F.col(f"_{d}"), goal)
         sums = sums.withColumn("_s", F.when(F.col("_n") > 0, share).otherwise(0.0))
         scale = sums.agg(F.sum("_s").alias("_all")).crossJoin(total)  # one row by one row
-        goals[d] = materialize(sums.crossJoin(F.broadcast(scale)).select(
-            f"_{d}", (F.col("_s") / F.col("_all") * F.col("_total")).alias("_goal")), "targets")
-    now = cells.withColumn("w", F.col("n").cast("double"))
+        now = now.join(sums.crossJoin(F.broadcast(scale)).select(
+            f"_{d}", (F.col("_s") / F.col("_all") * F.col("_total")).alias(f"_goal_{d}")), f"_{d}")
+    now = materialize(now.withColumn("_off", F.lit(0.0)), "raked")
     off, done = float("inf"), 0
     while max_ratio is None or done < rounds:
-        before, off, done = off, 0.0, done + 1
-        for d, goal in goals.items():
-            sums = now.groupBy(f"_{d}").agg(F.sum("w").alias("_sum")).join(goal, f"_{d}")
-            if max_ratio is None:
-                sums = materialize(sums, "marginals")
-                missed = F.when(F.col("_goal") > 0, F.abs(F.col("_sum") / F.col("_goal") - 1)).otherwise(0.0)
-                off = max(off, sums.agg(F.max(missed)).first()[0] or 0.0)
-            factor = sums.select(f"_{d}", F.when(F.col("_sum") > 0, F.col("_goal") / F.col("_sum")).otherwise(1.0).alias("_f"))
-            moved = F.col("w") * F.col("_f")
-            if max_ratio is not None:
-                moved = F.least(moved, F.col("n") * F.lit(max_ratio))
-            now = materialize(now.join(factor, f"_{d}").select(*keys, "n", moved.alias("w")), "raked")
+        before, old = off, now
+        for _ in range(ROUNDS_A_STEP if max_ratio is None else rounds):
+            done += 1
+            now = now.withColumn("_off", F.lit(0.0))
+            for d in targets:
+                own, goal = F.sum("w").over(Window.partitionBy(f"_{d}")), F.col(f"_goal_{d}")
+                now = now.withColumn("_sum", own)
+                moved = F.col("w") * F.when(F.col("_sum") > 0, goal / F.col("_sum")).otherwise(1.0)
+                if max_ratio is not None:
+                    moved = F.least(moved, F.col("n") * F.lit(max_ratio))
+                missed = F.when(goal > 0, F.abs(F.col("_sum") / goal - 1)).otherwise(0.0)
+                now = now.withColumns({"w": moved, "_off": F.greatest("_off", missed)}).drop("_sum")
+        now = materialize(now, "raked")
+        discard(old)
+        off = now.agg(F.max("_off")).first()[0] or 0.0
         if max_ratio is None and (off < tolerance or off > 0.99 * before):
             break
-    return now
+    return now.select(*keys, "n", "w")
 
 
 def _share(value: Column, goal: Mapping[str, float]) -> Column:
@@ -102,7 +106,7 @@ def _share(value: Column, goal: Mapping[str, float]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max_ratio: float | None = 1.5, rounds: int = 6,
+def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max_ratio: float | None = None, rounds: int = 6,
         topics: Sequence[tuple[str, str]] = TOPICS, columns: Sequence[str] | None = None) -> DataFrame:
     """``columns`` of every document plus topic, tokens, prob and kept.
 
@@ -124,4 +128,4 @@ def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max
     rows = rows.drop("prob", "kept").withColumn("_salt", salt)
     out = rows.join(salted, [*keys, "_salt"])
     names = dict.fromkeys([*(c for c in columns if c not in ("prob", "kept")), "topic", "tokens"])
-    return out.select(*names, "prob", (draw(F.col("doc_id")) < F.col("prob")).alias("kept"))
+    return out.select(*names, "prob", (draw(F.col("doc_id"), F.col("text")) < F.col("prob")).alias("kept"))

@@ -406,13 +406,22 @@ def test_mixing_meets_targets(docs, rows, none):
 
 def test_mixing_without_bound_meets_production_targets(spark, none):
     docs = catalog.table(spark, SF, "documents")
-    out = mixing.mix(docs, catalog.MIX_TARGETS, max_ratio=None).persist()
+    out = mixing.mix(docs, catalog.MIX_TARGETS).persist()
     assert abs(out.agg(F.max("prob")).first()[0] - 1) < 1e-9
     for d, a in catalog.MIX_TARGETS.items():
         sums = out.groupBy(d).agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("prob"))).collect()
         goal, got = np.array([r[1] for r in sums], float) ** a, np.array([r[2] for r in sums])
         assert np.allclose(got / got.sum(), goal / goal.sum(), rtol=1e-3)
-    assert mixing.mix(none, catalog.MIX_TARGETS, max_ratio=None).collect() == []
+    tokens, kept = out.agg(F.sum("tokens"), F.sum(F.when(F.col("kept"), F.col("tokens")))).first()
+    expected = out.agg(F.sum(F.col("tokens") * F.col("prob"))).first()[0]
+    assert abs(kept - expected) < 0.15 * expected < tokens
+
+
+def test_texts_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"some words in text {i}", "en", "s") for i in range(400)] + [(1, "other", "fr", "t")] * 400
+    out = mixing.mix(table(spark, rows), {"source": {"s": 0.3, "t": 0.7}}, columns=["doc_id", "source"])
+    assert 100 < out.filter("source = 's' AND kept").count() < 250  # each by itself
+    assert out.filter("source = 't'").select("kept").distinct().count() == 1  # copies together
 
 
 # --- 6 and 7 ---------------------------------------------------------------------------
