@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import arrays
-from foliant.plans.lineage import materialize, new_dir
+from foliant.plans.lineage import discard, materialize, new_dir
 
 MAX_VOCABULARY = 1 << 20  # bound of the rank table that every task loads
-CACHE = 600_000  # words in a generation of a worker's memory
+CACHE = 300_000  # words in a generation of a worker's memory
 _known: dict[str, Encoder] = {}
 
 # Fixed values of byte-level BPE: how a text falls into pieces, and the character that stands for each byte.
@@ -103,6 +103,12 @@ class Encoder:
         self.first, self.later = Words(lambda w: self._whole(w.decode()), 20_000), Words(lambda w: self._word(w.decode()))  # at the start of a text; after a space
         self.pieces = Words(self._piece, CACHE // 2)
 
+    def forget(self) -> None:
+        """Drop the words seen: a worker outlives its tasks, and their memory would stay with it."""
+        for words in (self.first, self.later, self.pieces):
+            words.clear()
+            words.older = {}
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -193,6 +199,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, part: int
                 packed = [pack(np.append(x, end), packer) for x in np.split(ids, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(packed, pa.binary()),
                                                   pa.nulls(j - i, pa.binary())], ["doc_id", "ids", "counts"])
+        enc.forget()
         if id_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())],
                                              ["doc_id", "ids", "counts"])
@@ -324,9 +331,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
                      pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     ["doc_id", "part", "start_in_part", "n_tokens", "control", "data"])
 
-    ordered = encoded.filter(F.col("ids").isNotNull()).select("doc_id", "ids").repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    # Ranges are sampled on the driver: of the order's columns only, so a hash of the ids stands for them.
+    order = ["doc_id", F.xxhash64("ids")]
+    ordered = encoded.filter(F.col("ids").isNotNull()).select("doc_id", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, f"doc_id {kind}, part int, start_in_part long, n_tokens long, control binary, data binary") \
         .write.parquet(files.docs)
+    shared.unpersist()
+    discard(encoded)
     return files
 
 
