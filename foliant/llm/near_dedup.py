@@ -259,8 +259,10 @@ def compare_blocks(members: DataFrame, leaders: DataFrame, texts: DataFrame, idf
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     both = blocks(members, "members").join(blocks(leaders, "leaders"), "bucket").select("members", "leaders")
-    with batches_of(spark, 8):
-        return materialize(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    with batches_of(spark, 2):  # a row holds two blocks of texts
+        out = materialize(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    shared.unpersist()
+    return out
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
