@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import catalog, contamination, lang_id, mixing, near_dedup, token_files
-from foliant.plans.lineage import materialize
+from foliant.plans.lineage import discard, materialize
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -75,5 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = catalog.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
