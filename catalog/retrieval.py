@@ -13,7 +13,7 @@ from catalog.registry import query
 from catalog.roles import DOCS, NL
 from foliant import rules as RULES
 from foliant.functions.answers import history_line
-from foliant.operators import conversation, dense, evaluate, fusion, lexical, scorers, vector_index
+from foliant.operators import conversation, dense, evaluate, fusion, lexical, lexical_index, scorers, vector_index
 from foliant.plans import retrieval
 from foliant.plans.lineage import new_dir
 from foliant.schemas import read_table
@@ -245,6 +245,41 @@ def websearch_match(spark, d):
     return lexical.lexical_topk(text_chunks(spark, d, False), text_queries(spark, d, False), words(), match="web")
 
 
+def lexical_store(spark, d, segment_chunks=64):
+    return lexical_index.build(text_chunks(spark, d, False), words(), new_dir(spark, "lexical"), segment_chunks=segment_chunks)
+
+
+@query("bm25_indexed", f"WITH {LEX} {LEXTOP.format(src='sc')}")
+def bm25_indexed(spark, d):
+    """The same list as ``bm25_topk``, from the stored index, opening only segments that may hold one of the best."""
+    return lexical_index.topk(spark, lexical_store(spark, d), text_queries(spark, d, False), match="any")
+
+
+@query("websearch_indexed", f"WITH {LEX}, {MATCH} {LEXTOP.format(src='(SELECT sc.* FROM sc JOIN ma USING (query_id, chunk_key))')}")
+def websearch_indexed(spark, d):
+    return lexical_index.topk(spark, lexical_store(spark, d), text_queries(spark, d, False))
+
+
+#: Web-style questions made of the words of every tenth document: a phrase, an alternative, and a word that must be absent.
+ASKED = """qs AS (SELECT doc_id AS query_id, source_id, '"' || ws[2] || ' ' || ws[3] || '" ' || ws[6] || ' or ' || ws[8] || ' ' || ws[9] || ' -' || ws[12] AS text
+  FROM (SELECT doc_id, source_id, {words} AS ws FROM docs WHERE doc_id % 10 = 0) WHERE len(ws) >= 12)""".format(words=WORD_LIST % "text")
+LEX_WEB = LEX.replace(LEX[LEX.index("qs AS ("):LEX.index("cw AS (")], ASKED + ",\n")
+
+
+def web_questions(spark, d):
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}0-9]+"), lambda x: x != "")
+    q = R.documents(spark, d).filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "source_id", w.alias("ws")).filter(F.size("ws") >= 12)
+    at = lambda i: F.col("ws")[i - 1]
+    text = F.concat(F.lit('"'), at(2), F.lit(" "), at(3), F.lit('" '), at(6), F.lit(" or "), at(8), F.lit(" "), at(9), F.lit(" -"), at(12))
+    return q.select("query_id", "source_id", text.alias("text"))
+
+
+@query("web_operators", f"WITH {LEX_WEB}, {MATCH} {LEXTOP.format(src='(SELECT sc.* FROM sc JOIN ma USING (query_id, chunk_key))')}")
+def web_operators(spark, d):
+    """Phrases, alternatives and negated words, from the stored index."""
+    return lexical_index.topk(spark, lexical_store(spark, d), web_questions(spark, d))
+
+
 # --- hybrid ---------------------------------------------------------------------------
 
 HYBRID = f"""{LEX}, {MATCH}, {VEC},
