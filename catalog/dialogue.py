@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import pages as P
 from catalog import roles as R
 from catalog.registry import query
 from catalog.roles import BL, CRAWL, MESSAGES, SOURCES, sql_any
@@ -14,7 +15,7 @@ from foliant.operators import access, conversation, evaluate
 from foliant.plans.lineage import new_dir
 from foliant.schemas import read_table
 from foliant.streaming import ingest as stream
-from foliant.streaming import sessions
+from foliant.streaming import keyed, sessions
 
 LINE = "upper(role) || ': ' || text"
 
@@ -340,3 +341,83 @@ def stream_sessions(spark, d):
     base = new_dir(spark, "sessions")
     stream.write_counters(sessions.session_states(msgs), f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return stream.read_counters(spark, f"{base}/table").drop("update_seq")
+
+
+def slices(spark, d, table, order, n=2):
+    """The sample table written in ``n`` steps, as files that arrive one after the other; yields the folder after each."""
+    rows = read_table(spark, d, table)
+    inbox = f"{new_dir(spark, 'inbox')}/in"
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    for k in range(n):
+        edge = lambda i: low + (high - low) * i / n
+        part = rows.filter(F.col(order) >= edge(k)) if k else rows
+        (part.filter(F.col(order) < edge(k + 1)) if k < n - 1 else part).write.parquet(f"{inbox}/p{k}")
+        yield rows.schema, f"{inbox}/*"
+
+
+@query("stream_ingest", f"""
+WITH {P.BUILT} SELECT page_id AS doc_id, canonical_url, CASE WHEN final <> 'accepted' THEN replace(final, 'skipped:', '')
+  WHEN page_id = min(page_id) OVER (PARTITION BY canonical_url) THEN 'saved' ELSE 'updated' END AS decision FROM b""")
+def stream_ingest(spark, d):
+    """Pages arriving in two steps, decided by the state of their hashes and URLs."""
+    return ingested(spark, d)[1].select("doc_id", "canonical_url", "decision")
+
+
+def ingested(spark, d):
+    base = new_dir(spark, "ingested")
+    host = P.allowed_host()
+    for schema, inbox in slices(spark, d, "pages", "page_id"):
+        keyed.ingest(stream.read_capture_stream(spark, inbox, schema), f"{base}/out", f"{base}/checkpoint", R.SAMPLE_RULES, host).awaitTermination()
+    return f"{base}/out", spark.read.parquet(f"{base}/out/decisions").drop("batch")
+
+
+@query("stream_documents", f"""
+WITH {P.BUILT}, last AS (SELECT max(page_id) AS page_id FROM b WHERE final = 'accepted' GROUP BY canonical_url)
+SELECT page_id AS doc_id, canonical_url, h AS content_hash, length(content) AS n_chars, true AS has_chunks FROM b SEMI JOIN last USING (page_id)""")
+def stream_documents(spark, d):
+    """What the stream has stored in the end: the newest version of every URL, with its chunks."""
+    path, _ = ingested(spark, d)
+    chunked = keyed.current_children(spark, path, "chunks").select("doc_id").distinct().withColumn("has_chunks", F.lit(True))
+    docs = keyed.current_documents(spark, path).join(chunked, "doc_id", "left")
+    return docs.select("doc_id", "canonical_url", "content_hash", F.length("content").cast("bigint").alias("n_chars"),
+                       F.coalesce("has_chunks", F.lit(False)).alias("has_chunks"))
+
+
+@query("stream_links", f"""
+WITH {P.HREFS_SQL} SELECT dst_url, min({{'p': page_id, 'n': position}}).p AS first_page_id, min({{'p': page_id, 'n': position}}).n AS first_position FROM lk GROUP BY 1""")
+def stream_links(spark, d):
+    """Link targets of pages arriving in two steps, each passed on once."""
+    base = new_dir(spark, "links")
+    for schema, inbox in slices(spark, d, "pages", "page_id"):
+        found = keyed.first_links(stream.read_capture_stream(spark, inbox, schema))
+        found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_periods", """
+WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR AS new FROM events WHERE ts IS NOT NULL),
+p AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT 'u' || user_id AS session_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS turns FROM p GROUP BY user_id, k""")
+def stream_periods(spark, d):
+    """Periods of activity, closed by the next event or by the timer; one late event of another session moves the clock on."""
+    base = new_dir(spark, "periods")
+    last = None
+    for schema, inbox in slices(spark, d, "events", "ts"):
+        last = schema, inbox
+        _periods(spark, schema, inbox, base)
+    end = read_table(spark, d, "events").agg(F.max("ts").alias("m")).select(
+        F.lit(-1).cast("bigint").alias("user_id"), (F.col("m") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in last[0] if f.name not in ("user_id", "ts")]
+    end.select("*", *missing).select(*last[0].names).write.parquet(last[1].replace("*", "end"))
+    _periods(spark, *last, base)
+    out = spark.read.parquet(f"{base}/out").filter("session_id <> 'u-1'")
+    return out.select("session_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")], "turns")
+
+
+def _periods(spark, schema, inbox, base):
+    raw = spark.readStream.schema(schema).parquet(inbox)
+    rows = raw.filter(F.col("ts").isNotNull()).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").cast("timestamp").alias("created_at"))
+    closed = keyed.closed_sessions(rows, 6 * 3_600_000)
+    closed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(
+        availableNow=True).start().awaitTermination()
