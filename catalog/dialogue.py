@@ -11,7 +11,7 @@ from catalog.roles import BL, CRAWL, MESSAGES, SOURCES, sql_any
 from catalog.documents import COUNTERS_SQL
 from foliant import rules as RULES
 from foliant.functions import answers as A
-from foliant.operators import access, conversation, evaluate
+from foliant.operators import access, conversation, evaluate, sketches
 from foliant.plans.lineage import new_dir
 from foliant.schemas import read_table
 from foliant.streaming import ingest as stream
@@ -316,6 +316,24 @@ def default_judge(spark, d):
         "hallucinated", F.coalesce(F.col("refusal_correct").cast("string"), F.lit("not asked")).alias("refusal_correct"))
 
 
+@query("sketch_ranges", """
+WITH e AS (SELECT *, value IS NOT NULL AND value > 0 AS timed FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS exact_sessions, true AS sessions_close, true AS p50_close, true AS p95_close FROM e GROUP BY 1""")
+def sketch_ranges(spark, d):
+    """Daily sketches merged for a range of days, held against the exact numbers of that range."""
+    e = read_table(spark, d, "events")
+    asked = sketches.merged(sketches.daily(e, ["event_type"], "ts", "user_id", "value"), ["event_type"], F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))
+    guess = sketches.estimates(asked)
+    rows = e.filter(F.to_date("ts").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date")))
+    both = rows.join(guess, "event_type")
+    share = lambda q: F.avg((F.col("value") <= F.col(q)).cast("double"))
+    near = lambda q, p: (F.abs(share(q) - p) <= sketches.RANK_ERROR + 1 / F.count("value"))
+    exact = F.count_distinct("user_id")
+    return both.groupBy("event_type").agg(
+        F.first("n").alias("n"), exact.alias("exact_sessions"), (F.abs(F.first("n_sessions") - exact) <= sketches.COUNT_ERROR * exact).alias("sessions_close"),
+        near("q50", 0.5).alias("p50_close"), near("q95", 0.95).alias("p95_close"))
+
+
 # --- streaming --------------------------------------------------------------------------------
 
 

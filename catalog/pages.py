@@ -13,6 +13,9 @@ from foliant.functions import urls
 from foliant.functions.text import slug
 from foliant.operators import classify, cleaning, ingest, links, metrics
 from foliant.plans import corpus
+from foliant.plans.lineage import new_dir
+from foliant.schemas import read_table
+from foliant.sources import markdown_files
 
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
@@ -355,3 +358,17 @@ def slug_lengths(spark, d):
     return R.raw_pages(spark, d).select("page_id", F.length(slug(H.title("html"))).cast("bigint").alias("slug_chars"))
 
 
+@query("markdown_export", """
+SELECT doc_id, sha1('https://h.example.org/' || doc_id)[1:10] AS short_hash, length(text) AS n_chars, md5(text) AS text_md5 FROM documents WHERE length(text) > 0""")
+def markdown_export(spark, d):
+    """Every document as a Markdown file, in two appends, and what is read back from the committed files."""
+    path = f"{new_dir(spark, 'markdown')}/files"
+    docs = read_table(spark, d, "documents").filter("length(text) > 0")
+    url = F.concat(F.lit("https://h.example.org/"), F.col("doc_id").cast("string"))
+    named = docs.select((F.col("doc_id") % 2).alias("half"), urls.export_name(url, F.lit("d")).alias("file_name"), "text", "doc_id")
+    for half in (0, 1):
+        markdown_files.write_markdown(named.filter(F.col("half") == half), path)
+    back = markdown_files.read_markdown(spark, path)
+    return named.select("doc_id", "file_name").join(back, "file_name").select(
+        "doc_id", F.regexp_extract("file_name", r"-([0-9a-f]{10})\.md$", 1).alias("short_hash"),
+        F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -10,6 +10,7 @@ from foliant.functions import urls
 from foliant.functions.text import distinct_first, strip, text_or_empty
 from foliant.plans.lineage import materialize
 from foliant.plans.once import explode_once
+from foliant.plans.skew import first_in_order
 
 
 def page_links(pages: DataFrame, internal_only: bool = True) -> DataFrame:
@@ -56,18 +57,23 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, a
     of the level files, so nothing is rewritten and lost executors only repeat
     one level.  New nodes are reduced map-side before they are compared with the
     seen ones, so a node linked from a third of all pages costs no more than any
-    other.  ``budget`` keeps the first nodes by (depth, node), as a page budget does.
+    other.  ``budget`` keeps the first nodes by (depth, node), as a page budget does:
+    whole levels while they fit, and of the level that crosses it the first nodes.
     """
     level = seeds.select(F.col(node)).distinct()
     if allowed is not None:
         level = level.join(allowed.select(node), node, "left_semi")
     level = materialize(level.withColumn("depth", F.lit(0).cast("bigint")), "level")
-    seen, depth, left = level, 0, budget
-    while max_depth is None or depth < max(1, max_depth):
+    seen, depth, left = level.limit(0), 0, budget
+    while True:
         if left is not None:
-            left -= level.count()
-            if left <= 0:
-                break
+            size = level.count()
+            if size >= left:
+                return seen.unionByName(level if size == left else first_in_order(level, [node], left))
+            left -= size
+        seen = seen.unionByName(level)
+        if max_depth is not None and depth >= max(1, max_depth):
+            return seen
         depth += 1
         step = links.join(level, links[src] == level[node], "left_semi").select(F.col(dst).alias(node)).distinct()
         if allowed is not None:
@@ -75,6 +81,4 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, a
         step = step.join(seen.select(node), node, "left_anti")
         level = materialize(step.withColumn("depth", F.lit(depth).cast("bigint")), "level")
         if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
-    return seen if budget is None else seen.orderBy("depth", node).limit(budget)
+            return seen

@@ -74,3 +74,21 @@ def running_cutoff(rows: DataFrame, group: str, position: str, flag: str, target
         "_r", F.row_number().over(Window.partitionBy(group).orderBy(position))
     )
     return ranked.filter(F.col("_r") == F.col("_need")).select(group, F.col(position).alias("cutoff"))
+
+
+def first_in_order(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order`` (ties in any order), however many: no task merges them.
+
+    A range-partitioned sort; the row counts of its partitions say how many rows
+    each one still gives.
+    """
+    from pyspark.sql import Window
+
+    from foliant.plans.lineage import materialize
+
+    line = F.monotonically_increasing_id()  # partition in the upper bits, row within it in the lower 33
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.select("*", F.shiftright(line, 33).alias("_part"), line.bitwiseAND(F.lit((1 << 33) - 1)).alias("_line")), "sorted")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(counts, "_part").filter(F.col("_line") + F.col("_before") < n).select(*rows.columns)
