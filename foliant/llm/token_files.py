@@ -33,7 +33,7 @@ from foliant.llm import arrays
 from foliant.plans.lineage import discard, materialize, new_dir
 
 MAX_VOCABULARY = 1 << 20  # bound of the rank table that every task loads
-CACHE = 300_000  # words in a generation of a worker's memory
+CACHE = 400_000  # words in a generation of a worker's memory
 _known: dict[str, Encoder] = {}
 
 # Fixed values of byte-level BPE: how a text falls into pieces, and the character that stands for each byte.
@@ -103,12 +103,6 @@ class Encoder:
         self.first, self.later = Words(lambda w: self._whole(w.decode()), 20_000), Words(lambda w: self._word(w.decode()))  # at the start of a text; after a space
         self.pieces = Words(self._piece, CACHE // 2)
 
-    def forget(self) -> None:
-        """Drop the words seen: a worker outlives its tasks, and their memory would stay with it."""
-        for words in (self.first, self.later, self.pieces):
-            words.clear()
-            words.older = {}
-
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -199,7 +193,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, part: int
                 packed = [pack(np.append(x, end), packer) for x in np.split(ids, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(packed, pa.binary()),
                                                   pa.nulls(j - i, pa.binary())], ["doc_id", "ids", "counts"])
-        enc.forget()
         if id_type is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())],
                                              ["doc_id", "ids", "counts"])
@@ -317,6 +310,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _known.clear()  # texts are encoded: the words a worker has seen would stay with it for later jobs
         table, unpacker, start, part = shared.value, zstandard.ZstdDecompressor(), 0, TaskContext.get().partitionId()
         for batch in batches:
             for i in range(0, len(batch), 500):
