@@ -139,19 +139,26 @@ def titled_people(content: Column) -> Column:
 # --- year blocks ---------------------------------------------------------------
 
 
-def _year_of(piece: Column) -> Column:
-    low = F.lower(F.substring(piece, 1, 12))
-    out = F.when(low.rlike("^" + literal_pattern(R.YEAR_LABELS[0][1])), F.lit(R.YEAR_LABELS[0][0]))
-    for year, labels in R.YEAR_LABELS[1:]:
+YearLabels = Sequence[tuple[int, Sequence[str]]]
+
+
+def _year_of(piece: Column, years: YearLabels) -> Column:
+    longest = max(len(label) for _, labels in years for label in labels)
+    low = F.lower(F.substring(piece, 1, longest))
+    out = F.when(low.rlike("^" + literal_pattern(years[0][1])), F.lit(years[0][0]))
+    for year, labels in years[1:]:
         out = out.when(low.rlike("^" + literal_pattern(labels)), F.lit(year))
     return out
 
 
-def year_pieces(content: Column) -> Column:
-    """Text cut before every year label: array of struct(year, text); year null before the first."""
-    every = [label for _, labels in R.YEAR_LABELS for label in labels]
+def year_pieces(content: Column, years: YearLabels = R.YEAR_LABELS) -> Column:
+    """Text cut before every year label: array of struct(year, text); year null before the first.
+
+    ``years``: numbers with their labels, in lower case and without pattern characters.
+    """
+    every = [label for _, labels in years for label in labels]
     cut = F.split(text_or_empty(content), "(?iu)(?=" + "|".join(every) + ")")
-    return F.transform(cut, lambda p: F.struct(_year_of(p).alias("year"), p.alias("text")))
+    return F.transform(cut, lambda p: F.struct(_year_of(p, years).alias("year"), p.alias("text")))
 
 
 def _block_score(block: Column) -> Column:
