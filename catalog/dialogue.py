@@ -11,9 +11,10 @@ from catalog.roles import BL, CRAWL, MESSAGES, SOURCES, sql_any
 from catalog.documents import COUNTERS_SQL
 from foliant import rules as RULES
 from foliant.functions import answers as A
-from foliant.operators import access, conversation, evaluate, sketches
+from foliant.operators import access, conversation, evaluate, metrics, sketches
 from foliant.plans.lineage import new_dir
-from foliant.schemas import read_table
+from foliant.schemas import EVAL_ITEM, read_table
+from foliant.sources import captures
 from foliant.streaming import ingest as stream
 from foliant.streaming import keyed, sessions
 
@@ -316,6 +317,69 @@ def default_judge(spark, d):
         "hallucinated", F.coalesce(F.col("refusal_correct").cast("string"), F.lit("not asked")).alias("refusal_correct"))
 
 
+@query("citation_hits", """
+SELECT doc_id AS query_id, CASE doc_id % 3 WHEN 2 THEN 1 ELSE 2 END::BIGINT AS n_cited, CASE doc_id % 3 WHEN 2 THEN 0 ELSE 1 END::BIGINT AS n_hits,
+       doc_id % 3 < 2 AS hit, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END::BIGINT AS first_hit FROM documents WHERE doc_id % 7 > 0""")
+def citation_hits(spark, d):
+    """Answers citing the right page first, second or not at all; tracking parameters and slashes do not matter."""
+    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    right, noisy = F.concat(F.lit("https://h.example.org/a/"), n), F.concat(F.lit("HTTPS://h.example.org/a/"), n, F.lit("/?utm_source=x#top"))
+    other = F.concat(F.lit("https://h.example.org/b/"), n)
+    rows = read_table(spark, d, "documents").select(
+        F.col("doc_id").alias("query_id"), F.when(k == 0, F.array(noisy, other, right)).when(k == 1, F.array(other, noisy)).otherwise(F.array(other, other)).alias("urls"),
+        F.when(F.col("doc_id") % 7 > 0, F.array(right, F.lit("https://h.example.org/c"))).alias("ground_truth_urls"))
+    return evaluate.citation_hits(rows.select("query_id", "urls"), rows.select("query_id", "ground_truth_urls"))
+
+
+@query("probe_policy", f"""
+WITH p AS (SELECT doc_id, doc_id % 2 = 0 AS expects, text AS a FROM documents),
+j AS (SELECT doc_id, expects, a = '' OR {sql_any("lower(a)", RULES.PROBE_DECLINE_MARKERS)} OR doc_id % 3 = 0 AS declined FROM p)
+SELECT doc_id, declined AS decline, expects = declined AS ok FROM j""")
+def probe_policy(spark, d):
+    """A decline is right exactly when it was expected; every third answer opens with one."""
+    opening = F.when(F.col("doc_id") % 3 == 0, F.lit(RULES.PROBE_DECLINE_MARKERS[0] + " ")).otherwise("")
+    rows = read_table(spark, d, "documents").select("doc_id", F.concat(opening, "text").alias("answer"), (F.col("doc_id") % 2 == 0).alias("expects_decline"))
+    return evaluate.judge_probe(rows).select("doc_id", "decline", "ok")
+
+
+@query("eval_items", """
+SELECT item_id AS id, text AS question, len(string_split(text, ' ')) AS n_facts FROM benchmark WHERE item_id % 3 = 0 ORDER BY item_id::VARCHAR LIMIT 30""")
+def eval_items(spark, d):
+    """The evaluation set written as JSON lines, read back, and cut to wanted ids and a first number of items."""
+    path = f"{new_dir(spark, 'eval')}/items"
+    b = read_table(spark, d, "benchmark")
+    b.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.split("text", " ").alias("expected_facts")).write.json(path)
+    items = captures.read_jsonl(spark, path, EVAL_ITEM)
+    ids = [str(r.item_id) for r in b.filter("item_id % 3 = 0").select("item_id").collect()]  # the ids a user names
+    return evaluate.select_items(items, ids, 30).select(F.col("id").cast("bigint").alias("id"), "question", F.size("expected_facts").cast("bigint").alias("n_facts"))
+
+
+@query("crawl_summary", f"""
+WITH {CRAWL}, x AS (SELECT *, position % 5 = 0 AS doc, position % 4 AS links FROM crawl),
+p AS (SELECT job_id, count(*) FILTER (NOT doc AND (outcome = 'accepted' OR starts_with(outcome, 'skipped:'))) AS accepted_valid_pages,
+  coalesce(sum(links) FILTER (NOT doc), 0)::BIGINT AS document_links_found, count(*) FILTER (doc) AS documents_processed, count(*) FILTER (doc AND outcome = 'accepted') AS documents_saved,
+  count(*) FILTER (doc AND (starts_with(outcome, 'skipped:') OR starts_with(outcome, 'invalid:'))) AS documents_skipped,
+  count(*) FILTER (doc AND outcome = 'failed_fetch') AS document_errors, round((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 / 1000.0, 3) AS wall_seconds FROM x GROUP BY job_id)
+SELECT *, CASE WHEN accepted_valid_pages >= 20 THEN 'target_reached' ELSE 'completed' END AS finished_reason FROM p""")
+def crawl_summary(spark, d):
+    rows = R.crawl_events(spark, d).withColumns({"is_document": F.col("position") % 5 == 0, "document_links": F.col("position") % 4})
+    return metrics.crawl_summary(rows, 20).select(
+        "job_id", F.coalesce("accepted_valid_pages", F.lit(0)).alias("accepted_valid_pages"), "document_links_found", "documents_processed", "documents_saved",
+        "documents_skipped", "document_errors", "wall_seconds", "finished_reason")
+
+
+@query("document_gate", """
+SELECT doc_id, doc_id % 4 < 2 AND n_chars <= 2000 AS kept FROM documents""")
+def document_gate(spark, d):
+    """PDF by type or by name, and not too large; rejected captures stay visible."""
+    k = F.col("doc_id") % 4
+    rows = read_table(spark, d, "documents").select(
+        "doc_id", F.when(k == 0, "https://h.example.org/a.PDF").otherwise("https://h.example.org/a").alias("url"),
+        F.when(k == 1, "application/pdf; charset=x").when(k == 2, "text/html").alias("content_type"), F.col("n_chars").alias("size"))
+    kept = captures.document_gate(rows, max_bytes=2000).select("doc_id", F.lit(True).alias("kept"))
+    return rows.join(kept, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 @query("sketch_ranges", """
 WITH e AS (SELECT *, value IS NOT NULL AND value > 0 AS timed FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')
 SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS exact_sessions, true AS sessions_close, true AS p50_close, true AS p95_close FROM e GROUP BY 1""")

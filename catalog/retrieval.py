@@ -388,7 +388,7 @@ def answer_check(spark, d):
     return scorers.ngram_verifier(scorers.extractive_answers(rows)).select("query_id", "response", "groundedness")
 
 
-@query("hashed_vectors")
+@query("hashed_vectors", f"SELECT doc_id, 64 AS dims, CASE WHEN len({WORD_LIST % 'text'}) > 0 THEN 1.0 ELSE 0.0 END AS norm2 FROM documents")
 def hashed_vectors(spark, d):
     v = scorers.hashed_embeddings(R.documents(spark, d).select("doc_id", "text"), dims=64)
     return v.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate(

@@ -205,3 +205,22 @@ def latency_p95(rows: DataFrame, value: str = "elapsed_ms", share: float = 0.95)
         high = value_at_rank(values, min(int(place) + 1, n - 1))
         out = low + (high - low) * (place - int(place))
     return rows.sparkSession.range(1).select(F.round(F.lit(out).cast("double"), 6).alias("p95"))
+
+
+def citation_hits(cited: DataFrame, truth: DataFrame, urls_of: str = "urls", truth_urls: str = "ground_truth_urls") -> DataFrame:
+    """Per query: cited URLs, how many of them are ground truth, and the place of the first (0 without one).
+
+    ``cited``: query_id and an ordered array of URLs; ``truth``: query_id and an array. URLs are
+    compared in canonical form; a URL cited twice counts once. Queries without ground truth have no row.
+    """
+    from foliant.functions import urls
+
+    def tidy(name: str):
+        return F.array_distinct(F.filter(F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), urls.canonical_url), lambda u: u != ""))
+
+    both = truth.select("query_id", tidy(truth_urls).alias("_t")).filter(F.size("_t") > 0).join(
+        cited.select("query_id", tidy(urls_of).alias("_c")), "query_id", "left")
+    found = F.transform(F.coalesce("_c", F.array().cast("array<string>")), lambda u: F.array_contains("_t", u))
+    place = F.array_position(found, True)
+    return both.select("query_id", F.size(found).cast("bigint").alias("n_cited"), F.size(F.filter(found, lambda h: h)).cast("bigint").alias("n_hits"),
+                       (place > 0).alias("hit"), place.cast("bigint").alias("first_hit"))

@@ -98,3 +98,25 @@ def report_lists(outcomes: DataFrame, value: str = "url", position: str = "posit
     return firsts.select("_k.list", "_k.entry", "first_position", "times").filter(
         F.col("list").isNotNull() & (F.coalesce("entry", F.lit("")) != "")
     )
+
+
+def crawl_summary(outcomes: DataFrame, target: int | None = None, job: str = "job_id", at: str = "ts", document: str = "is_document",
+                  links: str = "document_links") -> DataFrame:
+    """Per job: page counters, counters of linked documents, wall clock, and why it ended.
+
+    ``document`` marks results that are linked files, ``links`` counts the file links of a page.
+    A job ended with ``target_reached`` when it accepted at least ``target`` valid pages, else ``completed``.
+    """
+    doc, o = F.coalesce(F.col(document), F.lit(False)), F.col("outcome")
+    pages = crawl_counters(outcomes.filter(~doc), job)
+    n = lambda cond: F.count_if(doc & cond)
+    rest = outcomes.groupBy(job).agg(
+        F.sum(F.coalesce(F.when(~doc, F.col(links)), F.lit(0))).cast("bigint").alias("document_links_found"),
+        n(F.lit(True)).alias("documents_processed"), n(o == "accepted").alias("documents_saved"),
+        n(o.startswith("skipped:") | o.startswith("invalid:")).alias("documents_skipped"), n(o == "failed_fetch").alias("document_errors"),
+        F.min(at).alias("started_at"), F.max(at).alias("ended_at"))
+    rest = rest.withColumn("wall_seconds", F.round(F.timestamp_diff("MILLISECOND", "started_at", "ended_at") / 1000.0, 3))
+    out = rest.join(pages, job, "left")
+    counted = F.coalesce("accepted_valid_pages", F.lit(0))
+    reached = counted >= F.lit(target) if target is not None else F.lit(False)
+    return out.withColumn("finished_reason", F.when(reached, "target_reached").otherwise("completed"))
