@@ -201,14 +201,6 @@ def test_quality_counts_and_bands(docs, rows, none):
     assert perplexity.quality(none).collect() == []
 
 
-def test_kneser_ney_is_a_distribution(docs, rows):
-    model = perplexity.fit(docs)
-    p = np.exp2(perplexity.table(model).astype(np.float64)).reshape(-1, 64)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
-    total = sum(r["n"] for r in perplexity.count_codes(docs).collect())
-    assert total == sum(max(0, len((t or "").encode()) - 3) for _, t, _, _ in rows)
-
-
 def test_odd_texts_are_rejected(spark):
     r = random.Random(9)
     words = ["ther", "and", "tion", "ing", "es", "of", "in", "er", "on", "at"]
