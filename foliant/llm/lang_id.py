@@ -3,7 +3,8 @@
 A text is the mean embedding of its hashed byte n-grams (ASCII case folded,
 digits and punctuation as spaces).  The model is trained by stochastic gradient
 descent in numpy on a bounded, hash-ordered sample of labelled rows
-(``rows_per_lang`` rows of each label, ``chars_per_row`` characters of each);
+(``rows_per_lang`` rows of each of the ``max_langs`` most frequent labels, of long texts
+``spans`` pieces spread over the whole text, ``chars_per_row`` characters together);
 part of the sample is held back to fit a temperature and two rejection thresholds.
 
 A softmax only weighs the learned languages against each other, so a text also has
@@ -17,7 +18,7 @@ Prediction reads whole texts.  The trained tables have a fixed size
 (``buckets`` x languages), which bounds the broadcast.
 
 Defined cases: a text that is null or holds no letter is ``und`` with score 0
-and rejected; without labelled rows every text is; rows without a label are not
+and rejected; without labelled rows every text is; rows without a label, or with one beyond the most frequent, are not
 used for training; repeated rows count once each; other columns are ignored.
 """
 
@@ -47,7 +48,9 @@ UNDEFINED = "und"
 @dataclass(frozen=True)
 class Settings:
     rows_per_lang: int = 800
+    max_langs: int = 200
     chars_per_row: int = 2000
+    spans: int = 4
     buckets: int = 1 << 16
     width: int = 16
     epochs: int = 6
@@ -189,6 +192,12 @@ def _shuffled(text: str, rng: np.random.Generator) -> str:
     return "".join(chars)
 
 
+def _piece(text: str, n: int, rng: np.random.Generator) -> str:
+    """``n`` characters from anywhere in the text."""
+    at = int(rng.integers(0, max(1, len(text) - n + 1)))
+    return text[at: at + n]
+
+
 def _calibrate(model: Model, texts: list[str], truth: np.ndarray, s: Settings, rng: np.random.Generator) -> None:
     """Usual familiarity of each language and both thresholds, from held-back texts and texts made wrong."""
     k = len(model.langs)
@@ -210,12 +219,13 @@ def _calibrate(model: Model, texts: list[str], truth: np.ndarray, s: Settings, r
         best = prob.argmax(axis=1)
         return best, prob.max(axis=1), familiarity(model, mean[:, k:], count, best)
 
-    parts = [judge([t[:n] for t in texts]) for n in (s.chars_per_row, 200, 60)]
+    some = {n: [_piece(t, n, rng) for t in texts] for n in (s.chars_per_row, 200, 60)}
+    parts = [judge(some[n]) for n in (s.chars_per_row, 200, 60)]
     best, prob, near = (np.concatenate(c) for c in zip(*parts, strict=True))
     right = best == np.tile(truth, len(parts))
-    wrong = [judge([_shuffled(t[:n], rng) for t in texts]) for n in (s.chars_per_row, 200)]
+    wrong = [judge([_shuffled(t, rng) for t in some[n]]) for n in (s.chars_per_row, 200)]
     if k > 1:
-        wrong += [judge([t[:n] for t in texts], truth) for n in (s.chars_per_row, 200)]
+        wrong += [judge(some[n], truth) for n in (s.chars_per_row, 200)]
     _, wrong_prob, wrong_near = (np.concatenate(c) for c in zip(*wrong, strict=True))
     near, prob = np.concatenate([near, wrong_near]), np.concatenate([prob, wrong_prob])
     right = np.concatenate([right, np.zeros(len(wrong_near), bool)])
@@ -243,14 +253,19 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     narrow = known.drop("text").withColumn(
         "_p", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "_t"), F.lit(1 << 30)) / F.lit(1 << 30)).distinct()
     # About twice the wanted rows of each language pass the cut by hash; only those are ordered.
-    cut = narrow.groupBy("lang").agg((F.lit(2.0 * s.rows_per_lang + 100) / F.count(F.lit(1))).alias("_cut"))
+    cut = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(s.max_langs).select(
+        "lang", (F.lit(2.0 * s.rows_per_lang + 100) / F.col("_n")).alias("_cut"))
     order = Window.partitionBy("lang").orderBy("_p", "doc_id", "_t")
     chosen = narrow.join(cut, "lang").filter("_p < _cut").withColumn("_k", F.row_number().over(order))
     chosen = chosen.filter(F.col("_k") <= s.rows_per_lang).select(
         F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("_t").alias("_h"), "_k")
-    chosen = F.broadcast(chosen)  # at most rows_per_lang narrow rows a language
+    chosen = F.broadcast(chosen)  # at most rows_per_lang narrow rows for each of max_langs languages
     same = (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))
-    sample = known.join(chosen, same).select("lang", "_k", F.substring("text", 1, s.chars_per_row).alias("text"))
+    size, each = F.length("text"), s.chars_per_row // s.spans
+    starts = [F.floor((size - each) * (k / max(1, s.spans - 1))).cast("int") + 1 for k in range(s.spans)]
+    spread = F.concat_ws(" ", *[F.substring(F.col("text"), at, F.lit(each)) for at in starts])
+    text = F.when(size <= s.chars_per_row, F.col("text")).otherwise(spread)
+    sample = known.join(chosen, same).select("lang", "_k", text.alias("text"))
     sample = sample.dropDuplicates(["lang", "_k"])
     rows = sample.select("lang", "_k", "text").toPandas().sort_values(["lang", "_k"])
     return train(rows["text"].tolist(), rows["lang"].tolist(), s)
