@@ -111,7 +111,7 @@ def item_tokens(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), batch.column("item_id"), pa.array(rows, pa.list_(pa.int64()))], ["item", "item_id", "tokens"])
 
-    items = benchmark.select("item_id", "text").mapInArrow(run, f"item long, item_id {kind}, tokens array<long>")
+    items = benchmark.select("item_id", "text").mapInArrow(arrays.giving_back(run), f"item long, item_id {kind}, tokens array<long>")
     return materialize(items.filter(F.size("tokens") > 0), "items")
 
 
@@ -139,7 +139,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
                 [pa.array(hashes.view(np.int64)), pa.array(item[doc], pa.int64()), pa.array(at - b[doc], pa.int32()),
                  pa.array(short, pa.int32())], ["hash", "item", "item_pos", "short"])
 
-    return items.select("item", "tokens").mapInArrow(run, "hash long, item long, item_pos int, short int")
+    return items.select("item", "tokens").mapInArrow(arrays.giving_back(run), "hash long, item long, item_pos int, short int")
 
 
 def seed_filter(item_seed: DataFrame) -> np.ndarray:
@@ -152,7 +152,7 @@ def seed_filter(item_seed: DataFrame) -> np.ndarray:
             value = np.bitwise_or.reduceat((1 << (bits & np.uint64(7))).astype(np.uint8), first) if len(at) else first
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(value, pa.int32())], ["at", "bits"])
 
-    rows = item_seed.select("hash").mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = item_seed.select("hash").mapInArrow(arrays.giving_back(run), "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros(FILTER_BITS // 8, np.uint8)  # at most this many rows were collected
     table[rows["at"]] = rows["bits"]
     return table
@@ -199,7 +199,7 @@ def hits(docs: DataFrame, bits: np.ndarray, short: list[int], keep: str = "doc_i
                     ["doc", keep, "base", "tokens", "hashes", "places"])
 
     return docs.select(keep, "text").mapInArrow(
-        run, f"doc long, {keep} {kind}, base long, tokens array<long>, hashes array<long>, places array<long>")
+        arrays.giving_back(run), f"doc long, {keep} {kind}, base long, tokens array<long>, hashes array<long>, places array<long>")
 
 
 def _all_probes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -255,7 +255,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
 
     ids = {c: pairs.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
     checked = pairs.select("doc", "doc_id", "item", "item_id", "base", "diagonal", "tokens", "item_tokens").mapInArrow(
-        verify, f"doc long, doc_id {ids['doc_id']}, item long, item_id {ids['item_id']}, "
+        arrays.giving_back(verify), f"doc long, doc_id {ids['doc_id']}, item long, item_id {ids['item_id']}, "
                 "start long, length long, n_equal long, item_len long")
     best = F.max(F.struct("n_equal", -F.col("start"), "length"))
     out = checked.groupBy("doc", "doc_id", "item", "item_id", "item_len").agg(best.alias("b"))

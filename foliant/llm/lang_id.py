@@ -298,4 +298,4 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                     [*(batch.column(c).slice(i, j - i) for c in keep), pa.array(names, pa.string()), pa.array(score),
                      pa.array(known & (score >= m.threshold) & (near >= m.floor))], [*keep, "lang_pred", "score", "accepted"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(arrays.giving_back(run), schema)

@@ -105,7 +105,7 @@ def survey(docs: DataFrame) -> DataFrame:
         none = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at]), none, none, none, none], names)
 
-    return keyed(docs).mapInArrow(run, "bucket int, n long, doc_id long, tag long, key1 long, key2 long")
+    return keyed(docs).mapInArrow(arrays.giving_back(run), "bucket int, n long, doc_id long, tag long, key1 long, key2 long")
 
 
 def idf_table(surveyed: DataFrame) -> np.ndarray:
@@ -170,7 +170,7 @@ def band_rows(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists],
                                                  ["key1", "key2", "bands"])
 
-    return docs.select("text").mapInArrow(run, "key1 long, key2 long, bands array<long>")
+    return docs.select("text").mapInArrow(arrays.giving_back(run), "key1 long, key2 long, bands array<long>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
@@ -201,7 +201,7 @@ def compare(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: flo
                 keep = pa.array(np.array(ok, bool))
                 yield pa.RecordBatch.from_arrays([some.column("a").filter(keep), some.column("b").filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(arrays.giving_back(run), "a long, b long")
 
 
 @contextmanager
@@ -260,7 +260,7 @@ def compare_blocks(members: DataFrame, leaders: DataFrame, texts: DataFrame, idf
 
     both = blocks(members, "members").join(blocks(leaders, "leaders"), "bucket").select("members", "leaders")
     with batches_of(spark, 2):  # a row holds two blocks of texts
-        out = materialize(both.mapInArrow(run, "a long, b long").distinct(), "links")
+        out = materialize(both.mapInArrow(arrays.giving_back(run), "a long, b long").distinct(), "links")
     shared.unpersist()
     return out
 

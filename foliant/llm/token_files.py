@@ -197,7 +197,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, part: int
             yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())],
                                              ["doc_id", "ids", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(arrays.giving_back(run), f"doc_id {kind}, ids binary, counts binary")
 
 
 def added(total: np.ndarray, ids: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -229,7 +229,7 @@ def id_counts(encoded: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["id", "n"])
 
     per_task = encoded.select("counts").filter(F.col("counts").isNotNull())
-    return per_task.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return per_task.mapInArrow(arrays.giving_back(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # --- the code --------------------------------------------------------------------------
@@ -328,7 +328,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     # Ranges are sampled on the driver: of the order's columns only, so a hash of the ids stands for them.
     order = ["doc_id", F.xxhash64("ids")]
     ordered = encoded.filter(F.col("ids").isNotNull()).select("doc_id", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.mapInArrow(run, f"doc_id {kind}, part int, start_in_part long, n_tokens long, control binary, data binary") \
+    ordered.mapInArrow(arrays.giving_back(run), f"doc_id {kind}, part int, start_in_part long, n_tokens long, control binary, data binary") \
         .write.parquet(files.docs)
     shared.unpersist()
     discard(encoded)
@@ -358,7 +358,7 @@ def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
                     [*(some.column(c) for c in ("doc_id", "part", "start_in_part", "n_tokens")), pa.array(crc, pa.int64())],
                     ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
-    decoded = rows.mapInArrow(run, f"doc_id {kind}, part int, start_in_part long, n_tokens long, ids_crc32 long")
+    decoded = rows.mapInArrow(arrays.giving_back(run), f"doc_id {kind}, part int, start_in_part long, n_tokens long, ids_crc32 long")
     return decoded.join(F.broadcast(offsets), "part").select(
         "doc_id", (F.col("start_in_part") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
 
