@@ -47,7 +47,20 @@ def html_text(spark, d):
         "page_id", "title", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
-@query("prune_blocks")
+def _sql_blocks() -> str:
+    """Blocks between block ends with enough words and little link text."""
+    h = f"regexp_replace(regexp_replace(html, '{H.HIDDEN}', ' ', 'g'), '{H.NOISE}', chr(10), 'g')"
+    plain = R.sql_decoded(f"regexp_replace(b, '{H.ANY_TAG}', '', 'g')")
+    anchors = "array_to_string(regexp_extract_all(b, '(?is)<a\\b[^>]*>(.*?)</a>', 1), '')"
+    return f"""
+    WITH b AS (SELECT page_id, url, unnest(string_split_regex({h}, '{H.BLOCK_END}')) AS b, generate_subscripts(string_split_regex({h}, '{H.BLOCK_END}'), 1) AS i FROM pages),
+    t AS (SELECT page_id, i, contains(lower(url), '/fr/') AS easy, trim(regexp_replace({plain}, '\\s+', ' ', 'g'), {BL}) AS t,
+                 length(regexp_replace({anchors}, '{H.ANY_TAG}', '', 'g')) AS links FROM b),
+    k AS (SELECT * FROM t WHERE t <> '' AND len(string_split(t, ' ')) >= CASE WHEN easy THEN 1 ELSE 8 END AND 1.0 - links / length(t) >= CASE WHEN easy THEN 0.08 ELSE 0.25 END)
+    SELECT page_id, coalesce((SELECT string_agg(t, chr(10) ORDER BY i) FROM k WHERE k.page_id = pages.page_id), '') AS text FROM pages"""
+
+
+@query("prune_blocks", _sql_blocks())
 def prune_blocks(spark, d):
     return R.raw_pages(spark, d, heavy=True).select(
         "page_id", cleaning.pruned_text("url", "html", ("/fr/",)).alias("text"))
