@@ -47,10 +47,16 @@ def hybrid_topk(chunks: DataFrame, queries: DataFrame, scorer: Callable[[DataFra
 
 def rerank_fused(chunks: DataFrame, queries: DataFrame, fused: DataFrame,
                  scorer: Callable[[DataFrame], DataFrame] | None = None, final: int = R.FINAL_TOP) -> DataFrame:
-    """Attach texts to the fused ids (60 per query at most) and rerank the situated text."""
-    context = F.col("context") if "context" in chunks.columns else F.lit("")
-    texts = chunks.select("chunk_key", situated_text(context, "text").alias("candidate_text"))
-    cand = texts.join(fused, "chunk_key").join(
+    """Attach texts to the fused ids (60 per query at most) and rerank the situated text.
+
+    The ids are written first: Spark then knows how small they are when it plans the
+    join, and texts are neither shuffled nor put together for chunks that are no candidates.
+    """
+    carried = [c for c in ("text", "context") if c in chunks.columns]
+    context = F.col("context") if "context" in carried else F.lit("")
+    fused = materialize(fused, "fused")
+    texts = chunks.select("chunk_key", *carried).join(fused, "chunk_key")
+    cand = texts.select(*fused.columns, situated_text(context, "text").alias("candidate_text")).join(
         queries.select("query_id", F.col("text").alias("query_text")), "query_id"
     )
     # At most 60 candidates per query; a scorer may read them several times.
@@ -77,12 +83,11 @@ def build_context(chunks: DataFrame, queries: DataFrame, scorer: Callable[[DataF
         ranked.select("query_id", "chunk_key", F.col("rerank_rank").alias("pos")),
         near.select("query_id", "chunk_key", F.col("chunk_id").alias("pos")),
     ]
-    merged = fusion.merge_tiers(tiers)
-    context = F.col("context") if "context" in chunks.columns else F.lit("")
-    blocks = chunks.select(
-        "chunk_key",
-        context_block(F.col("url"), F.col("title"), F.col("fetched_at"), context, F.col("text")).alias("block"),
-    ).join(merged, "chunk_key")
+    merged = materialize(fusion.merge_tiers(tiers), "tiers")
+    carried = [c for c in ("url", "title", "fetched_at", "context", "text") if c in chunks.columns]
+    context = F.col("context") if "context" in carried else F.lit("")
+    block = context_block(F.col("url"), F.col("title"), F.col("fetched_at"), context, F.col("text"))
+    blocks = chunks.select("chunk_key", *carried).join(merged, "chunk_key").select(*merged.columns, block.alias("block"))
     return fusion.pack_context(blocks)
 
 
