@@ -129,7 +129,7 @@ def sql_cells() -> str:
 def vector_store(spark, d):
     """The stored index of all vectors, with parameters that the twin repeats."""
     chunks = vector_chunks(spark, d)
-    return vector_index.build(chunks, new_dir(spark, "vectors"), cells=CELLS, codes=64, rounds=LLOYD)
+    return vector_index.build(chunks, new_dir(spark, "vectors"), cells=CELLS, groups=32, rounds=LLOYD)
 
 
 @query("vector_cells", f"WITH {sql_cells()} SELECT k AS chunk_key, c::INTEGER AS cell FROM cell")

@@ -36,6 +36,7 @@ from foliant.plans.lineage import discard, materialize
 SAMPLE, MAX_CELLS, GROUPS, CODES, ROUNDS = 50_000, 4096, 8, 256, 4
 RECALL, TRIED = 0.95, 200  # wished recall, and the queries of the sample it is measured with
 BLOCK_ROWS = 1 << 16
+RUN = 64  # centers whose sums travel in one row
 RERANK = 8  # candidates by codes for each neighbour asked for
 
 
@@ -89,21 +90,24 @@ def lloyd(sample: DataFrame, start: np.ndarray, rounds: int, cells: np.ndarray |
                     of = nearest(part, now[g])[:, 0]
                     np.add.at(sums[g], of, part)
                     counts[g] += np.bincount(of, minlength=now.shape[1])
-            g, c = np.nonzero(counts)
+            found = [(g, c) for g in range(groups) for c in range(0, now.shape[1], RUN) if counts[g, c: c + RUN].any()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g, pa.int32()), pa.array(c, pa.int32()), pa.array(counts[g, c]), pa.array(sums[g, c].tolist(), pa.list_(pa.float64()))],
-                ["g", "c", "n", "s"])
+                [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()),
+                 pa.array([counts[g, c: c + RUN].tolist() for g, c in found], pa.list_(pa.int64())),
+                 pa.array([sums[g, c: c + RUN].reshape(-1).tolist() for g, c in found], pa.list_(pa.float64()))], ["g", "c", "n", "s"])
 
         def merge(table: pa.Table) -> pa.Table:
-            total = np.array(table["s"].to_pylist()).sum(axis=0)
-            return pa.table({"g": table["g"][:1], "c": table["c"][:1], "n": [sum(table["n"].to_pylist())], "s": [total.tolist()]},
-                            schema=table.schema)
+            total = {k: np.array(table[k].to_pylist()).sum(axis=0).tolist() for k in ("n", "s")}
+            return pa.table({"g": table["g"][:1], "c": table["c"][:1], "n": [total["n"]], "s": [total["s"]]}, schema=table.schema)
 
-        parts = sample.select("vector").mapInArrow(add_up, "g int, c int, n long, s array<double>")
-        rows = parts.groupBy("g", "c").applyInArrow(merge, "g int, c int, n long, s array<double>").collect()  # one row per center
+        kinds = "g int, c int, n array<long>, s array<double>"
+        parts = sample.select("vector").mapInArrow(add_up, kinds)
+        rows = parts.groupBy("g", "c").applyInArrow(merge, kinds).collect()  # one row per run of centers
         centers = now.copy()
         for r in rows:
-            centers[r.g, r.c] = np.array(r.s) / r.n
+            n, s = np.array(r.n), np.array(r.s).reshape(len(r.n), -1)
+            at = np.flatnonzero(n)
+            centers[r.g, r.c + at] = s[at] / n[at, None]
     return centers
 
 
