@@ -33,7 +33,7 @@ from foliant.llm import arrays
 from foliant.plans.lineage import discard, materialize, new_dir
 
 MAX_VOCABULARY = 1 << 20  # bound of the rank table that every task loads
-CACHE = 400_000  # words in a generation of a worker's memory
+CACHE = 500_000  # words in a generation of a worker's memory
 _known: dict[str, Encoder] = {}
 
 # Fixed values of byte-level BPE: how a text falls into pieces, and the character that stands for each byte.
