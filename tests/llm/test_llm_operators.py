@@ -412,7 +412,7 @@ def test_mixing_without_bound_meets_production_targets(spark, none):
 def test_texts_without_an_id_are_drawn_one_by_one(spark):
     rows = [(None, f"some words in text {i}", "en", "s") for i in range(400)] + [(1, "other", "fr", "t")] * 400
     out = mixing.mix(table(spark, rows), {"source": {"s": 0.3, "t": 0.7}}, columns=["doc_id", "source"])
-    assert 100 < out.filter("source = 's' AND kept").count() < 250  # each by itself
+    assert 10 < out.filter("source = 's' AND kept").count() < 80  # each by itself: 400 with a probability of 0.086
     assert out.filter("source = 't'").select("kept").distinct().count() == 1  # copies together
 
 
