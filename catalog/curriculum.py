@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from foliant.functions import facts as FX
 from foliant.operators import facts
+from foliant.plans.once import explode_once
 from foliant.schemas import read_table
 
 NL = "chr(10)"
@@ -112,9 +113,9 @@ def _year_sql() -> str:
 def year_blocks(spark, d):
     """The best stretch of each year, with stand-in labels: from a label to the next one of a later year."""
     rows = read_table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", FX.year_pieces(F.col("text"), SAMPLE_YEARS).alias("ps"))
-    blocks = F.filter(F.array(*[F.struct(F.lit(y).alias("year"), FX.best_year_block(F.col("ps"), y).alias("b")) for y, _ in SAMPLE_YEARS]),
+    blocks = F.filter(F.array(*[F.struct(F.lit(y).alias("year"), FX.best_year_block(F.col("ps"), y, SAMPLE_YEARS).alias("b")) for y, _ in SAMPLE_YEARS]),
                       lambda x: x["b"].isNotNull())
-    found = rows.select("doc_id", F.explode(blocks).alias("f"))
+    found = explode_once(rows, ["doc_id"], blocks, "f")
     return found.select("doc_id", "f.year", F.length("f.b").cast("bigint").alias("n_chars"), F.md5(F.col("f.b").cast("binary")).alias("block_md5"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -173,23 +174,50 @@ def _block_score(block: Column) -> Column:
     )
 
 
-def best_year_block(pieces: Column, year: int) -> Column:
-    """Best-scoring stretch from a label of ``year`` to the next later-year label."""
+#: What a score may find at the very start of a block, where ``^`` or a word boundary needs no text before it.
+BLOCK_OPENING = r"(?iu)^\s*(?:$|(?:materia|asignatura)\s*(?::|$)|semestre|cuatrimestre|[-*](?:\s|$)|\d{1,2}(?:$|[.)](?:\s|$)))"
+
+
+def _may_open(label: str) -> bool:
+    """Whether a block that begins with ``label`` may score there more than the same text within a longer block."""
+    low = label.lower().lstrip()
+    return re.search(BLOCK_OPENING, low) is not None or any(
+        w.startswith(low) for w in ("materia", "asignatura", "semestre", "cuatrimestre"))
+
+
+def best_year_block(pieces: Column, year: int, years: YearLabels = R.YEAR_LABELS) -> Column:
+    """Best-scoring stretch from a label of ``year`` to the next later-year label.
+
+    Of the labels that share their next later-year label the first opens the longest block, which holds all
+    the others and scores no less; so one block per later-year label is put together, each character once.
+    Labels a score may count at the start of a block (``_may_open``) all open a block of their own.
+    """
+    opening = any(_may_open(label) for y, labels in years for label in labels if y == year)
 
     def candidates(ps: Column) -> Column:
-        def one(p: Column, i: Column) -> Column:
-            later = F.filter(
-                F.transform(ps, lambda q, j: F.when((j > i) & (q["year"] > year), j)), lambda j: j.isNotNull()
-            )
-            end = F.coalesce(F.get(later, F.lit(0)), F.size(ps))
-            block = F.array_join(F.slice(ps, i + 1, end - i)["text"], "")
-            return F.when(
-                p["year"] == year,
-                F.struct(_block_score(F.lower(block)).alias("s"), F.length(block).alias("n"),
-                         (-i).alias("i"), block.alias("b")),
-            )
+        marks = F.filter(
+            F.transform(ps, lambda q, j: F.when(q["year"] >= year, F.struct((q["year"] > year).alias("later"), j.alias("j")))),
+            lambda m: m.isNotNull(),
+        )
+
+        def turns(ms: Column) -> Column:
+            return F.filter(ms, lambda m, k: (k == 0) | (F.get(ms, k - 1)["later"] != m["later"]))
+
+        def ends(ms: Column) -> Column:
+            later = F.filter(ms, lambda m: m["later"])["j"]
+            return F.filter(F.transform(ms, lambda m: F.when(~m["later"], F.struct(
+                m["j"].alias("j"), F.get(F.filter(later, lambda x: x > m["j"]), F.lit(0)).alias("end")))), lambda x: x.isNotNull())
+
+        def stretches(ms: Column) -> Column:
+            return F.filter(F.transform(ms, lambda m, k: F.when(~m["later"], F.struct(
+                m["j"].alias("j"), F.get(ms, k + 1)["j"].alias("end")))), lambda x: x.isNotNull())
+
+        def one(x: Column) -> Column:
+            block = F.array_join(F.slice(ps, x["j"] + 1, F.coalesce(x["end"], F.size(ps)) - x["j"])["text"], "")
+            return let(block, lambda b: F.struct(
+                _block_score(F.lower(b)).alias("s"), F.length(b).alias("n"), (-x["j"]).alias("i"), b.alias("b")))
 
-        return F.filter(F.transform(ps, one), lambda x: x.isNotNull())
+        return F.transform(let(marks, ends) if opening else let(let(marks, turns), stretches), one)
 
     return F.array_max(let(pieces, candidates))["b"]
 
