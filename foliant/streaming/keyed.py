@@ -5,9 +5,8 @@ it, so copies are recognised wherever they arrive.  Per canonical URL: whether i
 and how its last version hashes, so a new version is an update.  ``ingest`` writes decisions,
 documents, chunks and facts of every micro-batch; a repeated batch rewrites its own folder.
 
-``closed_sessions`` holds a session's running period and an event-time timer; a period ends
-when the session has been idle, whether the next message shows it or the timer does, and
-its state is removed.
+``closed_sessions`` holds a session's running periods as session windows; a period ends when the
+watermark shows that the session has been idle, and its state is removed.
 
 Within a micro-batch rows count in order (``order`` column, then id).  A state may have a time to
 live; a hash or URL that expired counts as new.  A hash stays owned until then, also when its owner
@@ -189,46 +188,14 @@ def first_links(pages: DataFrame, ttl_ms: int | None = None) -> DataFrame:
         SeenLink(ttl_ms), "dst_url string, first_page_id long, first_position long", "append", mode)
 
 
-CLOSED = "session_id string, started_at timestamp, ended_at timestamp, turns long"
-
-
-class SessionPeriod(StatefulProcessor):
-    """Per session: the running period; it ends ``idle_ms`` after its last message."""
-
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.period = handle.getValueState("period", "first long, last long, turns long")
-
-    def _row(self, key, first: int, last: int, turns: int) -> pd.DataFrame:
-        at = lambda us: pd.Timestamp(us, unit="us")
-        return pd.DataFrame({"session_id": [key[0]], "started_at": [at(first)], "ended_at": [at(last)], "turns": [turns]})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = self.period.get() if self.period.exists() else None
-        if now is not None:
-            self.handle.deleteTimer(now[1] // 1000 + self.idle_ms)
-        for at in sorted(int(t) for part in rows for t in part["at_us"]):
-            if now is not None and at - now[1] > self.idle_ms * 1000:
-                yield self._row(key, *now)
-                now = None
-            now = (at, at, 1) if now is None else (min(now[0], at), max(now[1], at), now[2] + 1)
-        self.period.update(now)
-        self.handle.registerTimer(now[1] // 1000 + self.idle_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.period.exists():
-            yield self._row(key, *self.period.get())
-            self.period.clear()
-
-    def close(self) -> None:
-        pass
-
-
 def closed_sessions(messages: DataFrame, idle_ms: int = 30 * 60_000, watermark: str = WATERMARK, at: str = "created_at") -> DataFrame:
-    """Stream of ended periods (session_id, started_at, ended_at, turns); idle sessions leave the state."""
+    """Stream of ended periods (session_id, started_at, ended_at, turns); idle sessions leave the state.
+
+    A session window per period: a message up to ``idle_ms`` after the last one belongs to it.  The state is read and
+    merged once per partition in key order, without a call per session.
+    """
     keyed_state(messages.sparkSession)
-    rows = messages.withWatermark(at, watermark).select("session_id", at, F.unix_micros(at).alias("at_us"))
-    return rows.groupBy("session_id").transformWithStateInPandas(SessionPeriod(idle_ms), CLOSED, "append", "EventTime")
+    period = F.session_window(at, f"{idle_ms} milliseconds")  # windows that touch are one
+    ended = messages.withWatermark(at, watermark).groupBy("session_id", period).agg(
+        F.min(at).alias("started_at"), F.max(at).alias("ended_at"), F.count(F.lit(1)).alias("turns"))
+    return ended.select("session_id", "started_at", "ended_at", "turns")

@@ -48,3 +48,27 @@ def test_year_blocks_of_a_text_full_of_labels(spark, tmp_path):
     got = {r["year"]: r["n_chars"] for r in year_blocks(spark, str(tmp_path)).collect()}
     assert got == {1: 6, 2: len(text) - len("a the x and z"), 3: 6}
     assert time.time() - begin < 60  # the squared form would take hours
+
+
+def test_periods_of_many_sessions_in_one_batch(spark, tmp_path):
+    """Every session costs a few bytes of state, no call of its own; a message ``idle`` after the last still belongs to it."""
+    import datetime as dt
+
+    from foliant.streaming import keyed
+
+    n, start = 40_000, dt.datetime(2024, 1, 1)
+    at = lambda s: F.lit(start) + F.make_dt_interval(secs=F.lit(s))
+    times = F.array(at(0), at(1800), at(3600.000001), at(3600.5))
+    rows = spark.range(n).select(F.concat(F.lit("s"), "id").alias("session_id"), F.explode(times).alias("created_at"))
+    rows.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("session_id"), at(0).alias("created_at"))).write.parquet(f"{tmp_path}/in/a")
+    spark.range(1).select(F.lit("end").alias("session_id"), at(900_000).alias("created_at")).write.parquet(f"{tmp_path}/in/b")
+    begin = time.time()
+    for _ in range(2):
+        stream = spark.readStream.schema("session_id string, created_at timestamp").option("maxFilesPerTrigger", 1000).parquet(f"{tmp_path}/in/*")
+        keyed.closed_sessions(stream, 30 * 60_000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+            "checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    got = {(r.started_at - start, r.ended_at - start, r.turns): r["count"] for r in out.groupBy("started_at", "ended_at", "turns").count().collect()}
+    d = lambda s: dt.timedelta(seconds=s)
+    assert got == {(d(0), d(1800), 2): n, (d(3600.000001), d(3600.5), 2): n, (d(0), d(0), 1): 1}
+    assert time.time() - begin < 60
