@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from foliant.functions.text import (
 )
 
 IMAGE_ONLY = r"^\[!\[[^\]]*\]\([^)]+\)\]\([^)]+\)$|^!\[[^\]]*\]\([^)]+\)$"
+PART = 2 << 20  # bytes of pages whose results are held at once
 PAGE_NUMBER = r"^\d{1,3}$"
 RULER = r"^[.\-_=]{3,}$"
 PAGE_OF = r"^(?:[Pp]ágina\s+\d+\s+de\s+\d+|[Pp]age\s+\d+\s+of\s+\d+)$"
@@ -93,17 +96,23 @@ def lines_to_documents(lines_df: DataFrame) -> DataFrame:
 
 
 def html_to_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds title and text from the element tree (Arrow batches, one small parse per page)."""
+    """Adds title and text from the element tree (one small parse per page, about ``PART`` bytes of pages held at once)."""
     schema = pages.select(*[c for c in pages.columns if c not in ("title", "text")]).schema
     carried = [f.name for f in schema.fields]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parsed = [H.parse_page(v) for v in b[html]]
-            yield b.assign(title=[p[0] for p in parsed], text=[p[1] for p in parsed])
+            size = pc.fill_null(pc.binary_length(b.column(html)), 0).to_numpy()
+            group = (np.cumsum(size, dtype=np.int64) - 1) // PART
+            cuts = np.flatnonzero(np.diff(group)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(b)], strict=True):
+                part = b.slice(i, j - i)
+                parsed = [H.parse_page(v.as_py()) for v in part.column(html)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *(pa.array([p[k] for p in parsed], pa.string()) for k in (0, 1))], [*part.schema.names, "title", "text"])
 
     out = schema.add("title", "string").add("text", "string")
-    return pages.select(*carried).mapInPandas(parse, out)
+    return pages.select(*carried).mapInArrow(parse, out)
 
 
 def pruned_text(url: Column | str, html: Column | str, relaxed: tuple = R.RELAXED_URL_TOKENS) -> Column:

@@ -72,3 +72,19 @@ def test_periods_of_many_sessions_in_one_batch(spark, tmp_path):
     d = lambda s: dt.timedelta(seconds=s)
     assert got == {(d(0), d(1800), 2): n, (d(3600.000001), d(3600.5), 2): n, (d(0), d(0), 1): 1}
     assert time.time() - begin < 60
+
+
+def test_html_pages_are_parsed_a_part_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from foliant.operators import cleaning
+
+    rows, seen = spark.createDataFrame([(1, "x")], "page_id long, html string"), {}
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: (seen.update(f=f), self)[1])
+    cleaning.html_to_text(rows)
+    page = "<title>t</title><main><p>a" + "b" * 1_500_000 + "</p></main>"
+    out = list(seen["f"](iter([pa.RecordBatch.from_arrays([pa.array([*range(9)]), pa.array([page] * 8 + [None])], ["page_id", "html"])])))
+    assert max(len(b) for b in out) <= 3 and [x for b in out for x in b["page_id"].to_pylist()] == [*range(9)]
+    assert [x for b in out for x in b["title"].to_pylist()] == ["t"] * 8 + [""]
+    assert [len(x) for b in out for x in b["text"].to_pylist()] == [1_500_001] * 8 + [0]
+    assert list(seen["f"](iter([out[0].select(["page_id", "html"]).slice(0, 0)]))) is not None
