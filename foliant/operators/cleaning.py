@@ -61,18 +61,53 @@ def document_gate(text: Column, pages: Column, min_chars: int = 50, max_pages: i
     )
 
 
+LINE = ("doc_id", "page", "block", "line")
+
+
+def _runs_of_spans(spans: DataFrame) -> DataFrame:
+    """Neighbouring rows of one line, size and weight with successive spans as one row: first span, number, texts joined by NUL.
+
+    A text that holds a NUL is a row by itself.
+    """
+    same = [*LINE, "size", "bold"]
+    schema = spans.select(*same, "span", F.lit(1).alias("n"), "text").schema
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            span, text = b.column("span"), b.column("text")
+            known, at = span.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(span, 0).to_numpy()
+            new = pc.match_substring(text, "\0").to_numpy(zero_copy_only=False).copy()
+            new[1:] |= new[:-1] | ~known[1:] | ~known[:-1] | (at[1:] != at[:-1] + 1)
+            new[:1] = True
+            for c in same:
+                codes = b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            first = np.flatnonzero(new)
+            cut = np.append(first, len(b))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), text), "\0")
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(pa.array(first)) for c in (*same, "span")), pa.array(np.diff(cut), pa.int32()), texts], schema.names)
+
+    return spans.mapInArrow(join, schema)
+
+
 def spans_to_lines(spans: DataFrame, heading_size: float = 14.0) -> DataFrame:
     """Span table -> one Markdown line per (doc_id, page, block, line).
 
     Lines are small groups (a handful of spans), so collecting their spans is safe.
     """
-    body = spans.filter(F.col("block_type") == 0).withColumn("text", strip(text_or_empty("text"))).filter("text <> ''")
-    grouped = body.groupBy("doc_id", "page", "block", "line").agg(
-        F.sort_array(F.collect_list(F.struct("span", "text"))).alias("parts"),
-        F.max("size").alias("size"),
-        F.max(F.col("flags").bitwiseAND(16)).alias("bold"),
-    )
-    line = F.array_join(F.col("parts.text"), " ")
+    text = strip(text_or_empty("text"))
+    body = spans.filter(F.col("block_type") == 0).select(
+        *LINE, "size", F.col("flags").bitwiseAND(16).alias("bold"), "span", text.alias("text")).filter("text <> ''")
+    grouped = _runs_of_spans(body).groupBy(*LINE).agg(
+        F.collect_list(F.struct("span", "n", "text")).alias("runs"), F.max("size").alias("size"), F.max("bold").alias("bold"))
+
+    def spread(r: Column) -> Column:
+        texts = F.when(r["n"] == 1, F.array(r["text"])).otherwise(F.split(r["text"], r"\x00", -1))
+        return F.transform(texts, lambda t, i: F.struct((r["span"] + i).alias("span"), t.alias("text")))
+
+    parts = F.sort_array(F.flatten(F.transform("runs", spread)))
+    line = F.array_join(parts["text"], " ")
     styled = (
         F.when(F.col("size") >= heading_size + 4, F.concat(F.lit("## "), line))
         .when(F.col("size") >= heading_size, F.concat(F.lit("### "), line))

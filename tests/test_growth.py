@@ -88,3 +88,19 @@ def test_html_pages_are_parsed_a_part_at_a_time(spark, monkeypatch):
     assert [x for b in out for x in b["title"].to_pylist()] == ["t"] * 8 + [""]
     assert [len(x) for b in out for x in b["text"].to_pylist()] == [1_500_001] * 8 + [0]
     assert list(seen["f"](iter([out[0].select(["page_id", "html"]).slice(0, 0)]))) is not None
+
+
+def test_spans_travel_as_runs(spark):
+    from foliant.operators import cleaning
+
+    rows = [("d", 0, 0, 0, n, k, f" w{k}", s, f) for n, s, f in ((0, 18.0, 0), (1, 10.0, 16), (2, None, None)) for k in range(8)]
+    rows += [("d", 0, 0, 0, 3, k, t, 14.0 if k == 5 else 10.0, 0) for k, t in ((5, "b\0"), (3, "a"), (6, "c"), (3, "A"), (None, "z"), (None, "y"), (7, None))]
+    rows += [(None, 1, 0, 0, None, 0, "x", float("nan"), 0), (None, 1, 0, 0, None, 1, "\0", 1.0, 0), ("d", 0, 0, 1, 9, 0, "image", 1.0, 0)]
+    spans = spark.createDataFrame(rows, "doc_id string, page int, block int, block_type int, line int, span int, text string, size double, flags int")
+    for parts in (1, 5):
+        got = {(r.doc_id, r.line): r.text for r in cleaning.spans_to_lines(spans.repartition(parts) if parts > 1 else spans.coalesce(1)).collect()}
+        w = " ".join(f"w{k}" for k in range(8))
+        assert got == {("d", 0): f"## {w}", ("d", 1): f"**{w}**", ("d", 2): w, ("d", 3): "### y z A a b\0 c", (None, None): "## x \0"}
+    long = spark.range(20_000).select(F.lit("d").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("block"), F.floor(F.col("id") / 8).alias("line"),
+                                      (F.col("id") % 8).alias("span"), F.lit("t").alias("text"), F.lit(1.0).alias("size"), F.lit(0).alias("bold"))
+    assert cleaning._runs_of_spans(long.coalesce(1)).count() < 2_600  # one row a line and a few at the seams, no row per span
