@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.plans.lineage import discard, materialize
@@ -36,7 +36,8 @@ DIMENSIONS = ("source", "lang", "topic")
 NULL = "\x00"
 SALTS = 16
 TOLERANCE = 1e-10
-ROUNDS_A_STEP = 4  # rounds in one plan, between two looks at the targets
+ROUNDS_A_STEP = 4  # rounds between two looks at the targets
+CELLS_A_TASK = 50_000
 
 
 def topic_of(text: Column, topics: Sequence[tuple[str, str]] = TOPICS) -> Column:
@@ -63,10 +64,27 @@ def with_cells(docs: DataFrame, topics: Sequence[tuple[str, str]] = TOPICS) -> D
     return out.withColumns({f"_{d}": F.coalesce(F.col(d), F.lit(NULL)) for d in DIMENSIONS})
 
 
+def _for_rounds(spark: SparkSession, cells: int) -> SparkSession:
+    """A session with the settings of ``spark``, for many shuffles of a small table of known size.
+
+    Adaptive execution plans anew after each shuffle and starts a thread in the driver for it, which stays for
+    a minute; a run of rounds has a hundred shuffles, and the driver's memory would grow with them.
+    """
+    out = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            out.conf.set(key, value)
+    out.conf.set("spark.sql.adaptive.enabled", "false")
+    out.conf.set("spark.sql.shuffle.partitions", str(cells // CELLS_A_TASK + 1))
+    return out
+
+
 def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max_ratio: float | None = None,
          rounds: int = 6, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells ``(_source, _lang, _topic, n)`` with their raked weight ``w``; without ``max_ratio``, ``rounds`` has no meaning."""
     keys = [f"_{d}" for d in DIMENSIONS]
+    spark, given = cells.sparkSession, materialize(cells, "cells")
+    cells = _for_rounds(spark, given.count()).read.schema(given.schema).parquet(given._staged_in)
     total = cells.agg(F.sum("n").cast("double").alias("_total"))
     now = cells.withColumn("w", F.col("n").cast("double"))
     for d, goal in targets.items():
@@ -77,12 +95,13 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], m
         now = now.join(sums.crossJoin(F.broadcast(scale)).select(
             f"_{d}", (F.col("_s") / F.col("_all") * F.col("_total")).alias(f"_goal_{d}")), f"_{d}")
     now = materialize(now.withColumn("_off", F.lit(0.0)), "raked")
+    discard(given)
     off, done = float("inf"), 0
     while max_ratio is None or done < rounds:
-        before, old = off, now
+        before = off
         for _ in range(ROUNDS_A_STEP if max_ratio is None else rounds):
             done += 1
-            now = now.withColumn("_off", F.lit(0.0))
+            old, now = now, now.withColumn("_off", F.lit(0.0))
             for d in targets:
                 own, goal = F.sum("w").over(Window.partitionBy(f"_{d}")), F.col(f"_goal_{d}")
                 now = now.withColumn("_sum", own)
@@ -91,12 +110,12 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], m
                     moved = F.least(moved, F.col("n") * F.lit(max_ratio))
                 missed = F.when(goal > 0, F.abs(F.col("_sum") / goal - 1)).otherwise(0.0)
                 now = now.withColumns({"w": moved, "_off": F.greatest("_off", missed)}).drop("_sum")
-        now = materialize(now, "raked")
-        discard(old)
+            now = materialize(now, "raked")
+            discard(old)
         off = now.agg(F.max("_off")).first()[0] or 0.0
         if max_ratio is None and (off < tolerance or off > 0.99 * before):
             break
-    return now.select(*keys, "n", "w")
+    return spark.read.schema(now.schema).parquet(now._staged_in).select(*keys, "n", "w")
 
 
 def _share(value: Column, goal: Mapping[str, float]) -> Column:
@@ -117,7 +136,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], max
     columns = list(columns or docs.columns)
     keys = [f"_{d}" for d in DIMENSIONS]
     rows = with_cells(docs, topics)
-    cells = materialize(rows.groupBy(*keys).agg(F.sum("tokens").alias("n")), "cells")
+    cells = rows.groupBy(*keys).agg(F.sum("tokens").alias("n"))
     weights, top = rake(cells, targets, max_ratio, rounds), max_ratio
     if top is None:
         top = weights.filter("n > 0").agg(F.max(F.col("w") / F.col("n"))).first()[0] or 1.0

@@ -409,6 +409,22 @@ def test_mixing_without_bound_meets_production_targets(spark, none):
     assert abs(kept - expected) < 0.15 * expected < tokens
 
 
+def exchange_threads(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+    names = [t.getThreadName() for t in beans.getThreadInfo(beans.getAllThreadIds()) if t is not None]
+    return {n for n in names if n.startswith("shuffle-exchange-")}
+
+
+def test_rounds_leave_no_threads_in_the_driver(spark):
+    rows = [(i, "word " * (1 + i * i % 97) + ("licensed" if i % 3 else "123"), f"l{i % 4}", f"s{i % 7 * (i % 2)}") for i in range(400)]
+    cells = mixing.with_cells(table(spark, rows)).groupBy("_source", "_lang", "_topic").agg(F.sum("tokens").alias("n"))
+    before = exchange_threads(spark)
+    raked = mixing.rake(cells, catalog.MIX_TARGETS)
+    assert len(exchange_threads(spark) - before) <= 5  # one a shuffle of the cells, none a round
+    assert raked.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert raked.count() == cells.count()
+
+
 def test_texts_without_an_id_are_drawn_one_by_one(spark):
     rows = [(None, f"some words in text {i}", "en", "s") for i in range(400)] + [(1, "other", "fr", "t")] * 400
     out = mixing.mix(table(spark, rows), {"source": {"s": 0.3, "t": 0.7}}, columns=["doc_id", "source"])
