@@ -264,6 +264,21 @@ def test_word_model_against_plain_counts(docs, rows):
     assert len(got) == len(want) and np.allclose(got, want)
 
 
+def test_word_model_in_passes_leaves_no_tables(spark, docs):
+    """Any number of passes gives the same model; counts and model are gone once the texts are scored."""
+    from foliant.plans import lineage
+
+    made = lineage._made(spark)
+    before = list(made)
+    one, three = (as_counter(perplexity.fit_words(docs, k), "h", "bits") for k in (1, 3))
+    assert one == three and sum(one.values()) > 500
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made if p not in before]
+    assert left == ["word-model", "word-model"]
+    before = list(made)
+    perplexity.quality(docs)
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made if p not in before] == ["perplexity"]
+
+
 # --- 4 ---------------------------------------------------------------------------------
 
 
