@@ -6,6 +6,9 @@ only the commit, on the driver, lists the reported folders in a manifest.  A tas
 job that fails, leaves folders that no manifest names: appends are neither doubled
 nor half-read.  ``mode("overwrite")`` starts a new list.
 
+Reading deals the committed folders to tasks, which list them themselves: the driver
+holds a row per folder and none per file.
+
 The path may be on any file system that pyarrow and Spark both reach.  A name that
 occurs twice in one write is two files in two folders, or one (the last) in one folder.
 """
@@ -20,11 +23,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 NAME = "markdown_files"
 MANIFESTS = "_manifests"
+TASK_FILES, BATCH_BYTES = 10_000, 2 << 20  # at most, of a reading task and (but for the last file) of a batch it passes on
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -48,6 +51,10 @@ class MarkdownFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> MarkdownWriter:
         return MarkdownWriter(self.options["path"].rstrip("/"), overwrite)
 
+    def reader(self, schema) -> MarkdownReader:
+        path = self.options["path"].rstrip("/")
+        return MarkdownReader(path, json.loads(self.options["folders"]) if "folders" in self.options else _committed(path))
+
 
 class MarkdownWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
@@ -81,15 +88,56 @@ class MarkdownWriter(DataSourceArrowWriter):
                 where.delete_dir(f"{root}/{m.folder}")
 
 
+@dataclass
+class Stretch(InputPartition):
+    """Files ``start`` to ``end`` of a folder in the order of their names; to the last without ``end``."""
+
+    folder: str
+    start: int
+    end: int | None
+
+
+class MarkdownReader(DataSourceReader):
+    def __init__(self, path: str, folders: dict[str, int]):
+        self.path, self.folders = path, folders
+
+    def partitions(self) -> list[Stretch]:
+        return [Stretch(folder, i, i + TASK_FILES if i + TASK_FILES < files else None)
+                for folder, files in sorted(self.folders.items()) for i in range(0, max(1, files), TASK_FILES)]
+
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        where, root = _open(self.path)
+        names = sorted(f.base_name for f in where.get_file_info(fs.FileSelector(f"{root}/{partition.folder}")) if f.type == fs.FileType.File)
+        shown, texts, size = [], [], 0
+        for name in names[partition.start: partition.end]:
+            if name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"):
+                continue  # Spark's readers take these for hidden files
+            with where.open_input_stream(f"{root}/{partition.folder}/{name}") as f:
+                text = f.read()
+            if not text:
+                continue
+            shown.append(name.replace("+", " "))
+            texts.append(text)
+            size += len(text)
+            if size >= BATCH_BYTES:
+                yield _batch(shown, texts)
+                shown, texts, size = [], [], 0
+        if shown:
+            yield _batch(shown, texts)
+
+
+def _batch(names: list[str], texts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["file_name", "text"])
+
+
 def write_markdown(pages: DataFrame, path: str, mode: str = "append") -> None:
     """``pages`` (file_name, text) as files under ``path``."""
     pages.sparkSession.dataSource.register(MarkdownFiles)
     pages.select("file_name", "text").write.format(NAME).mode(mode).save(path)
 
 
-def committed(spark: SparkSession, path: str) -> dict[str, int]:
-    """Folders that were committed, with their numbers of files: one per task that wrote."""
-    where, root = _open(path.rstrip("/"))
+def _committed(path: str) -> dict[str, int]:
+    where, root = _open(path)
     out: dict[str, int] = {}
     for info in where.get_file_info(fs.FileSelector(f"{root}/{MANIFESTS}", allow_not_found=True)):
         with where.open_input_stream(info.path) as f:
@@ -97,11 +145,15 @@ def committed(spark: SparkSession, path: str) -> dict[str, int]:
     return out
 
 
+def committed(spark: SparkSession, path: str) -> dict[str, int]:
+    """Folders that were committed, with their numbers of files: one per task that wrote."""
+    return _committed(path.rstrip("/"))
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, text) of all committed files."""
-    folders = [f"{path.rstrip('/')}/{f}" for f in sorted(committed(spark, path))]
+    """(file_name, text) of all files committed by now; an empty file has no row, a plus sign in a name reads as a blank."""
+    folders = committed(spark, path)
     if not folders:
         return spark.createDataFrame([], "file_name string, text string")
-    rows = spark.read.text(folders, wholetext=True)
-    # An empty file has no row: text sources give none for it.
-    return rows.select(F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("file_name"), F.col("value").alias("text"))
+    spark.dataSource.register(MarkdownFiles)
+    return spark.read.format(NAME).option("folders", json.dumps(folders)).load(path)

@@ -64,6 +64,29 @@ def test_exports_are_committed_as_a_whole(spark, tmp_path):
     assert markdown_files.read_markdown(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_exports_are_read_without_a_file_list_on_the_driver(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "md")
+    rows = spark.range(60).select(F.format_string("f%03d.md", "id").alias("file_name"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    more = [("empty.md", ""), ("a+b.md", "plus"), ("_hidden.md", "no"), ("_x=1.md", "yes"), ("100%20.md", "línea\r\n")]
+    rows = rows.unionByName(spark.createDataFrame(more, rows.schema))
+    markdown_files.write_markdown(rows.repartition(3), path)
+    monkeypatch.setattr(markdown_files, "TASK_FILES", 7)
+    monkeypatch.setattr(markdown_files, "BATCH_BYTES", 20)
+    back = markdown_files.read_markdown(spark, path)
+    assert not back.inputFiles()  # no index of single files
+    want = {(r.file_name.replace("+", " "), r.text) for r in rows.collect() if r.text and r.file_name != "_hidden.md"}
+    got = [tuple(r) for r in back.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+    folders = markdown_files.committed(spark, path)
+    reader = markdown_files.MarkdownReader(path, folders)
+    parts = reader.partitions()
+    assert len(parts) == sum(-(-n // 7) for n in folders.values())
+    assert {x for p in parts for b in reader.read(p) for x in zip(*b.to_pydict().values(), strict=True)} == want
+    markdown_files.write_markdown(rows.limit(1), path)
+    assert back.count() == len(want)  # of the files committed when it was made
+
+
 def arrive(spark, rows, schema, folder, n):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/p{n}")
     return spark.readStream.schema(schema).parquet(f"{folder}/*")
